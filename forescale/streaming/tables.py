@@ -1,0 +1,40 @@
+"""Partitioned Parquet tables that micro-batches merge into.
+
+Each merge reads and rewrites only the partitions its batch touches. Dynamic overwrite stages
+new files beside the old ones and swaps them on commit, so a lost executor or a repeated batch
+leaves the same table. One query writes one table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from forescale.operators.export import overwrite_touched
+
+
+def read_or_empty(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The table, or no rows before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def merge_partitions(
+    folder: str, schema: str, partition: str, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]
+) -> None:
+    """Merges a batch that carries the partition column into the partitions it touches."""
+    spark = batch.sparkSession
+    touched = batch.select(partition).distinct()
+    state = read_or_empty(spark, folder, schema).join(touched, partition, "left_semi")
+    overwrite_touched(merge(state, batch), folder, partition)
+
+
+def with_day(df: DataFrame, ts: str = "ts") -> DataFrame:
+    return df.withColumn("day", F.to_date(ts))
