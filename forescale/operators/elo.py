@@ -1,7 +1,7 @@
 """Permutation-replicated Elo ratings.
 
 A season is sequential: each match needs the ratings the match before it left. What runs in
-parallel is scopes x replicates. Matches are replicated, hashed by (scope, replicate) and sorted
+parallel is scopes x replicates. Matches are replicated, hashed by (scope, replicate) and numbered
 by a seeded hash, and each task folds its sorted stream match by match. A task holds one Arrow
 batch and the ratings of one replicate, never the matches of a scope.
 """
@@ -14,6 +14,7 @@ from datetime import date
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forescale.functions.text import order_key
@@ -24,6 +25,7 @@ REPLICATES = 500
 K_FACTOR = 4.0
 BASE_RATING = 1000.0
 SCALE = 400.0
+SMALL_MATCH = 12
 QUANTILES = (0.025, 0.5, 0.975)
 
 DAY = "calculation_date"
@@ -62,42 +64,58 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _season(keys: Sequence[str], k_factor: float, base: float):
-    """Fold over Arrow batches sorted by (keys, replicate, match order)."""
-    columns = [*keys, "replicate"]
+    """Fold over Arrow batches sorted by (keys, replicate, step).
+
+    The fold refers to nothing outside itself but numpy and Arrow, so executors need no copy of
+    this package.
+    """
+    columns, small, scale = [*keys, "replicate"], SMALL_MATCH, SCALE
+
+    def gains(now: list[float], points: list[float]) -> list[float]:
+        """Ratings after one match of all against all."""
+        n = len(now)
+        if n > small:
+            r = np.array(now)
+            expected = 1.0 / (1.0 + 10.0 ** ((r[None, :] - r[:, None]) / scale))
+            # The diagonal is a model against itself, exactly one half.
+            return (r + k_factor * (np.array(points) - (expected.sum(axis=1) - 0.5))).tolist()
+        expected = [0.0] * n
+        for i in range(n):
+            for j in range(i + 1, n):
+                share = 1.0 / (1.0 + 10.0 ** ((now[j] - now[i]) / scale))
+                expected[i] += share
+                expected[j] += 1.0 - share
+        return [r + k_factor * (won - e) for r, won, e in zip(now, points, expected)]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ratings, schema = None, {}, None
+        current, ratings, done = None, {}, []
+
+        def finish() -> None:
+            done.extend((*current, model, rating) for model, rating in ratings.items())
 
-        def flush() -> pa.RecordBatch:
-            n = len(ratings)
-            fixed = [pa.array([value] * n, type=schema.field(name).type) for name, value in zip(columns, current)]
-            found = [pa.array(list(ratings), pa.int32()), pa.array(list(ratings.values()), pa.float64())]
-            return pa.RecordBatch.from_arrays([*fixed, *found], names=[*columns, "model_id", "rating"])
+        def emit(types: list[pa.DataType]) -> pa.RecordBatch:
+            arrays = [pa.array(column, kind) for column, kind in zip(zip(*done), types)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=[*columns, "model_id", "rating"])
 
         for batch in batches:
-            schema = batch.schema
-            ids = list(zip(*[batch.column(name).to_pylist() for name in columns]))
-            offsets = batch.column("models").offsets.to_numpy()
-            models = batch.column("models").values.to_pylist()
-            points = batch.column("points").values.to_numpy()
-            for row, key in enumerate(ids):
-                if key != current:
+            types = [*[batch.schema.field(name).type for name in columns], pa.int32(), pa.float64()]
+            steps = batch.column("step").to_pylist()
+            models = batch.column("models").to_pylist()
+            points = batch.column("points").to_pylist()
+            for row, step in enumerate(steps):
+                if step == 1:
                     if current is not None:
-                        yield flush()
-                    current, ratings = key, {}
-                low, high = offsets[row], offsets[row + 1]
-                present = models[low:high]
-                if len(present) < 2:
-                    for model in present:
-                        ratings.setdefault(model, base)
-                    continue
-                now = np.array([ratings.get(model, base) for model in present])
-                expected = 1.0 / (1.0 + 10.0 ** ((now[None, :] - now[:, None]) / SCALE))
-                # The diagonal is a model against itself, exactly one half.
-                moved = now + k_factor * (points[low:high] - (expected.sum(axis=1) - 0.5))
-                ratings.update(zip(present, moved.tolist()))
+                        finish()
+                    current, ratings = [batch.column(name)[row].as_py() for name in columns], {}
+                present = models[row]
+                now = [ratings.get(model, base) for model in present]
+                ratings.update(zip(present, gains(now, points[row]) if len(now) > 1 else now))
+            if done:
+                yield emit(types)
         if current is not None:
-            yield flush()
+            finish()
+            yield emit(types)
 
     return fold
 
@@ -110,12 +128,13 @@ def replicate_ratings(
     keys = list(keys)
     scope = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
     tasks = int(season.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    season_order = W.partitionBy(*keys, "replicate").orderBy("_order", "round_id")
     ordered = (
-        season.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        season.repartition(tasks, "round_id").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         .withColumn("_order", order_key(seed, *scope, F.col("replicate"), F.col("round_id")))
         .repartition(tasks, *keys, "replicate")
-        .sortWithinPartitions(*keys, "replicate", "_order", "round_id")
-        .select(*keys, "replicate", F.col("models").cast("array<int>").alias("models"), "points")
+        .withColumn("step", F.row_number().over(season_order))
+        .select(*keys, "replicate", "step", F.col("models").cast("array<int>").alias("models"), "points")
     )
     types = {f.name: f.dataType.simpleString() for f in season.schema.fields}
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "replicate int", "model_id int", "rating double"])

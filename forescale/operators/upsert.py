@@ -101,7 +101,7 @@ def resolve_categories(category: DataFrame, rows: DataFrame) -> tuple[DataFrame,
     blank = {c: F.nullif(F.col(c), F.lit("")) for c in ("category", "subcategory")}
     clean = rows.withColumns(blank)
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("domain", "category", "subcategory")]
-    new_id = F.pmod(F.xxhash64(*parts), F.lit(2**31 - 1)).cast("int")
+    new_id = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
     known = category.select(
         F.col("id").alias("_id"), F.col("domain").alias("_d"), F.col("category").alias("_c"), F.col("subcategory").alias("_s")
     )
