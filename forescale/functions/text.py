@@ -18,7 +18,7 @@ def round_name(definition_name: Column, start: Column) -> Column:
 
 def comma_list(text: Column) -> Column:
     """``"Energy, Finance"`` to an array; blanks dropped, NULL and empty text give NULL."""
-    items = F.transform(F.split(text, ","), F.trim)
+    items = F.transform(F.split(text, ","), lambda item: F.trim(item))
     return F.when(F.coalesce(text, F.lit("")) != "", F.filter(items, lambda item: item != ""))
 
 
@@ -28,4 +28,5 @@ def order_key(seed: int, *parts: Column) -> Column:
 
 
 def percent(ratio: Column, digits: int = 1) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", ratio * 100), F.lit("%"))
+    """Share as text; halves go to the even digit."""
+    return F.concat(F.format_string(f"%.{digits}f", F.bround(ratio * 100, digits)), F.lit("%"))

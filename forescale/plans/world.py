@@ -40,9 +40,9 @@ CATEGORIES = [
     (3, "sales", "online", "shop", "orders"),
 ]
 DEFINITIONS = [
-    (1, "s-hourly-day", "Hourly day", [], [], [], [], 100, 86400, 3600, 3600, 5, True),
-    (2, "s-hourly-3day", "Hourly three days", ["traffic", "quality", "sales"], ["mixed"], [], [], 100, 259200, 3600, 3600, 3, True),
-    (3, "s-quarter-day", "Quarter-hour day", ["traffic", "sales"], ["online"], [], [], 200, 86400, 900, None, 3, True),
+    (1, "s-hourly-day", "Hourly day", [], [], [], [], 101, 86400, 3600, 3600, 5, True),
+    (2, "s-hourly-3day", "Hourly three days", ["traffic", "quality", "sales"], ["mixed"], [], [], 101, 259200, 3600, 3600, 3, True),
+    (3, "s-quarter-day", "Quarter-hour day", ["traffic", "sales"], ["online"], [], [], 199, 86400, 900, None, 3, True),
     (4, "s-daily", "Daily three days", ["people"], [], ["users"], [], 7, 259200, 86400, 3600, None, False),
 ]
 DEFINITION_SCHEMA = (

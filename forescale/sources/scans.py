@@ -53,14 +53,15 @@ def series_data_for_rounds(rounds: DataFrame, pseudo: DataFrame, rollups: DataFr
 
 
 def get_data(
-    catalogue: DataFrame, points: DataFrame, rollups: DataFrame, unique_ids: Iterable[str], as_of: datetime,
+    catalogue: DataFrame, points: DataFrame, rollups: DataFrame, unique_ids: Iterable[str] | None, as_of: datetime,
     start: datetime | str | None = None, end: datetime | str | None = None, resolution: str = "raw",
 ) -> DataFrame:
-    """Points by unique id; the last seven days when either bound is missing."""
+    """Points by unique id (all when None); the last seven days when either bound is missing."""
     if start is None or end is None:
         moment = as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
         start, end = moment - timedelta(days=7), moment
-    ids = catalogue.filter(F.col("unique_id").isin(list(unique_ids))).select("series_id", "unique_id")
+    wanted = catalogue if unique_ids is None else catalogue.filter(F.col("unique_id").isin(list(unique_ids)))
+    ids = wanted.select("series_id", "unique_id")
     rows = scan_by_resolution(points, rollups, resolution, start, end)
     return rows.join(ids, "series_id").select("unique_id", *COLUMNS)
 
