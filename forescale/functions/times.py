@@ -19,6 +19,15 @@ def instant(value: datetime | str) -> Column:
     return F.timestamp_micros(F.lit(round(value.timestamp() * MICROS)).cast("long"))
 
 
+# Spellings of instants beside the full ISO form.
+SHORT_FORMS = ("yyyy-MM-dd'T'HH:mmX", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HHX", "yyyy-MM-dd'T'HH")
+
+
+def read_instant(text: Column) -> Column:
+    """ISO text to an instant, with or without seconds, minutes and zone; NULL when it is none."""
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(form)) for form in SHORT_FORMS])
+
+
 def shift(ts: Column, seconds: Column | int) -> Column:
     """Instant moved by whole seconds."""
     step = F.lit(seconds) if isinstance(seconds, int) else seconds

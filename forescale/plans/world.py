@@ -21,7 +21,7 @@ from forescale.operators import forecasts as fc
 from forescale.operators import ranking, rollup, rounds, scoring
 from forescale.operators.elo import daily_rankings
 from forescale.plans import lifecycle
-from forescale.session import configure, shared_dir
+from forescale.session import configure, shared_dir, small_table
 
 SEED = 42
 AS_OF = datetime(2024, 1, 25)
@@ -114,7 +114,7 @@ class World:
 
     @cached_property
     def category(self) -> DataFrame:
-        fixed = self.spark.createDataFrame(CATEGORIES, "id long, domain string, subdomain string, category string, subcategory string")
+        fixed = small_table(self.spark, CATEGORIES, "id long, domain string, subdomain string, category string, subcategory string")
         regions = self.table("region").select(
             (F.col("r_regionkey") + 10).cast("long").alias("id"), F.lit("people").alias("domain"), F.lit(None).cast("string").alias("subdomain"),
             F.lit("users").alias("category"), F.lower("r_name").alias("subcategory"),
@@ -133,14 +133,14 @@ class World:
             F.concat(F.lit("us-"), F.col("user_id").cast("string")).alias("unique_id"), F.lit("money").alias("unit"),
             F.lit(86400).cast("long").alias("frequency_s"), (F.col("user_id") % 5 + 10).cast("long").alias("category_id"),
         )
-        idle = self.spark.createDataFrame([(IDLE, "idle", "ev-idle", "events", 900, 1)], types.schema)
+        idle = small_table(self.spark, [(IDLE, "idle", "ev-idle", "events", 900, 1)], "series_id int, name string, unique_id string, unit string, frequency_s long, category_id long")
         return types.unionByName(users).unionByName(idle).withColumns({
             "description": F.concat(F.lit("about "), "name"), "ts_timezone": F.lit("UTC"), "update_frequency": F.lit("15 minutes"),
         })
 
     @cached_property
     def definitions(self) -> DataFrame:
-        return self.spark.createDataFrame(DEFINITIONS, DEFINITION_SCHEMA)
+        return small_table(self.spark, DEFINITIONS, DEFINITION_SCHEMA)
 
     @cached_property
     def assignments(self) -> DataFrame:
@@ -154,19 +154,19 @@ class World:
             (F.col("user_id") % 10 == 7).alias("is_excluded"), instant(begin).alias("valid_from"),
             F.lit(None).cast("timestamp").alias("valid_to"), F.lit(True).alias("is_current"),
         )
-        return self.spark.createDataFrame(fixed, schema).unionByName(users)
+        return small_table(self.spark, fixed, schema).unionByName(users)
 
     @cached_property
     def models(self) -> DataFrame:
-        return self.spark.createDataFrame(MODELS, MODEL_SCHEMA)
+        return small_table(self.spark, MODELS, MODEL_SCHEMA)
 
     @cached_property
     def users(self) -> DataFrame:
-        return self.spark.createDataFrame(USERS, "id int, username string, organization_id int, user_type string")
+        return small_table(self.spark, USERS, "id int, username string, organization_id int, user_type string")
 
     @cached_property
     def organisations(self) -> DataFrame:
-        return self.spark.createDataFrame(ORGANISATIONS, "id int, name string")
+        return small_table(self.spark, ORGANISATIONS, "id int, name string")
 
     # Stored tables
 

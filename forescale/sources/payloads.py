@@ -13,7 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forescale.functions.times import floor_to, instant, local_to_utc, shift
+from forescale.functions.times import floor_to, instant, local_to_utc, read_instant, shift
 from forescale.operators.ordered import keep_one
 
 # Column precedence of wide tables, payload schemas, price rules.
@@ -40,6 +40,7 @@ MARKET_STEPS = {"PT60M": 3600, "PT15M": 900}
 OTHER_STEP_S = 60
 LOCAL_ZONE = "Europe/Berlin"
 MAX_PRICE = 5
+PRICE_TIME = "yyyy-MM-dd HH:mm:ssX"
 
 
 class Normaliser(Protocol):
@@ -55,7 +56,7 @@ def _points(rows: DataFrame, unique_id: Column, ts: Column, value: Column) -> Da
 def extract_points(payloads: DataFrame) -> DataFrame:
     """``{"data": [{ts, value}]}`` per unique_id."""
     rows = payloads.select("unique_id", F.explode(F.from_json("payload", POINT_LIST)["data"]).alias("p"))
-    return _points(rows, F.col("unique_id"), F.to_timestamp("p.ts"), F.col("p.value"))
+    return _points(rows, F.col("unique_id"), read_instant(F.col("p.ts")), F.col("p.value"))
 
 
 def time_column(columns: Sequence[str]) -> str:
@@ -88,14 +89,14 @@ def extract_long(payloads: DataFrame, series_defs: DataFrame) -> DataFrame:
     """Rows tagged with a dataset id; unmapped datasets are dropped, missing values stay as NULL."""
     rows = payloads.select(F.explode(F.from_json("payload", DATASETS)["data"]).alias("p")).select("p.*")
     mapped = rows.join(series_defs.select("unique_id", F.col("dataset_id").alias("datasetId")), "datasetId")
-    return _points(mapped, F.col("unique_id"), F.to_timestamp("endTime"), F.col("value"))
+    return _points(mapped, F.col("unique_id"), read_instant(F.col("endTime")), F.col("value"))
 
 
 def extract_single(df: DataFrame, unique_id: str | Column) -> DataFrame:
     """One dataset: the value is the first column that is not a time."""
     value = next(c for c in df.columns if c not in ("startTime", "endTime", "unique_id"))
     name = F.lit(unique_id) if isinstance(unique_id, str) else unique_id
-    return _points(df, name, F.to_timestamp("endTime"), F.col(value))
+    return _points(df, name, read_instant(F.col("endTime")), F.col(value))
 
 
 def extract_pairs(payloads: DataFrame, start: datetime | str | None = None, end: datetime | str | None = None) -> DataFrame:
@@ -120,14 +121,14 @@ def extract_records(payloads: DataFrame) -> DataFrame:
     """Paged records of period and value; rows missing either are dropped. Pages are plain rows."""
     rows = payloads.select("unique_id", F.explode(F.from_json("payload", RECORDS)["response"]["data"]).alias("p"))
     kept = rows.filter(F.col("p.period").isNotNull() & F.col("p.value").isNotNull())
-    return _points(kept, F.col("unique_id"), F.to_timestamp("p.period"), F.col("p.value"))
+    return _points(kept, F.col("unique_id"), read_instant(F.col("p.period")), F.col("p.value"))
 
 
 def extract_market_xml(payloads: DataFrame) -> DataFrame:
     """Time series / period / points; an instant is the period start plus index times step."""
     series = payloads.select("unique_id", F.explode(F.from_xml("payload", MARKET_XML)["TimeSeries"]).alias("s"))
     points = series.select(
-        "unique_id", F.to_timestamp("s.Period.timeInterval.start").alias("_start"),
+        "unique_id", read_instant(F.col("s.Period.timeInterval.start")).alias("_start"),
         F.col("s.Period.resolution").alias("_resolution"), F.posexplode("s.Period.Point").alias("_i", "_p"),
     )
     step = F.lit(OTHER_STEP_S)
@@ -202,7 +203,8 @@ def price_events(rows: DataFrame, stations: DataFrame) -> DataFrame:
 def read_price_csv(spark, path: str | Sequence[str], stations: DataFrame) -> DataFrame:
     """Daily price files with a fixed schema; unreadable numbers become NULL."""
     schema = "date timestamp, station_uuid string, diesel double, e5 double, e10 double"
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("timestampFormat", PRICE_TIME)
+    raw = reader.schema(schema).csv(path)
     return price_events(raw, stations)
 
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forescale.operators.export import overwrite_touched
+from forescale.session import small_table
 
 
 def read_or_empty(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -23,17 +25,20 @@ def read_or_empty(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return small_table(spark, [], schema)
 
 
 def merge_partitions(
     folder: str, schema: str, partition: str, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> None:
     """Merges a batch that carries the partition column into the partitions it touches."""
-    spark = batch.sparkSession
-    touched = batch.select(partition).distinct()
-    state = read_or_empty(spark, folder, schema).join(touched, partition, "left_semi")
-    overwrite_touched(merge(state, batch), folder, partition)
+    rows = batch.persist(StorageLevel.DISK_ONLY)
+    try:
+        touched = rows.select(partition).distinct()
+        state = read_or_empty(batch.sparkSession, folder, schema).join(touched, partition, "left_semi")
+        overwrite_touched(merge(state, rows), folder, partition)
+    finally:
+        rows.unpersist()
 
 
 def with_day(df: DataFrame, ts: str = "ts") -> DataFrame:
