@@ -22,31 +22,27 @@ def parse_seconds(text: Column, strict: bool = True) -> Column:
     """``15 minutes`` or ``PT15M`` to 900. Bad text raises, or is NULL when not strict."""
     trimmed = F.trim(text)
     words = F.lower(trimmed)
-    unit = F.regexp_extract(words, _WORDS, 2)
     per_unit = F.lit(None).cast("long")
     for name, seconds in UNIT_SECONDS.items():
-        per_unit = F.when(unit == name, F.lit(seconds).cast("long")).otherwise(per_unit)
-    by_words = F.when(words.rlike(_WORDS), _group(words, _WORDS, 1) * per_unit)
-    iso_parts = [604800, 86400, 3600, 60, 1]
+        per_unit = F.when(words.contains(name), F.lit(seconds).cast("long")).otherwise(per_unit)
+    by_words = F.when(words.rlike(_WORDS), F.regexp_extract(words, _WORDS, 1).cast("long") * per_unit)
     iso_sum = F.lit(0).cast("long")
-    for index, seconds in enumerate(iso_parts, start=1):
+    for index, seconds in enumerate((604800, 86400, 3600, 60, 1), start=1):
         iso_sum = iso_sum + _group(trimmed, _ISO, index) * F.lit(seconds)
     by_iso = F.when(trimmed.rlike(_ISO), iso_sum)
-    parsed = F.coalesce(by_words, by_iso)
     if not strict:
-        return parsed
+        return F.coalesce(by_words, by_iso)
     bad = F.raise_error(F.concat(F.lit("invalid interval: "), text)).cast("long")
-    return F.when(text.isNull(), F.lit(None).cast("long")).when(parsed.isNull(), bad).otherwise(parsed)
+    return F.coalesce(by_words, by_iso, F.when(text.isNotNull(), bad))
+
+
+def _div(value: Column, by: int) -> Column:
+    return F.call_function("div", value, F.lit(by).cast("long"))
 
 
 def _split(seconds: Column) -> tuple[Column, Column, Column, Column]:
     s = seconds.cast("long")
-    return (
-        F.floor(s / 86400).cast("long"),
-        F.floor((s % 86400) / 3600).cast("long"),
-        F.floor((s % 3600) / 60).cast("long"),
-        (s % 60).cast("long"),
-    )
+    return _div(s, 86400), _div(s % 86400, 3600), _div(s % 3600, 60), s % 60
 
 
 def iso_text(seconds: Column) -> Column:
@@ -56,33 +52,30 @@ def iso_text(seconds: Column) -> Column:
     def part(value: Column, letter: str) -> Column:
         return F.when(value > 0, F.concat(value.cast("string"), F.lit(letter))).otherwise(F.lit(""))
 
-    clock = F.concat(part(hours, "H"), part(minutes, "M"), part(secs, "S"))
-    body = F.concat(part(days, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(F.lit("")))
-    return F.when(seconds.isNotNull(), F.concat(F.lit("P"), F.when(body == "", F.lit("0D")).otherwise(body)))
+    mark = F.when(seconds % 86400 > 0, F.lit("T")).otherwise(F.lit(""))
+    body = F.concat(F.lit("P"), part(days, "D"), mark, part(hours, "H"), part(minutes, "M"), part(secs, "S"))
+    return F.when(seconds == 0, F.lit("P0D")).otherwise(body)
 
 
 def db_text(seconds: Column) -> Column:
     """900 to ``00:15:00``, 86400 to ``1 day``, 93600 to ``1 day 02:00:00``."""
     days, hours, minutes, secs = _split(seconds)
-    two = [F.lpad(part.cast("string"), 2, "0") for part in (hours, minutes, secs)]
-    clock = F.concat_ws(":", *two)
-    day_word = F.when(days == 1, F.lit(" day")).otherwise(F.lit(" days"))
-    day_text = F.concat(days.cast("string"), day_word)
+    clock = F.format_string("%02d:%02d:%02d", hours, minutes, secs)
+    day_text = F.concat(days.cast("string"), F.when(days == 1, F.lit(" day")).otherwise(F.lit(" days")))
     return (
-        F.when(seconds.isNull(), F.lit(None).cast("string"))
-        .when(days == 0, clock)
-        .when(seconds.cast("long") % 86400 == 0, day_text)
-        .otherwise(F.concat_ws(" ", day_text, clock))
+        F.when(seconds < 86400, clock)
+        .when(seconds % 86400 == 0, day_text)
+        .when(seconds.isNotNull(), F.concat_ws(" ", day_text, clock))
     )
 
 
 def db_text_seconds(text: Column) -> Column:
     """Inverse of :func:`db_text`."""
-    days = _group(text, r"(\d+) days?", 1)
-    hours = _group(text, r"(\d+):(\d+)(?::(\d+))?", 1)
-    minutes = _group(text, r"(\d+):(\d+)(?::(\d+))?", 2)
-    secs = _group(text, r"(\d+):(\d+):(\d+)", 3)
-    return days * 86400 + hours * 3600 + minutes * 60 + secs
+    days = _group(text, r"(\d+) day", 1)
+    clock = F.split(F.regexp_extract(text, r"[\d:]+$", 0), ":")
+    part = lambda index: F.coalesce(F.get(clock, F.lit(index)).try_cast("long"), F.lit(0))
+    timed = F.when(F.size(clock) > 1, part(0) * 3600 + part(1) * 60 + part(2)).otherwise(F.lit(0))
+    return days * 86400 + timed
 
 
 def scope_id(frequency_s: Column, horizon_s: Column) -> Column:

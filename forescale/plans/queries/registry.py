@@ -22,9 +22,17 @@ def query(build: Callable[[World], DataFrame]) -> Callable[[World], DataFrame]:
     return build
 
 
+# Lifts exact halves, whose last bits depend on summation order, to one side before rounding.
+NUDGE = 1e-9
+
+
+def shown(value, digits: int = 6):
+    return F.round(value + F.lit(NUDGE), digits)
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Shown numbers; cut so that summation order does not show."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: shown(F.col(c), digits) for c in columns})
 
 
 def points_text(points, value: str = "y"):
@@ -32,5 +40,5 @@ def points_text(points, value: str = "y"):
     total = F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p[value])
     return [
         F.size(points).alias("n_points"), F.try_element_at(points, F.lit(1))["ts"].alias("first_ts"),
-        F.try_element_at(points, F.lit(-1))["ts"].alias("last_ts"), F.round(total, 6).alias("value_sum"),
+        F.try_element_at(points, F.lit(-1))["ts"].alias("last_ts"), shown(total).alias("value_sum"),
     ]

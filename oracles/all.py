@@ -2,6 +2,24 @@
 
 from importlib import import_module
 
+
+def lifted(sql: str, tail: str = ", 6)", nudge: str = "1e-9::DOUBLE") -> str:
+    """Rounds to six digits after lifting exact halves, as the queries do."""
+    out, at = "", 0
+    while (found := sql.find("round(", at)) >= 0:
+        depth, end = 1, found + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[found + 6:end]
+        if inner.endswith(tail):
+            inner = f"{lifted(inner[:-len(tail)])} + {nudge}{tail}"
+        else:
+            inner = lifted(inner)
+        out, at = f"{out}{sql[at:found]}round({inner}", end
+    return out + sql[at:]
+
+
 ORACLES: dict[str, str] = {}
 for _part in ("series", "rounds", "scores", "rankings", "history", "writes", "sources", "streams"):
-    ORACLES.update(import_module(f"oracles.{_part}").ORACLES)
+    ORACLES.update({name: lifted(sql) for name, sql in import_module(f"oracles.{_part}").ORACLES.items()})

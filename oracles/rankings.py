@@ -63,10 +63,12 @@ WHERE scope_type = 'frequency_horizon' AND scope_id = '1 day::3 days' AND is_lat
 ORACLES["rankings_of_definition"] = statement("board", f"""
 SELECT definition_id, rank_position, model_name, {_RATING}, round(avg_mase, 6) AS avg_mase FROM {_MONTHLY}
 WHERE calculation_date = DATE '2024-01-31' AND scope_type = 'definition' AND definition_id = 4 ORDER BY rank_position LIMIT 100""")
-ORACLES["rating_trajectory"] = statement("board", """
-SELECT model_id, scope_type, scope_id, definition_name, CAST(count(*) AS INTEGER) AS n, max(calculation_date) AS last_date,
-  round(arg_max(elo_rating_median, calculation_date), 6) AS last_score, arg_max(rank_position, calculation_date) AS last_rank
-FROM board GROUP BY model_id, scope_type, scope_id, definition_name""")
+ORACLES["rating_trajectory"] = statement("rankings definitions", """
+SELECT k.model_id, k.scope_type, k.scope_id, d.name AS definition_name, k.n, k.last_date, k.last_score, k.last_rank
+FROM (SELECT model_id, scope_type, scope_id, CAST(count(*) AS INTEGER) AS n, max(calculation_date) AS last_date,
+    round(arg_max(elo_rating_median, calculation_date), 6) AS last_score, arg_max(rank_position, calculation_date) AS last_rank
+  FROM rankings GROUP BY model_id, scope_type, scope_id) k
+LEFT JOIN definitions d ON k.scope_type = 'definition' AND k.scope_id = CAST(d.id AS VARCHAR)""")
 ORACLES["ranking_filter_options"] = statement("board definitions", f"""
 SELECT 'definition' AS kind, CAST(id AS VARCHAR) AS key, name AS label FROM definitions WHERE is_active
 UNION ALL SELECT DISTINCT 'frequency_horizon', scope_id, NULL FROM board WHERE scope_type = 'frequency_horizon'
