@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 RESOLUTION_SECONDS = {"15min": 900, "1h": 3600, "1d": 86400}
 
+ISO_SECONDS = {"W": 604800, "D": 86400, "H": 3600, "M": 60, "S": 1}
+
 _WORDS = r"^(\d+)\s*(second|minute|hour|day|week)s?$"
-_ISO = r"^P(?=.)(?:(\d+)W)?(?:(\d+)D)?(?:T(?=.)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"
+_ISO = r"^P(?=.)(?:\d+W)?(?:\d+D)?(?:T(?=.)(?:\d+H)?(?:\d+M)?(?:\d+S)?)?$"
 
 
-def _group(text: Column, pattern: str, index: int) -> Column:
-    found = F.regexp_extract(text, pattern, index)
-    return F.when(found == "", F.lit(0)).otherwise(found).cast("long")
+def _number(text: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("long"), F.lit(0))
 
 
 def parse_seconds(text: Column, strict: bool = True) -> Column:
@@ -26,10 +27,14 @@ def parse_seconds(text: Column, strict: bool = True) -> Column:
     for name, seconds in UNIT_SECONDS.items():
         per_unit = F.when(words.contains(name), F.lit(seconds).cast("long")).otherwise(per_unit)
     by_words = F.when(words.rlike(_WORDS), F.regexp_extract(words, _WORDS, 1).cast("long") * per_unit)
-    iso_sum = F.lit(0).cast("long")
-    for index, seconds in enumerate((604800, 86400, 3600, 60, 1), start=1):
-        iso_sum = iso_sum + _group(trimmed, _ISO, index) * F.lit(seconds)
-    by_iso = F.when(trimmed.rlike(_ISO), iso_sum)
+    letter = F.create_map(*[F.lit(x) for pair in ISO_SECONDS.items() for x in pair])
+
+    def add(total: Column, part: Column) -> Column:
+        count = F.substr(part, F.lit(1), F.length(part) - 1).cast("long")
+        return total + count * F.element_at(letter, F.right(part, F.lit(1)))
+
+    parts = F.regexp_extract_all(trimmed, F.lit(r"\d+[WDHMS]"), F.lit(0))
+    by_iso = F.when(trimmed.rlike(_ISO), F.aggregate(parts, F.lit(0).cast("long"), add))
     if not strict:
         return F.coalesce(by_words, by_iso)
     bad = F.raise_error(F.concat(F.lit("invalid interval: "), text)).cast("long")
@@ -71,11 +76,9 @@ def db_text(seconds: Column) -> Column:
 
 def db_text_seconds(text: Column) -> Column:
     """Inverse of :func:`db_text`."""
-    days = _group(text, r"(\d+) day", 1)
-    clock = F.split(F.regexp_extract(text, r"[\d:]+$", 0), ":")
-    part = lambda index: F.coalesce(F.get(clock, F.lit(index)).try_cast("long"), F.lit(0))
-    timed = F.when(F.size(clock) > 1, part(0) * 3600 + part(1) * 60 + part(2)).otherwise(F.lit(0))
-    return days * 86400 + timed
+    days, hours = _number(text, r"(\d+) day"), _number(text, r"(\d+):")
+    minutes, secs = _number(text, r":(\d+)"), _number(text, r":\d+:(\d+)")
+    return days * 86400 + hours * 3600 + minutes * 60 + secs
 
 
 def scope_id(frequency_s: Column, horizon_s: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from forescale.functions.durations import expected_points, resolution_of
 from forescale.functions.numeric import live_mase
 from forescale.functions.times import in_dates, shift
+from forescale.operators.ordered import unroll
 from forescale.operators.scoring import live_pairs
 from forescale.operators.upsert import insert_ignore
 
@@ -18,9 +19,7 @@ def forecast_grid(rounds: DataFrame) -> DataFrame:
     """(round_id, ts) for every step from the start of the window to before its end."""
     steps = F.floor((F.unix_micros("end_time") - F.unix_micros("start_time") - 1) / (F.col("frequency_s") * 1_000_000))
     grid = rounds.filter((F.col("frequency_s") > 0) & (F.col("end_time") > F.col("start_time")))
-    return grid.select(
-        F.col("id").alias("round_id"), "start_time", "frequency_s", F.explode(F.sequence(F.lit(0).cast("long"), steps.cast("long"))).alias("_k")
-    ).select("round_id", shift(F.col("start_time"), F.col("_k") * F.col("frequency_s")).alias("ts"))
+    return unroll(grid, steps, "_k").select(F.col("id").alias("round_id"), shift(F.col("start_time"), F.col("_k") * F.col("frequency_s")).alias("ts"))
 
 
 def naive_forecast(rounds: DataFrame, context: DataFrame) -> DataFrame:

@@ -65,13 +65,15 @@ def merge_counts(actions: DataFrame, batch: DataFrame, keys: Sequence[str] = tup
     ``unchanged_exact`` takes them off once.
     """
     tally = actions.agg(
-        F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "closed").alias("updated")
+        F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "closed").alias("updated"),
+        F.lit(0).cast("long").alias("n"),
     )
-    size = batch.select(*keys).distinct().agg(F.count(F.lit(1)).alias("_n"))
-    both = tally.withColumn("_j", F.lit(1)).join(size.withColumn("_j", F.lit(1)), "_j")
+    none = F.lit(0).cast("long")
+    size = batch.select(*keys).distinct().agg(none.alias("inserted"), none.alias("updated"), F.count(F.lit(1)).alias("n"))
+    both = tally.unionByName(size).agg(*[F.sum(c).alias(c) for c in ("inserted", "updated", "n")])
     return both.select(
-        "inserted", "updated", F.greatest(F.col("_n") - F.col("inserted") - F.col("updated"), F.lit(0)).alias("unchanged"),
-        (F.col("_n") - F.col("inserted")).alias("unchanged_exact"),
+        "inserted", "updated", F.greatest(F.col("n") - F.col("inserted") - F.col("updated"), F.lit(0)).alias("unchanged"),
+        (F.col("n") - F.col("inserted")).alias("unchanged_exact"),
     )
 
 
@@ -172,14 +174,17 @@ def round_instants(rounds: DataFrame, scores: DataFrame, as_of: datetime | str)
     ).drop("_done")
 
 
-def round_context(instants: DataFrame, pseudo: DataFrame, history: DataFrame) -> DataFrame:
+def round_context(instants: DataFrame, pseudo: DataFrame, history: DataFrame, since: datetime | str | None = None) -> DataFrame:
     """Everything known of a round's series at its creation, before its window.
 
-    The result itself is rounds x history, so pass the rounds that are wanted. Versions created
-    after the newest wanted round are cut off before the join.
+    The result itself is rounds x history of their series, so pass the rounds that are wanted.
+    ``since`` bounds the reach back. The join key is the series; a heavy one is split by the
+    adaptive skew join.
     """
     wanted = pseudo.select("round_id", "series_id", "challenge_series_name").join(instants, "round_id")
     known = history.select(*POINT, "value", "valid_from", "valid_to")
+    if since is not None:
+        known = known.filter(F.col("ts") >= instant(since))
     return (
         wanted.join(known, "series_id")
         .filter((F.col("ts") < F.col("start_time")) & valid_at(F.col("created_at"), F.col("valid_from"), F.col("valid_to")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forescale.functions.times import shift
-from forescale.operators.ordered import CHUNK, next_row
+from forescale.operators.ordered import CHUNK, next_row, unroll
 
 # Quality codes.
 ORIGINAL = 0
@@ -36,10 +36,9 @@ def impute_gaps(
     step = F.col("frequency_s").cast("long") * 1_000_000
     missing = F.floor(gap / step).cast("long") - 1
     opened = pairs.withColumns({"_gap": gap, "_step": step}).withColumn(
-        "_n", F.when(2 * F.col("_gap") > 3 * F.col("_step"), F.greatest(missing, F.lit(0))).otherwise(0)
+        "_n", F.when(2 * F.col("_gap") > 3 * F.col("_step"), F.greatest(missing, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
     )
-    steps = F.when(F.col("_n") > 0, F.sequence(F.lit(0).cast("long"), F.col("_n"))).otherwise(F.array(F.lit(0).cast("long")))
-    rows = opened.select("*", F.explode(steps).alias("_i"))
+    rows = unroll(opened, F.col("_n"), "_i")
     between = F.col("value") + (F.col("_value") - F.col("value")) * (F.col("_i") / (F.col("_n") + 1))
     wide = F.col("_gap") > F.col("_step") * max_gap_factor
     first = F.col("_i") == 0

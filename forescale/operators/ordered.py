@@ -24,6 +24,17 @@ def _chunked(df: DataFrame, ts: str, chunk: str) -> DataFrame:
     return df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
 
 
+def unroll(df: DataFrame, last: Column, name: str, width: int = 4096) -> DataFrame:
+    """Each row once per ``name`` in 0..last. Long runs unroll in two steps, so no array is long."""
+    zero = F.lit(0).cast("long")
+    outer = df.withColumn("_last", last.cast("long")).withColumn(
+        "_block", F.explode(F.sequence(zero, F.floor(F.col("_last") / width).cast("long")))
+    )
+    first = F.col("_block") * width
+    inner = F.sequence(first, F.least(F.col("_last"), first + (width - 1)))
+    return outer.withColumn(name, F.explode(inner)).drop("_last", "_block")
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos", chunk: str = CHUNK) -> DataFrame:
     """1-based position of every row within its key, by time."""
     keys = list(keys)
@@ -46,17 +57,17 @@ def next_row(df: DataFrame, keys: Sequence[str], ts: str, cols: dict[str, str],
     """Adds columns of the following row of the same key: ``cols`` maps new name to source column."""
     keys = list(keys)
     cut = _chunked(df, ts, chunk)
-    payload = F.struct(*[F.col(source).alias(name) for name, source in cols.items()])
     later = W.partitionBy(*keys).orderBy("_chunk")
     heads = (
         cut.groupBy(*keys, "_chunk")
-        .agg(F.min_by(payload, ts).alias("_head"))
-        .select(*keys, "_chunk", F.lead("_head").over(later).alias("_next_head"))
+        .agg(*[F.min_by(source, ts).alias(f"_h_{name}") for name, source in cols.items()])
+        .select(*keys, "_chunk", *[F.lead(f"_h_{name}").over(later).alias(f"_h_{name}") for name in cols])
     )
-    inside = cut.withColumn("_next", F.lead(payload).over(W.partitionBy(*keys, "_chunk").orderBy(ts)))
-    joined = inside.join(heads, [*keys, "_chunk"])
-    following = F.coalesce(F.col("_next"), F.col("_next_head"))
-    return joined.select(*df.columns, *[following[name].alias(name) for name in cols])
+    inside = W.partitionBy(*keys, "_chunk").orderBy(ts)
+    own = {f"_n_{name}": F.lead(source).over(inside) for name, source in cols.items()}
+    joined = cut.withColumns({"_has_next": F.lead(F.lit(True)).over(inside), **own}).join(heads, [*keys, "_chunk"])
+    following = [F.when(F.col("_has_next"), F.col(f"_n_{name}")).otherwise(F.col(f"_h_{name}")).alias(name) for name in cols]
+    return joined.select(*df.columns, *following)
 
 
 def last_n(df: DataFrame, keys: Sequence[str], ts: str, n: int, chunk: str = CHUNK) -> DataFrame:

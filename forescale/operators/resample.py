@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forescale.functions.times import floor_to, instant, shift
+from forescale.operators.ordered import unroll
 
 STEP_S = 600
 DIGITS = 4
@@ -48,10 +49,9 @@ def resample_events(
     mean = total / F.nullif(count, F.lit(0))
     stop = F.least(F.coalesce(F.col("_next"), instant(end)), instant(end))
     steps = F.floor((F.unix_micros(stop) - F.unix_micros("bin") - 1) / (step_s * 1_000_000)).cast("long")
-    grid = linked.withColumn("_mean", mean).withColumn("_steps", steps).filter("_steps >= 0").select(
-        *keys, "bin", "_mean", "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_steps"))).alias("_i")
-    )
-    value = F.when(F.col("_i") == 0, F.col("_mean")).otherwise(F.col("_last"))
+    filled = linked.withColumn("_mean", mean).withColumn("_steps", steps).filter("_steps >= 0")
+    grid = unroll(filled.select(*keys, "bin", "_mean", F.col("_last").alias("_price"), "_steps"), F.col("_steps"), "_i")
+    value = F.when(F.col("_i") == 0, F.col("_mean")).otherwise(F.col("_price"))
     return (
         grid.select(*keys, shift(F.col("bin"), F.col("_i") * step_s).alias("ts"), value.alias("price"))
         .filter((F.col("ts") >= instant(start)) & F.col("price").isNotNull())

@@ -16,7 +16,7 @@ from forescale.operators.rollup import context_stats
 
 DEFAULT_REGISTRATION_S = 3600
 FILTER_LISTS = ("domains", "subdomains", "categories", "subcategories")
-BLOCK = 256
+SAMPLE_SLICES = 64
 
 
 def status_of(as_of: Column) -> Column:
@@ -99,21 +99,25 @@ def choose_series(
 ) -> DataFrame:
     """(round_id, series_id, is_sampled): the definition's current series, else a seeded sample.
 
-    The sample ranks by a hash of seed, round and series and keeps ``n_time_series``; Spark cuts
-    the ranking to that many rows on the map side.
+    The sample ranks by a hash of seed, round and series and keeps ``n_time_series``. Ranks are
+    taken within slices of a round's candidates first, so a round that may draw from millions of
+    series sends only the best of each slice to its final ranking; the result is the same.
     """
     keys = rounds.select(F.col("id").alias("round_id"), "definition_id")
     required = current_series(assignments)
     fixed = keys.join(required, "definition_id").select("round_id", "series_id", F.lit(False).alias("is_sampled"))
     open_rounds = keys.join(required.select("definition_id").distinct(), "definition_id", "left_anti")
     limits = definitions.select(F.col("id").alias("definition_id"), "n_time_series")
-    ranked = (
+    drawn = (
         open_rounds.join(limits, "definition_id")
         .join(eligible, "definition_id")
         .withColumn("_key", order_key(seed, F.col("round_id"), F.col("series_id")))
-        .withColumn("_rn", F.row_number().over(W.partitionBy("round_id").orderBy("_key", "series_id")))
-        .filter(F.col("_rn") <= F.col("n_time_series"))
+        .withColumn("_slice", F.pmod(F.hash("series_id"), F.lit(SAMPLE_SLICES)))
     )
+    ranked = drawn
+    for group in (["round_id", "_slice"], ["round_id"]):
+        best = W.partitionBy(*group).orderBy("_key", "series_id")
+        ranked = ranked.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= F.col("n_time_series"))
     return fixed.unionByName(ranked.select("round_id", "series_id", F.lit(True).alias("is_sampled")))
 
 

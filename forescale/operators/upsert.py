@@ -16,22 +16,27 @@ from forescale.functions.times import instant
 from forescale.operators.ordered import keep_one
 
 
-def prefer_new(target: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Full outer join on null-safe keys; ``columns`` come from the new row where there is one."""
+def prefer_new(
+    target: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str], nullable: Sequence[str] = ()
+) -> DataFrame:
+    """Full outer join on the keys; ``columns`` come from the new row where there is one.
+
+    Plain equality keeps the partitioning of rows that were just grouped by the same keys, so
+    they are not shuffled again. Keys in ``nullable`` match NULL with NULL.
+    """
     keys = list(keys)
-    old_seen = F.struct(*[F.col(c) for c in target.columns])
-    new_seen = F.struct(*[F.col(c) for c in rows.columns])
-    old = target.select(old_seen.alias("o"), *[F.col(k).alias(f"_ok_{k}") for k in keys])
-    new = rows.select(new_seen.alias("n"), *[F.col(k).alias(f"_nk_{k}") for k in keys])
+    old = target.select(F.struct(*target.columns).alias("o"), *[F.col(k).alias(f"_ok_{k}") for k in keys])
+    new = rows.select(F.struct(*rows.columns).alias("n"), *[F.col(k).alias(f"_nk_{k}") for k in keys])
     match = F.lit(True)
     for key in keys:
-        match = match & F.col(f"_ok_{key}").eqNullSafe(F.col(f"_nk_{key}"))
+        left, right = F.col(f"_ok_{key}"), F.col(f"_nk_{key}")
+        match = match & (left.eqNullSafe(right) if key in nullable else left == right)
     joined = old.join(new, match, "full_outer")
     is_new = F.col("n").isNotNull()
     out = []
     for column in target.columns:
         if column in keys:
-            out.append(F.coalesce(F.col(f"_nk_{column}"), F.col(f"_ok_{column}")).alias(column))
+            out.append(F.when(is_new, F.col(f"_nk_{column}")).otherwise(F.col(f"_ok_{column}")).alias(column))
         elif column in columns:
             out.append(F.when(is_new, F.col("n")[column]).otherwise(F.col("o")[column]).alias(column))
         elif column in rows.columns:
@@ -79,7 +84,7 @@ def upsert_scores(scores: DataFrame, rows: DataFrame, as_of: datetime | str) ->
 def upsert_rankings(rankings: DataFrame, rows: DataFrame) -> DataFrame:
     """Snapshot rows keyed by date, model and scope; the global scope's NULL id matches itself."""
     keys = ["calculation_date", "model_id", "scope_type", "scope_id"]
-    return prefer_new(rankings, rows, keys, [c for c in rows.columns if c not in keys])
+    return prefer_new(rankings, rows, keys, [c for c in rows.columns if c not in keys], nullable=["scope_id"])
 
 
 def upsert_series_pseudo(pseudo: DataFrame, rows: DataFrame) -> DataFrame:

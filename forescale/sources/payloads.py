@@ -150,11 +150,11 @@ def extract_garages(payloads: DataFrame, series_defs: DataFrame) -> DataFrame:
         F.coalesce(local_to_utc(local, LOCAL_ZONE), F.col("poll_ts")).alias("ts"),
     ).filter(F.col("free").isNotNull())
     names = series_defs.select(F.lower("garage").alias("garage"), "unique_id")
-    each = parsed.join(names, "garage").filter(F.col("garage") != TOTAL)
-    total = parsed.groupBy("poll_ts").agg(F.sum("free").alias("free")).withColumn("garage", F.lit(TOTAL)).join(names, "garage")
-    return _points(each, F.col("unique_id"), F.col("ts"), F.col("free")).unionByName(
-        _points(total, F.col("unique_id"), F.col("poll_ts"), F.col("free"))
-    )
+    columns = ["garage", "ts", "free"]
+    total = parsed.groupBy(F.col("poll_ts").alias("ts")).agg(F.sum("free").alias("free")).withColumn("garage", F.lit(TOTAL))
+    each = parsed.filter(F.col("garage") != TOTAL).select(*columns)
+    both = each.unionByName(total.select(*columns)).join(names, "garage")
+    return _points(both, F.col("unique_id"), F.col("ts"), F.col("free"))
 
 
 def extract_stations(payloads: DataFrame, series_defs: DataFrame) -> DataFrame:

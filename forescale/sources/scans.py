@@ -77,9 +77,9 @@ def point_summary(points: DataFrame) -> DataFrame:
     return points.groupBy("series_id").agg(F.max("ts").alias("latest_ts"), F.count(F.lit(1)).alias("n_points"))
 
 
-def find_series(catalogue: DataFrame, **equal: object) -> DataFrame:
-    """Catalogue rows whose columns equal the given values (series_id, name, unique_id)."""
-    kept = catalogue
+def find(table: DataFrame, **equal: object) -> DataFrame:
+    """Rows whose columns equal the given values: a series by unique_id, a round by name, a model by id."""
+    kept = table
     for column, value in equal.items():
         kept = kept.filter(F.col(column) == F.lit(value))
     return kept
@@ -97,7 +97,7 @@ def participants(forecasts: DataFrame) -> DataFrame:
 
 def models_of(models: DataFrame, users: DataFrame | None = None, **equal: object) -> DataFrame:
     """Models by id, user or (name, user); a ``users`` table narrows to its owners."""
-    kept = find_series(models, **equal)
+    kept = find(models, **equal)
     if users is not None:
         kept = kept.join(users.select(F.col("id").alias("user_id")).distinct(), "user_id", "left_semi")
     return kept
