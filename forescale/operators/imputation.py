@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forescale.functions.times import shift
-from forescale.operators.ordered import CHUNK, next_row, unroll
+from forescale.operators.ordered import CHUNKS, next_row, unroll
 
 # Quality codes.
 ORIGINAL = 0
@@ -16,7 +18,8 @@ MAX_GAP_FACTOR = 6
 
 
 def impute_gaps(
-    points: DataFrame, max_gap_factor: float = MAX_GAP_FACTOR, enabled: bool = True, method: str = "linear", chunk: str = CHUNK
+    points: DataFrame, max_gap_factor: float = MAX_GAP_FACTOR, enabled: bool = True, method: str = "linear",
+    chunks: Sequence[str] = CHUNKS,
 ) -> DataFrame:
     """Points with ``frequency_s`` plus filled gaps, as (series_id, ts, value, quality_code).
 
@@ -31,7 +34,7 @@ def impute_gaps(
     if method != "linear":
         raise ValueError(f"unknown imputation method: {method}")
     clean = points.filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
-    pairs = next_row(clean.select(*columns, "frequency_s"), ["series_id"], "ts", {"_ts": "ts", "_value": "value"}, chunk)
+    pairs = next_row(clean.select(*columns, "frequency_s"), ["series_id"], "ts", {"_ts": "ts", "_value": "value"}, chunks)
     gap = F.unix_micros("_ts") - F.unix_micros("ts")
     step = F.col("frequency_s").cast("long") * 1_000_000
     missing = F.floor(gap / step).cast("long") - 1

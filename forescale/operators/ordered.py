@@ -1,12 +1,13 @@
-"""Ordered operators over time series that stay even when one series holds most of the rows.
+"""Ordered operators over time series that stay even when one series, or one hour, holds most rows.
 
 A window over a whole raw series would put that series into one task. Here rows are cut into
-calendar chunks first. Work inside a chunk runs per (key, chunk); only one summary row per chunk
-goes through a window over the whole key, and a key has no more chunks than its calendar
-(44,000 hours in five years) however many rows arrive. Points are unique per (series, ts) with
-microsecond instants, so a chunk is bounded as well; dense feeds pass ``chunk="minute"``.
+calendar chunks, by default minutes within days. Only rows of one minute meet in a window; each
+minute leaves one summary row, summaries of one day meet in the next window, and one row per day
+reaches the window over the whole key. All three are bounded however many rows arrive: points
+are unique per (series, microsecond), so a minute holds at most 60 million of them, a day has
+1,440 minutes, and five years have 1,826 days.
 
-Rollup tables need none of this: their rows per series are bounded by the calendar already.
+Regular grids and rollups are bounded by the calendar already; they pass ``DAYS`` or ``WHOLE``.
 """
 
 from __future__ import annotations
@@ -17,11 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK = "hour"
-
-
-def _chunked(df: DataFrame, ts: str, chunk: str) -> DataFrame:
-    return df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
+CHUNKS = ("day", "minute")
+DAYS = ("day",)
+WHOLE = ()
 
 
 def unroll(df: DataFrame, last: Column, name: str, width: int = 4096) -> DataFrame:
@@ -35,60 +34,90 @@ def unroll(df: DataFrame, last: Column, name: str, width: int = 4096) -> DataFra
     return outer.withColumn(name, F.explode(inner)).drop("_last", "_block")
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos", chunk: str = CHUNK) -> DataFrame:
-    """1-based position of every row within its key, by time."""
-    keys = list(keys)
-    cut = _chunked(df, ts, chunk)
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        cut.groupBy(*keys, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = cut.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(ts)))
-    return (
-        inside.join(starts, [*keys, "_chunk"])
-        .withColumn(name, F.col("_start") + F.col("_rn"))
-        .drop("_chunk", "_rn", "_start")
-    )
+def _before(keys: Sequence[str], order: Sequence[Column | str]) -> W:
+    return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+
 
+def _cut(df: DataFrame, ts: str, chunks: Sequence[str]) -> tuple[DataFrame, str]:
+    """Rows with the start of their finest chunk, under a name of its own per level."""
+    name = f"_chunk{len(chunks)}"
+    return df.withColumn(name, F.date_trunc(chunks[-1], F.col(ts))), name
 
-def next_row(df: DataFrame, keys: Sequence[str], ts: str, cols: dict[str, str], chunk: str = CHUNK) -> DataFrame:
-    """Adds columns of the following row of the same key: ``cols`` maps new name to source column."""
+
+def neighbour(
+    df: DataFrame, keys: Sequence[str], ts: str, cols: dict[str, str], after: bool = False, known: bool = False,
+    ties: Sequence[str] = (), chunks: Sequence[str] = CHUNKS,
+) -> DataFrame:
+    """Adds columns of the row before (or after) of the same key; ``cols`` maps new name to source.
+
+    With ``known`` each column is the nearest one that is not NULL.
+    """
     keys = list(keys)
-    cut = _chunked(df, ts, chunk)
-    later = W.partitionBy(*keys).orderBy("_chunk")
-    heads = (
-        cut.groupBy(*keys, "_chunk")
-        .agg(*[F.min_by(source, ts).alias(f"_h_{name}") for name, source in cols.items()])
-        .select(*keys, "_chunk", *[F.lead(f"_h_{name}").over(later).alias(f"_h_{name}") for name in cols])
-    )
-    inside = W.partitionBy(*keys, "_chunk").orderBy(ts)
-    own = {f"_n_{name}": F.lead(source).over(inside) for name, source in cols.items()}
-    joined = cut.withColumns({"_has_next": F.lead(F.lit(True)).over(inside), **own}).join(heads, [*keys, "_chunk"])
-    following = [F.when(F.col("_has_next"), F.col(f"_n_{name}")).otherwise(F.col(f"_h_{name}")).alias(name) for name in cols]
-    return joined.select(*df.columns, *following)
+    order = [F.desc(ts) if after else F.asc(ts), *ties]
+    if not chunks:
+        frame = _before(keys, order)
+        return df.withColumns({name: F.last(source, ignorenulls=known).over(frame) for name, source in cols.items()})
+    cut, chunk = _cut(df, ts, chunks)
+    frame = _before([*keys, chunk], order)
+    edge = F.min_by if after else F.max_by
+    summary = cut.groupBy(*keys, chunk).agg(*[
+        edge(source, F.when(F.col(source).isNotNull(), F.col(ts)) if known else F.col(ts)).alias(f"_e{len(chunks)}_{name}")
+        for name, source in cols.items()
+    ])
+    carried = neighbour(
+        summary, keys, chunk, {f"_c{len(chunks)}_{name}": f"_e{len(chunks)}_{name}" for name in cols}, after, known, (), chunks[:-1]
+    ).select(*keys, chunk, *[f"_c{len(chunks)}_{name}" for name in cols])
+    seen = {f"_s{len(chunks)}_{name}": F.last(source, ignorenulls=known).over(frame) for name, source in cols.items()}
+    joined = cut.withColumns({"_inside": F.last(F.lit(True)).over(frame), **seen}).join(carried, [*keys, chunk])
+
+    def nearest(name: str) -> Column:
+        near, far = F.col(f"_s{len(chunks)}_{name}"), F.col(f"_c{len(chunks)}_{name}")
+        return F.coalesce(near, far) if known else F.when(F.col("_inside"), near).otherwise(far)
+
+    return joined.select(*df.columns, *[nearest(name).alias(name) for name in cols])
+
+
+def running_total(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str | None, name: str, after: bool = False, chunks: Sequence[str] = CHUNKS
+) -> DataFrame:
+    """Adds the sum of ``value`` (or count of rows) over all rows before (or after) of the key."""
+    keys = list(keys)
+    order = [F.desc(ts) if after else F.asc(ts)]
+    amount = F.lit(1) if value is None else F.col(value)
+    if not chunks:
+        return df.withColumn(name, F.coalesce(F.sum(amount).over(_before(keys, order)), F.lit(0)).cast("long"))
+    cut, chunk = _cut(df, ts, chunks)
+    own, far = f"_t{len(chunks)}", f"_f{len(chunks)}"
+    summary = cut.groupBy(*keys, chunk).agg(F.sum(amount).alias(own))
+    carried = running_total(summary, keys, chunk, own, far, after, chunks[:-1]).select(*keys, chunk, far)
+    near = F.coalesce(F.sum(amount).over(_before([*keys, chunk], order)), F.lit(0))
+    joined = cut.withColumn("_near", near).join(carried, [*keys, chunk])
+    return joined.select(*df.columns, (F.col("_near") + F.col(far)).cast("long").alias(name))
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos", chunks: Sequence[str] = CHUNKS) -> DataFrame:
+    """1-based position of every row within its key, by time."""
+    return running_total(df, keys, ts, None, name, chunks=chunks).withColumn(name, F.col(name) + 1)
 
 
-def last_n(df: DataFrame, keys: Sequence[str], ts: str, n: int, chunk: str = CHUNK) -> DataFrame:
+def next_row(df: DataFrame, keys: Sequence[str], ts: str, cols: dict[str, str], chunks: Sequence[str] = CHUNKS) -> DataFrame:
+    """Adds columns of the following row of the same key."""
+    return neighbour(df, keys, ts, cols, after=True, chunks=chunks)
+
+
+def last_n(df: DataFrame, keys: Sequence[str], ts: str, n: int, chunks: Sequence[str] = CHUNKS) -> DataFrame:
     """The newest ``n`` rows of every key.
 
     Chunk counts tell from which chunk on rows can still be among the last ``n``; older chunks
-    never reach the ranking window, which then holds at most ``n`` rows plus one chunk.
+    never reach a ranking.
     """
     keys = list(keys)
-    cut = _chunked(df, ts, chunk)
-    newer = W.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
-    wanted = (
-        cut.groupBy(*keys, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
-        .filter(F.col("_newer") < n)
-        .select(*keys, "_chunk", "_newer")
-    )
-    inside = W.partitionBy(*keys, "_chunk").orderBy(F.desc(ts))
+    cut, chunk = _cut(df, ts, chunks)
+    counts = cut.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = running_total(counts, keys, chunk, "_n", "_newer", after=True, chunks=chunks[:-1]).filter(F.col("_newer") < n)
+    inside = W.partitionBy(*keys, chunk).orderBy(F.desc(ts))
     return (
-        cut.join(wanted, [*keys, "_chunk"])
+        cut.join(wanted.select(*keys, chunk, "_newer"), [*keys, chunk])
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_newer") + F.col("_rn") <= n)
         .select(*df.columns)
@@ -96,80 +125,38 @@ def last_n(df: DataFrame, keys: Sequence[str], ts: str, n: int, chunk: str = CHU
 
 
 def as_of_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    left_ts: str,
-    right_ts: str,
-    cols: Sequence[str],
-    chunk: str = CHUNK,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, cols: Sequence[str],
+    chunks: Sequence[str] = CHUNKS,
 ) -> DataFrame:
-    """Every left row with ``cols`` of the newest right row at or before it (NULL when none)."""
+    """Every left row with ``cols`` of the newest right row at or before it (NULL when none).
+
+    ``cols`` are struct-packed, so a NULL in the newest right row is not skipped.
+    """
     keys = list(keys)
-    empty = F.lit(None)
     payload = F.struct(*[F.col(c) for c in cols])
     payload_type = right.select(payload.alias("p")).schema["p"].dataType
     row = F.struct(*[F.col(c) for c in left.columns])
     row_type = left.select(row.alias("r")).schema["r"].dataType
     both = right.select(
-        *keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_kind"),
-        payload.alias("_p"), empty.cast(row_type).alias("_row"),
-    ).unionByName(
-        left.select(
-            *keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_kind"),
-            empty.cast(payload_type).alias("_p"), row.alias("_row"),
-        )
-    )
-    cut = _chunked(both, "_ts", chunk)
-    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    tails = (
-        cut.groupBy(*keys, "_chunk")
-        .agg(F.max_by("_p", F.when(F.col("_kind") == 0, F.col("_ts"))).alias("_tail"))
-        .select(*keys, "_chunk", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
-    )
-    sofar = W.partitionBy(*keys, "_chunk").orderBy("_ts", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    found = F.coalesce(F.col("_seen"), F.col("_carry"))
-    return (
-        cut.withColumn("_seen", F.last("_p", ignorenulls=True).over(sofar))
-        .filter(F.col("_kind") == 1)
-        .join(tails, [*keys, "_chunk"])
-        .select("_row.*", *[found[c].alias(c) for c in cols])
-    )
+        *keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_kind"), payload.alias("_p"), F.lit(None).cast(row_type).alias("_row")
+    ).unionByName(left.select(
+        *keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_kind"), F.lit(None).cast(payload_type).alias("_p"), row.alias("_row")
+    ))
+    found = neighbour(both, keys, "_ts", {"_found": "_p"}, known=True, ties=["_kind"], chunks=chunks)
+    return found.filter(F.col("_kind") == 1).select("_row.*", *[F.col("_found")[c].alias(c) for c in cols])
 
 
-def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, value: str, chunk: str = CHUNK) -> DataFrame:
+def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, value: str, chunks: Sequence[str] = CHUNKS) -> DataFrame:
     """NULLs in ``value`` take the newest earlier value of the key."""
-    keys = list(keys)
-    cut = _chunked(df, ts, chunk)
-    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    tails = (
-        cut.groupBy(*keys, "_chunk")
-        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts))).alias("_tail"))
-        .select(*keys, "_chunk", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
-    )
-    sofar = W.partitionBy(*keys, "_chunk").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
-    filled = F.coalesce(F.last(value, ignorenulls=True).over(sofar), F.col("_carry"))
-    return cut.join(tails, [*keys, "_chunk"]).withColumn(value, filled).select(*df.columns)
+    filled = neighbour(df, keys, ts, {"_before": value}, known=True, chunks=chunks)
+    return filled.withColumn(value, F.coalesce(value, "_before")).select(*df.columns)
 
 
-def changes_only(df: DataFrame, keys: Sequence[str], ts: str, value: str, chunk: str = CHUNK) -> DataFrame:
+def changes_only(df: DataFrame, keys: Sequence[str], ts: str, value: str, chunks: Sequence[str] = CHUNKS) -> DataFrame:
     """Rows whose value differs from the previous row of the key; the first row stays."""
-    keys = list(keys)
-    cut = _chunked(df, ts, chunk)
-    by_chunk = W.partitionBy(*keys).orderBy("_chunk")
-    tails = (
-        cut.groupBy(*keys, "_chunk")
-        .agg(F.max_by(F.struct(value), ts).alias("_tail"))
-        .select(*keys, "_chunk", F.lag("_tail").over(by_chunk).alias("_carry"))
-    )
-    inside = W.partitionBy(*keys, "_chunk").orderBy(ts)
-    previous = F.coalesce(F.col("_prev"), F.col("_carry"))
-    return (
-        cut.withColumn("_prev", F.lag(F.struct(value)).over(inside))
-        .join(tails, [*keys, "_chunk"])
-        .filter(previous.isNull() | ~F.col(value).eqNullSafe(previous[value]))
-        .select(*df.columns)
-    )
+    marked = df.withColumn("_row", F.lit(True))
+    linked = neighbour(marked, keys, ts, {"_before": value, "_any": "_row"}, chunks=chunks)
+    return linked.filter(F.col("_any").isNull() | ~F.col(value).eqNullSafe(F.col("_before"))).select(*df.columns)
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], last: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forescale.functions.times import floor_to, instant, shift
-from forescale.operators.ordered import unroll
+from forescale.operators.ordered import neighbour, unroll
 
 STEP_S = 600
 DIGITS = 4
@@ -24,33 +24,29 @@ def resample_events(
     An event on the bin's first instant is the carry-in; repeats of the price before are no
     change. Bins before the first price are left out.
 
-    Events meet only inside their own bin. Each bin then gives one row (first, last, sum and
-    count of changes), and the windows over a whole key see those rows alone, at most one per
-    step of the calendar. Empty bins are unrolled between two filled ones, so no grid is joined.
+    Changes are found against the neighbour before, in bounded chunks. Each bin then gives one
+    row, and the windows over a whole key see those rows alone, at most one per step of the
+    calendar. Empty bins are unrolled between two filled ones, so no grid is joined.
     """
     keys = list(keys)
-    priced = events.filter(F.col("price").isNotNull() & F.col("ts").isNotNull())
-    binned = priced.select(*keys, "ts", "price", floor_to(F.col("ts"), step_s).alias("bin"))
-    inside = W.partitionBy(*keys, "bin").orderBy("ts")
-    previous = F.lag("price").over(inside)
-    moved = binned.withColumn("_moved", previous.isNotNull() & (F.col("price") != previous))
-    bins = moved.groupBy(*keys, "bin").agg(
-        F.min("ts").alias("_first_ts"), F.min_by("price", "ts").alias("_first"), F.max_by("price", "ts").alias("_last"),
-        F.coalesce(F.sum(F.when(F.col("_moved"), F.col("price"))), F.lit(0.0)).alias("_sum"),
-        F.count_if("_moved").alias("_n"),
+    priced = events.filter(F.col("price").isNotNull() & F.col("ts").isNotNull()).select(*keys, "ts", "price")
+    linked = neighbour(priced, keys, "ts", {"_prev": "price"}).withColumn("bin", floor_to(F.col("ts"), step_s))
+    on_grid = F.col("ts") == F.col("bin")
+    entered = ~on_grid & (F.col("_prev").isNull() | (F.col("price") != F.col("_prev")))
+    bins = linked.groupBy(*keys, "bin").agg(
+        F.max(F.when(on_grid, F.col("price"))).alias("_start"), F.max_by("price", "ts").alias("_price"),
+        F.coalesce(F.sum(F.when(entered, F.col("price"))), F.lit(0.0)).alias("_sum"), F.count_if(entered).alias("_n"),
     )
     by_bin = W.partitionBy(*keys).orderBy("bin")
-    linked = bins.withColumns({"_before": F.lag("_last").over(by_bin), "_next": F.lead("bin").over(by_bin)})
-    on_grid = F.col("_first_ts") == F.col("bin")
-    carry = F.when(on_grid, F.col("_first")).otherwise(F.col("_before"))
-    entered = ~on_grid & (F.col("_before").isNull() | (F.col("_first") != F.col("_before")))
-    total = F.coalesce(carry, F.lit(0.0)) + F.col("_sum") + F.when(entered, F.col("_first")).otherwise(0.0)
-    count = F.when(carry.isNotNull(), 1).otherwise(0) + F.col("_n") + F.when(entered, 1).otherwise(0)
+    linked_bins = bins.withColumns({"_before": F.lag("_price").over(by_bin), "_next": F.lead("bin").over(by_bin)})
+    carry = F.coalesce("_start", "_before")
+    total = F.coalesce(carry, F.lit(0.0)) + F.col("_sum")
+    count = F.when(carry.isNotNull(), 1).otherwise(0) + F.col("_n")
     mean = total / F.nullif(count, F.lit(0))
     stop = F.least(F.coalesce(F.col("_next"), instant(end)), instant(end))
     steps = F.floor((F.unix_micros(stop) - F.unix_micros("bin") - 1) / (step_s * 1_000_000)).cast("long")
-    filled = linked.withColumn("_mean", mean).withColumn("_steps", steps).filter("_steps >= 0")
-    grid = unroll(filled.select(*keys, "bin", "_mean", F.col("_last").alias("_price"), "_steps"), F.col("_steps"), "_i")
+    filled = linked_bins.withColumns({"_mean": mean, "_steps": steps}).filter("_steps >= 0")
+    grid = unroll(filled.select(*keys, "bin", "_mean", "_price", "_steps"), F.col("_steps"), "_i")
     value = F.when(F.col("_i") == 0, F.col("_mean")).otherwise(F.col("_price"))
     return (
         grid.select(*keys, shift(F.col("bin"), F.col("_i") * step_s).alias("ts"), value.alias("price"))

@@ -178,7 +178,7 @@ def imputation_counts(w: World) -> DataFrame:
 def imputed_operational(w: World) -> DataFrame:
     """Rows for the current table of hourly buckets filled at one hour."""
     hourly = w.rollups.filter(F.col("resolution") == "1h").withColumn("frequency_s", F.lit(3600).cast("long"))
-    return rounded(imputation.operational(imputation.impute_gaps(hourly, chunk="day")), "value")
+    return rounded(imputation.operational(imputation.impute_gaps(hourly, chunks=ordered.DAYS)), "value")
 
 
 @query
