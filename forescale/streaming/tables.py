@@ -11,12 +11,14 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forescale.operators.export import overwrite_touched
 from forescale.session import small_table
 
+MAX_LISTED = 1000
+
 
 def read_or_empty(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The table, or no rows before its first write."""
@@ -28,14 +30,27 @@ def read_or_empty(spark: SparkSession, folder: str, schema: str) -> DataFrame:
         return small_table(spark, [], schema)
 
 
+def touched_partitions(rows: DataFrame, partition: str) -> Column:
+    """Static filter for the partitions that occur in ``rows``, so the scan of the table is pruned.
+
+    Up to ``MAX_LISTED`` values are listed; beyond that the filter is their range. Either way the
+    driver sees a bounded number of values.
+    """
+    listed = [r[0] for r in rows.select(partition).distinct().limit(MAX_LISTED + 1).collect()]
+    if len(listed) <= MAX_LISTED:
+        return F.col(partition).isin(listed)
+    low, high = rows.agg(F.min(partition), F.max(partition)).first()
+    return F.col(partition).between(low, high)
+
+
 def merge_partitions(
     folder: str, schema: str, partition: str, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> None:
     """Merges a batch that carries the partition column into the partitions it touches."""
     rows = batch.persist(StorageLevel.DISK_ONLY)
     try:
-        touched = rows.select(partition).distinct()
-        state = read_or_empty(batch.sparkSession, folder, schema).join(touched, partition, "left_semi")
+        table = read_or_empty(batch.sparkSession, folder, schema).filter(touched_partitions(rows, partition))
+        state = table.join(rows.select(partition).distinct(), partition, "left_semi")
         overwrite_touched(merge(state, rows), folder, partition)
     finally:
         rows.unpersist()
