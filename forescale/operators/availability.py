@@ -78,7 +78,7 @@ def usable_at(series: DataFrame, resolution: str) -> DataFrame:
     """Series whose native frequency is at least as fine as the resolution."""
     width = RESOLUTION_SECONDS.get(resolution)
     if width is None:
-        return series.limit(0)
+        return series.filter(F.lit(False))
     return series.filter(F.col("frequency_s").isNotNull() & (F.col("frequency_s") <= width))
 
 

@@ -52,7 +52,8 @@ def impute_gaps(
         F.when(first, F.lit(ORIGINAL)).otherwise(F.lit(IMPUTED)).cast("short").alias("quality_code"),
     )
     blanks = points.filter(F.col("ts").isNull() | F.col("value").isNull())
-    sizes = points.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n < 2")
+    suspects = points.join(blanks.select("series_id").distinct(), "series_id", "left_semi")
+    sizes = suspects.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n < 2")
     alone = blanks.join(sizes.select("series_id"), "series_id", "left_semi").select(*columns, original.alias("quality_code"))
     return filled.unionByName(alone)
 
