@@ -38,15 +38,21 @@ def _before(keys: Sequence[str], order: Sequence[Column | str]) -> W:
     return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
 
 
-def _cut(df: DataFrame, ts: str, chunks: Sequence[str]) -> tuple[DataFrame, str]:
-    """Rows with the start of their finest chunk, under a name of its own per level."""
+def _cut(df: DataFrame, keys: Sequence[str], ts: str, chunks: Sequence[str], shared: bool) -> tuple[DataFrame, str]:
+    """Rows with the start of their finest chunk, under a name of its own per level.
+
+    ``shared`` rows are summaries that a window and the next summary both read: one explicit
+    exchange serves both, so the summaries are computed once. For that both must read the same
+    columns and filters, hence the left joins below and sums that look at the instant.
+    """
     name = f"_chunk{len(chunks)}"
-    return df.withColumn(name, F.date_trunc(chunks[-1], F.col(ts))), name
+    cut = df.withColumn(name, F.date_trunc(chunks[-1], F.col(ts)))
+    return (cut.repartition(*keys, name) if shared else cut), name
 
 
 def neighbour(
     df: DataFrame, keys: Sequence[str], ts: str, cols: dict[str, str], after: bool = False, known: bool = False,
-    ties: Sequence[str] = (), chunks: Sequence[str] = CHUNKS,
+    ties: Sequence[str] = (), chunks: Sequence[str] = CHUNKS, shared: bool = False,
 ) -> DataFrame:
     """Adds columns of the row before (or after) of the same key; ``cols`` maps new name to source.
 
@@ -57,7 +63,7 @@ def neighbour(
     if not chunks:
         frame = _before(keys, order)
         return df.withColumns({name: F.last(source, ignorenulls=known).over(frame) for name, source in cols.items()})
-    cut, chunk = _cut(df, ts, chunks)
+    cut, chunk = _cut(df, keys, ts, chunks, shared)
     frame = _before([*keys, chunk], order)
     edge = F.min_by if after else F.max_by
     summary = cut.groupBy(*keys, chunk).agg(*[
@@ -65,10 +71,10 @@ def neighbour(
         for name, source in cols.items()
     ])
     carried = neighbour(
-        summary, keys, chunk, {f"_c{len(chunks)}_{name}": f"_e{len(chunks)}_{name}" for name in cols}, after, known, (), chunks[:-1]
+        summary, keys, chunk, {f"_c{len(chunks)}_{name}": f"_e{len(chunks)}_{name}" for name in cols}, after, known, (), chunks[:-1], True
     ).select(*keys, chunk, *[f"_c{len(chunks)}_{name}" for name in cols])
     seen = {f"_s{len(chunks)}_{name}": F.last(source, ignorenulls=known).over(frame) for name, source in cols.items()}
-    joined = cut.withColumns({"_inside": F.last(F.lit(True)).over(frame), **seen}).join(carried, [*keys, chunk])
+    joined = cut.withColumns({"_inside": F.last(F.lit(True)).over(frame), **seen}).join(carried, [*keys, chunk], "left")
 
     def nearest(name: str) -> Column:
         near, far = F.col(f"_s{len(chunks)}_{name}"), F.col(f"_c{len(chunks)}_{name}")
@@ -78,7 +84,8 @@ def neighbour(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], ts: str, value: str | None, name: str, after: bool = False, chunks: Sequence[str] = CHUNKS
+    df: DataFrame, keys: Sequence[str], ts: str, value: str | None, name: str, after: bool = False,
+    chunks: Sequence[str] = CHUNKS, shared: bool = False,
 ) -> DataFrame:
     """Adds the sum of ``value`` (or count of rows) over all rows before (or after) of the key."""
     keys = list(keys)
@@ -86,12 +93,12 @@ def running_total(
     amount = F.lit(1) if value is None else F.col(value)
     if not chunks:
         return df.withColumn(name, F.coalesce(F.sum(amount).over(_before(keys, order)), F.lit(0)).cast("long"))
-    cut, chunk = _cut(df, ts, chunks)
+    cut, chunk = _cut(df, keys, ts, chunks, shared)
     own, far = f"_t{len(chunks)}", f"_f{len(chunks)}"
-    summary = cut.groupBy(*keys, chunk).agg(F.sum(amount).alias(own))
-    carried = running_total(summary, keys, chunk, own, far, after, chunks[:-1]).select(*keys, chunk, far)
+    summary = cut.groupBy(*keys, chunk).agg(F.sum(F.when(F.col(ts).isNotNull(), amount)).alias(own))
+    carried = running_total(summary, keys, chunk, own, far, after, chunks[:-1], True).select(*keys, chunk, far)
     near = F.coalesce(F.sum(amount).over(_before([*keys, chunk], order)), F.lit(0))
-    joined = cut.withColumn("_near", near).join(carried, [*keys, chunk])
+    joined = cut.withColumn("_near", near).join(carried, [*keys, chunk], "left")
     return joined.select(*df.columns, (F.col("_near") + F.col(far)).cast("long").alias(name))
 
 
@@ -112,9 +119,9 @@ def last_n(df: DataFrame, keys: Sequence[str], ts: str, n: int, chunks: Sequence
     never reach a ranking.
     """
     keys = list(keys)
-    cut, chunk = _cut(df, ts, chunks)
+    cut, chunk = _cut(df, keys, ts, chunks, False)
     counts = cut.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = running_total(counts, keys, chunk, "_n", "_newer", after=True, chunks=chunks[:-1]).filter(F.col("_newer") < n)
+    wanted = running_total(counts, keys, chunk, "_n", "_newer", True, chunks[:-1], True).filter(F.col("_newer") < n)
     inside = W.partitionBy(*keys, chunk).orderBy(F.desc(ts))
     return (
         cut.join(wanted.select(*keys, chunk, "_newer"), [*keys, chunk])
