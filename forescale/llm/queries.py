@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from forescale.llm import bpe, chat, ppm, topk
+from forescale.llm import bpe, chat, ppm, simhash, topk
 from forescale.llm.common import read
 from forescale.session import small_table
 
@@ -35,7 +36,13 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.dedup_groups(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_chat_format": op3_chat_format,
     "op5_language_id": op5_language_id,
