@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forescale.llm import bpe, chat, ppm, simhash, substrings, topk
+from forescale.llm import bpe, chat, decontaminate, ppm, simhash, substrings, topk
 from forescale.llm.common import read
 from forescale.session import small_table
 
@@ -45,12 +45,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_chat_format": op3_chat_format,
     "op5_language_id": op5_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op4_byte_bpe": op4_byte_bpe,
 }
 
