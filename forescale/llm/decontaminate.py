@@ -31,7 +31,7 @@ from forescale.llm.common import pieces
 
 SEED_WORDS = 3
 SPREAD = 3
-SIMILARITY = 0.5
+SIMILARITY = 0.4
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
 _BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
