@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forescale.llm import bpe, chat, decontaminate, ppm, simhash, substrings, topk
+from forescale.llm import bpe, chat, decontaminate, lines, ppm, simhash, substrings, topk
 from forescale.llm.common import read
 from forescale.session import small_table
 
@@ -49,6 +49,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs).withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
 }
 
