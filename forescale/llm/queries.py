@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forescale.llm import bpe, chat, decontaminate, lines, ppm, simhash, substrings, topk
+from forescale.llm import bpe, chat, decontaminate, html_text, lines, ppm, simhash, substrings, topk
 from forescale.llm.common import read
 from forescale.session import small_table
 
@@ -54,6 +54,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs).withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("content").alias("text"), F.length("content").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
 }

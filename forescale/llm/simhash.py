@@ -153,3 +153,19 @@ def dedup_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     rows = staged(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "document-fingerprints")
     return rows.join(groups(rows), "fp", "left")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that stay: of each group one, the smallest doc_id (of rows that share it, the smallest text hash).
+
+    A row that is equal to the one that stays in doc_id and text goes too, except that rows without a doc_id stay.
+    """
+    hashed = F.xxhash64("text")
+    rows = staged(fingerprints(docs.select("doc_id", "text", hashed.alias("text_hash"))).select("doc_id", "text_hash", "fp"), "document-fingerprints")
+    grouped = staged(rows.where("doc_id is not null").join(groups(rows), "fp"), "document-groups")
+    first = grouped.where("doc_id = component_id").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    kept = first.groupBy("doc_id").agg(F.min(F.struct("text_hash", "copies")).alias("stays")).select(F.col("doc_id").alias("stay_id"), "stays.*")
+    found = docs.join(kept, (F.col("doc_id") == F.col("stay_id")) & (hashed == F.col("text_hash")))
+    once = found.where("copies = 1").select(*[docs[c] for c in docs.columns])
+    again = found.where("copies > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
