@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forescale.llm import bpe, chat, decontaminate, html_text, lines, ppm, simhash, substrings, topk
-from forescale.llm.common import read
+from forescale.llm import bpe, chat, decontaminate, html_text, licenses, lines, ppm, simhash, substrings, topk
+from forescale.llm.common import read, staged
 from forescale.session import small_table
 
 #: The vocabulary is a parameter of the operator; the query names the file that its contract fixes.
@@ -59,11 +59,21 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("content").alias("text"), F.length("content").cast("long").alias("n_chars"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source is the top directory, below it ranges of doc_id."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    level = lambda size: F.floor(F.col("doc_id") / size).cast("string")
+    files = docs.select("doc_id", "text", F.concat_ws("/", "source", level(100_000), level(1_000), F.col("doc_id").cast("string")).alias("path"))
+    scanned = staged(licenses.scan(files).drop("text"), "license-scan")
+    return licenses.inherit(scanned).select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "file_licence", "from_folder")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_chat_format": op3_chat_format,
     "op5_language_id": op5_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_html_text": op9_html_text,
