@@ -25,7 +25,7 @@ def impute_gaps(
 
     Up to 1.5 steps is no gap. Gaps up to ``max_gap_factor`` steps are interpolated by step, wider
     ones get NULL markers. Instants count in whole microseconds, so the comparisons are exact.
-    A series with fewer than two points passes through, rows with a missing value included.
+    A step of 0 fills nothing. A series with fewer than two points passes through, rows with a missing value included.
     """
     columns = ["series_id", "ts", "value"]
     original = F.lit(ORIGINAL).cast("short")
@@ -37,7 +37,7 @@ def impute_gaps(
     pairs = next_row(clean.select(*columns, "frequency_s"), ["series_id"], "ts", {"_ts": "ts", "_value": "value"}, chunks)
     gap = F.unix_micros("_ts") - F.unix_micros("ts")
     step = F.col("frequency_s").cast("long") * 1_000_000
-    missing = F.floor(gap / step).cast("long") - 1
+    missing = F.floor(gap / F.nullif(step, F.lit(0))).cast("long") - 1
     opened = pairs.withColumns({"_gap": gap, "_step": step}).withColumn(
         "_n", F.when(2 * F.col("_gap") > 3 * F.col("_step"), F.greatest(missing, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
     )

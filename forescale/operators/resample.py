@@ -59,5 +59,7 @@ def rounded(resampled: DataFrame) -> DataFrame:
 
 
 def step_mean(resampled: DataFrame, keys: Sequence[str] = ("fuel",)) -> DataFrame:
-    """Mean over stations per step."""
-    return resampled.groupBy(*keys, "ts").agg(F.round(F.avg("price"), DIGITS).alias("price"))
+    """Mean over stations per step. Summed as decimals, so the order of rows cannot move a half."""
+    total, count = F.sum(F.col("price").cast("decimal(20,8)")).cast("double"), F.count("price")
+    mean = (total / F.nullif(count, F.lit(0))).cast("decimal(38,10)")
+    return resampled.groupBy(*keys, "ts").agg(F.round(mean, DIGITS).cast("double").alias("price"))

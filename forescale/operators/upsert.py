@@ -1,7 +1,8 @@
 """Keyed, repeatable writes. Each operator returns the new state of the target table.
 
-Plain Parquet has no row-level merge, so a caller overwrites the touched partitions with the
-returned rows (``sinks.overwrite_touched``); a table format with merge can take the same frames.
+Plain Parquet has no row-level merge, so a caller writes the touched partitions anew
+(``streaming.tables.merge_partitions``); a table format with merge can take the same frames.
+A key that a batch holds twice counts once: the row that sorts last by its other columns.
 """
 
 from __future__ import annotations
@@ -78,23 +79,23 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str], order
 def upsert_scores(scores: DataFrame, rows: DataFrame, as_of: datetime | str) -> DataFrame:
     stamped = rows.withColumn("calculated_at", instant(as_of))
     keys = ["round_id", "model_id", "series_id"]
-    return prefer_new(scores, stamped, keys, [c for c in stamped.columns if c not in keys])
+    return prefer_new(scores, keep_one(stamped, keys, []), keys, [c for c in stamped.columns if c not in keys])
 
 
 def upsert_rankings(rankings: DataFrame, rows: DataFrame) -> DataFrame:
     """Snapshot rows keyed by date, model and scope; the global scope's NULL id matches itself."""
     keys = ["calculation_date", "model_id", "scope_type", "scope_id"]
-    return prefer_new(rankings, rows, keys, [c for c in rows.columns if c not in keys], nullable=["scope_id"])
+    return prefer_new(rankings, keep_one(rows, keys, []), keys, [c for c in rows.columns if c not in keys], nullable=["scope_id"])
 
 
 def upsert_series_pseudo(pseudo: DataFrame, rows: DataFrame) -> DataFrame:
     keys = ["round_id", "series_id"]
-    return prefer_new(pseudo, rows, keys, [c for c in rows.columns if c not in keys])
+    return prefer_new(pseudo, keep_one(rows, keys, []), keys, [c for c in rows.columns if c not in keys])
 
 
 def upsert_definitions(definitions: DataFrame, rows: DataFrame) -> DataFrame:
     """Every given attribute but the id, by schedule."""
-    return prefer_new(definitions, rows, ["schedule_id"], [c for c in rows.columns if c not in ("schedule_id", "id")])
+    return prefer_new(definitions, keep_one(rows, ["schedule_id"], []), ["schedule_id"], [c for c in rows.columns if c not in ("schedule_id", "id")])
 
 
 def resolve_categories(category: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,12 +129,12 @@ def resolve_categories(category: DataFrame, rows: DataFrame) -> tuple[DataFrame,
 def upsert_catalogue(series: DataFrame, rows: DataFrame) -> DataFrame:
     """Seven attributes by unique_id. A known series keeps its id; ``rows`` carries ids for new ones."""
     attributes = ["name", "description", "frequency_s", "unit", "update_frequency", "imputation_policy", "category_id"]
-    return prefer_new(series, rows, ["unique_id"], attributes)
+    return prefer_new(series, keep_one(rows, ["unique_id"], []), ["unique_id"], attributes)
 
 
 def update_timezone(series: DataFrame, rows: DataFrame) -> DataFrame:
     """Set ts_timezone where it is missing or different."""
-    new = rows.select("unique_id", F.col("ts_timezone").alias("_tz"))
+    new = keep_one(rows.select("unique_id", F.col("ts_timezone").alias("_tz")), ["unique_id"], [])
     differs = F.col("_tz").isNotNull() & ~F.col("ts_timezone").eqNullSafe(F.col("_tz"))
     return (
         series.join(new, "unique_id", "left")
@@ -155,7 +156,7 @@ def cancel_rounds(rounds: DataFrame, ids: DataFrame) -> DataFrame:
 
 def update_round_times(rounds: DataFrame, rows: DataFrame) -> DataFrame:
     """Given start and end times replace the old ones; NULL leaves a side as it was."""
-    new = rows.select("id", F.col("start_time").alias("_s"), F.col("end_time").alias("_e"))
+    new = keep_one(rows.select("id", F.col("start_time").alias("_s"), F.col("end_time").alias("_e")), ["id"], [])
     return (
         rounds.join(new, "id", "left")
         .withColumns({

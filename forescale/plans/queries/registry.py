@@ -22,12 +22,9 @@ def query(build: Callable[[World], DataFrame]) -> Callable[[World], DataFrame]:
     return build
 
 
-# Lifts exact halves, whose last bits depend on summation order, to one side before rounding.
-NUDGE = 1e-9
-
-
 def shown(value, digits: int = 6):
-    return F.round(value + F.lit(NUDGE), digits)
+    """Rounded half up from ten decimal digits, so that the last bits of a sum do not decide; infinite and NaN as NULL."""
+    return F.round(value.try_cast("decimal(38,10)"), digits).cast("double")
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

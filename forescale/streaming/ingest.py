@@ -65,7 +65,8 @@ def resample_with_carry(events: DataFrame, carry: DataFrame, start: datetime | s
     the result equals one pass over all slices.
     """
     known = events.select("station", "fuel", "ts", "price").unionByName(carry.select("station", "fuel", "ts", "price"))
-    newest = known.groupBy("station", "fuel").agg(F.max("ts").alias("ts"), F.max_by("price", "ts").alias("price"))
+    priced = known.filter(F.col("price").isNotNull() & F.col("ts").isNotNull())
+    newest = priced.groupBy("station", "fuel").agg(F.max("ts").alias("ts"), F.max_by("price", "ts").alias("price"))
     return resample_events(known, start, end), newest
 
 

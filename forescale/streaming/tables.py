@@ -1,27 +1,27 @@
-"""Partitioned Parquet tables that micro-batches merge into.
+"""Partitioned tables that micro-batches merge into, with atomic commits.
 
-Each merge reads and rewrites only the partitions its batch touches. Dynamic overwrite stages
-new files beside the old ones and swaps them on commit, so a lost executor or a repeated batch
-leaves the same table. One query writes one table.
+A table folder holds data files by version and partition, and manifests. A commit first writes the touched partitions
+under a new version and then one manifest that names the version of every partition; readers take the newest manifest.
+Files of older versions stay as they are, so a driver lost anywhere leaves the table as the last commit made it, and the
+retried batch merges into that. One query writes one table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from forescale.operators.export import overwrite_touched
+from forescale.operators.export import balanced
 from forescale.session import small_table
 
-MAX_LISTED = 1000
-
 
 def read_or_empty(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The table, or no rows before its first write."""
+    """Plain Parquet files, or no rows before the first write."""
     try:
         return spark.read.schema(schema).parquet(folder)
     except AnalysisException as missing:
@@ -30,30 +30,45 @@ def read_or_empty(spark: SparkSession, folder: str, schema: str) -> DataFrame:
         return small_table(spark, [], schema)
 
 
-def touched_partitions(rows: DataFrame, partition: str) -> Column:
-    """Static filter for the partitions that occur in ``rows``, so the scan of the table is pruned.
+def _manifest(spark: SparkSession, folder: str, schema: str, partition: str) -> tuple[DataFrame, int]:
+    """Version of each partition by the newest commit, and that commit's number (0: none yet)."""
+    kind = T.StructType.fromDDL(schema)[partition].dataType.simpleString()
+    commits = read_or_empty(spark, f"{folder}/manifest", f"{partition} {kind}, version string, commit int")
+    last = commits.agg(F.max("commit")).first()[0] or 0
+    return commits.where(F.col("commit") == last).select(partition, "version"), last
+
+
+def _at(manifest: DataFrame, spark: SparkSession, folder: str, schema: str, partition: str) -> DataFrame:
+    data = read_or_empty(spark, f"{folder}/data", f"{schema}, version string").alias("d")
+    named = manifest.alias("m")
+    same = F.col(f"d.{partition}").eqNullSafe(F.col(f"m.{partition}")) & (F.col("d.version") == F.col("m.version"))
+    return data.join(named, same, "left_semi").select(*T.StructType.fromDDL(schema).names)
 
-    Up to ``MAX_LISTED`` values are listed; beyond that the filter is their range. Either way the
-    driver sees a bounded number of values.
-    """
-    listed = [r[0] for r in rows.select(partition).distinct().limit(MAX_LISTED + 1).collect()]
-    if len(listed) <= MAX_LISTED:
-        return F.col(partition).isin(listed)
-    low, high = rows.agg(F.min(partition), F.max(partition)).first()
-    return F.col(partition).between(low, high)
+
+def read_table(spark: SparkSession, folder: str, schema: str, partition: str) -> DataFrame:
+    """The table as of its last commit, or no rows before the first."""
+    return _at(_manifest(spark, folder, schema, partition)[0], spark, folder, schema, partition)
 
 
 def merge_partitions(
     folder: str, schema: str, partition: str, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> None:
-    """Merges a batch that carries the partition column into the partitions it touches."""
-    rows = batch.persist(StorageLevel.DISK_ONLY)
-    try:
-        table = read_or_empty(batch.sparkSession, folder, schema).filter(touched_partitions(rows, partition))
-        state = table.join(rows.select(partition).distinct(), partition, "left_semi")
-        overwrite_touched(merge(state, rows), folder, partition)
-    finally:
-        rows.unpersist()
+    """Merges a batch that carries the partition column into the partitions it touches.
+
+    The batch is written to the table's folder first, so nothing is computed twice while the table changes.
+    """
+    spark, version = batch.sparkSession, uuid.uuid4().hex
+    batch.write.parquet(f"{folder}/batches/{version}")
+    rows = spark.read.schema(batch.schema).parquet(f"{folder}/batches/{version}")
+    touched = rows.select(F.col(partition).alias("_touched")).distinct()
+    manifest, last = _manifest(spark, folder, schema, partition)
+    is_touched = F.col(partition).eqNullSafe(F.col("_touched"))
+    table = _at(manifest.join(touched, is_touched, "left_semi"), spark, folder, schema, partition)
+    merged = merge(table, rows)
+    balanced(merged, partition).write.partitionBy(partition).parquet(f"{folder}/data/version={version}")
+    kept = manifest.join(touched, is_touched, "left_anti")
+    fresh = touched.select(F.col("_touched").alias(partition), F.lit(version).alias("version"))
+    kept.unionByName(fresh).coalesce(1).write.parquet(f"{folder}/manifest/commit={last + 1}")
 
 
 def with_day(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 AS_OF = "TIMESTAMP '2024-01-25 00:00:00'"
 REGISTRATION_AS_OF = "TIMESTAMP '2024-01-20 06:30:00'"
 LATE = "TIMESTAMP '2024-02-02 00:00:00'"
@@ -12,7 +14,6 @@ TYPE_ID = (
 )
 
 CTES: dict[str, tuple[list[str], str]] = {}
-STORED = {"rankings"}
 
 
 def cte(name: str, needs: str, sql: str) -> None:
@@ -34,8 +35,10 @@ def statement(needs: str, sql: str) -> str:
         visit(name)
     if not order:
         return sql.strip()
-    parts = [f"{name} AS {'MATERIALIZED ' if name in STORED else ''}(\n{CTES[name][1]}\n)" for name in order]
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql.strip()
+    uses = Counter(other for name in order for other in CTES[name][0]) + Counter(needs.split())
+    parts = [f"{name} AS {'MATERIALIZED ' if uses[name] > 1 and not name.endswith('_state') else ''}(\n{CTES[name][1]}\n)" for name in order]
+    recursive = "RECURSIVE " if any(name.endswith("_state") for name in order) else ""
+    return f"WITH {recursive}" + ",\n".join(parts) + "\n" + sql.strip()
 
 
 def status_case(as_of: str, alias: str = "r") -> str:

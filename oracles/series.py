@@ -113,7 +113,7 @@ LEFT JOIN (SELECT station, fuel, time_bucket(INTERVAL '10 minutes', ts) AS bin,
 ORACLES["resample_events"] = statement("price_events", f"""
 SELECT station, fuel, ts, round(price, 4) AS price FROM ({RESAMPLED}) WHERE price IS NOT NULL""")
 ORACLES["national_mean"] = statement("price_events", f"""
-SELECT fuel, ts, round(avg(price), 4) AS price FROM ({RESAMPLED}) WHERE price IS NOT NULL GROUP BY fuel, ts""")
+SELECT fuel, ts, round(CAST(CAST(sum(CAST(price AS DECIMAL(20, 8))) AS DOUBLE) / count(*) AS DECIMAL(38, 10)), 4)::DOUBLE AS price FROM ({RESAMPLED}) WHERE price IS NOT NULL GROUP BY fuel, ts""")
 ORACLES["late_retention"] = statement("points", "SELECT series_id, ts, value FROM points WHERE ts >= TIMESTAMP '2024-01-20'")
 ORACLES["metadata_filter"] = statement("series category", """
 SELECT s.series_id, s.name, s.unit FROM series s JOIN category c ON c.id = s.category_id WHERE c.domain IN ('people', 'traffic') AND s.unit = 'money'""")

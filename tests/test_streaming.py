@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forescale.operators import resample, rollup
 from forescale.streaming import ingest, rollups
-from forescale.streaming.tables import read_or_empty
+from forescale.streaming.tables import read_table
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "series_id int, ts timestamp, value double, frequency_s long, batch_seq long"
@@ -33,7 +33,7 @@ def test_rollup_stream_equals_batch_and_drops_late_rows(spark, table, tmp_path):
     ).awaitTermination()
     run()
     want = rollup.rollup(table([r for day in days for r in day], SCHEMA), 3600)
-    got = lambda: rows(read_or_empty(spark, str(tmp_path / "out"), rollups.ROLLUP).drop("day"), "series_id", "ts")
+    got = lambda: rows(read_table(spark, str(tmp_path / "out"), rollups.ROLLUP, "day").drop("day"), "series_id", "ts")
     assert got() == rows(want, "series_id", "ts")
     land(table, tmp_path / "in", [(0, T0 + timedelta(hours=1), 99.0, 900, 0)])
     run()
@@ -50,9 +50,9 @@ def test_late_corrections_win_and_leave_a_version(spark, table, tmp_path):
     run()
     land(table, tmp_path / "in", [point(0, 1.0, 3), point(60, 6.0, 4), point(60, 9.0, 5)])
     run()
-    now = rows(read_or_empty(spark, str(tmp_path / "now"), ingest.CURRENT).select("ts", "value"), "ts")
+    now = rows(read_table(spark, str(tmp_path / "now"), ingest.CURRENT, "day").select("ts", "value"), "ts")
     assert [v for _, v in now] == [1.0, 3.0, 5.0, 7.0, 9.0]
-    versions = read_or_empty(spark, str(tmp_path / "versions"), ingest.HISTORY)
+    versions = read_table(spark, str(tmp_path / "versions"), ingest.HISTORY, "day")
     assert versions.filter("is_current").count() == 5
     closed = rows(versions.filter("NOT is_current").select("value", "valid_to"), "value")
     assert closed == [(2.0, clock(1)), (3.0, clock(1)), (4.0, clock(1)), (5.0, clock(1))]
@@ -64,7 +64,7 @@ def test_repeated_batch_changes_nothing(spark, table, tmp_path):
     state = []
     for _ in range(2):
         ingest.ingest_batch(batch, datetime(2024, 2, 1), *paths)
-        state.append(rows(read_or_empty(spark, paths[1], ingest.HISTORY), "ts"))
+        state.append(rows(read_table(spark, paths[1], ingest.HISTORY, "day"), "ts"))
     assert state[0] == state[1]
 
 
