@@ -164,18 +164,18 @@ def folder(path):
 
 def inherit(scanned: DataFrame) -> DataFrame:
     """``scanned`` with ``licence`` filled from the nearest directory above, and ``from_folder``, where it comes from."""
-    rows = scanned.drop("from_folder").withColumn("licence_folder", folder(F.col("path")))
-    given = rows.where("file_licence is not null and licence_folder is not null").groupBy("licence_folder").agg(
-        F.min(F.struct((-F.round("file_cosine", 9)).alias("cosine"), "file_licence"))["file_licence"].alias("given")
-    )
-    given = staged(given.select(F.col("licence_folder").alias("above"), "given"), "licence-folders")
-    folders = rows.select("licence_folder").where("licence_folder is not null").distinct()
-    parts = F.split("licence_folder", "/")
+    kept = [c for c in scanned.columns if c not in ("licence", "from_folder")]
+    rows = scanned.select(F.struct(*scanned.columns).alias("row"), folder(F.col("path")).alias("folder"), "file_licence", "file_cosine")
+    best = F.min(F.struct((-F.round("file_cosine", 9)).alias("cosine"), "file_licence"))["file_licence"]
+    given = rows.where("file_licence is not null and folder is not null").groupBy(F.col("folder").alias("above")).agg(best.alias("given"))
+    given = staged(given, "licence-folders")
+    folders = rows.select("folder").where("folder is not null").distinct()
+    parts = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("above")))
-    climbed = folders.select("licence_folder", F.inline(above)).join(given, "above")
-    nearest = climbed.groupBy("licence_folder").agg(F.max(F.struct("depth", "above", "given")).alias("nearest"))
-    nearest = staged(nearest.select("licence_folder", F.col("nearest.above").alias("from_folder"), F.col("nearest.given").alias("given")), "nearest-folders")
-    joined = rows.join(nearest, "licence_folder", "left")
-    own = F.col("licence").isNotNull()
-    names = [c for c in scanned.columns if c not in ("licence", "from_folder")]
-    return joined.select(*names, F.coalesce("licence", "given").alias("licence"), F.when(~own, F.col("from_folder")).alias("from_folder"))
+    climbed = folders.select("folder", F.inline(above)).join(given, "above")
+    nearest = climbed.groupBy("folder").agg(F.max(F.struct("depth", "above", "given")).alias("nearest"))
+    nearest = staged(nearest, "nearest-folders")
+    joined = rows.join(nearest, "folder", "left")
+    licence = F.coalesce("row.licence", "nearest.given")
+    origin = F.when(F.col("row.licence").isNull(), F.col("nearest.above"))
+    return joined.select(*[F.col("row")[c].alias(c) for c in kept], licence.alias("licence"), origin.alias("from_folder"))

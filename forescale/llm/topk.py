@@ -147,10 +147,10 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> Dat
     total = base.count()
     shards = max(1, math.ceil(total / SHARD_ROWS))
     is_query = F.col("vec_id") % every == 0
-    queries = base.where(is_query).distinct()
+    queries = base.where(is_query).distinct().toDF("vec_id", "dim", "v")
     blocks = max(1, math.ceil(base.where(is_query).count() / BLOCK_ROWS))
     dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n))
-    vectors = base.withColumn("shard", dealt(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    vectors = base.select(*[F.col(c).alias(c) for c in base.columns]).withColumn("shard", dealt(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     asked = queries.withColumns({"home": dealt(shards, 1), "block": dealt(blocks, 2), "query": F.concat_ws(" ", F.col("vec_id"), F.xxhash64("v"))})
     first = search(asked.withColumns({"shard": F.col("home"), "floor": F.lit(float("-inf"))}), vectors, k)
     if shards > 1:
