@@ -11,7 +11,6 @@ RESOLUTION_SECONDS = {"15min": 900, "1h": 3600, "1d": 86400}
 
 ISO_SECONDS = {"W": 604800, "D": 86400, "H": 3600, "M": 60, "S": 1}
 
-_WORDS = r"^(\d+)\s*(second|minute|hour|day|week)s?$"
 _ISO = r"^P(?=.)(?:\d+W)?(?:\d+D)?(?:T(?=.)(?:\d+H)?(?:\d+M)?(?:\d+S)?)?$"
 
 
@@ -23,10 +22,10 @@ def parse_seconds(text: Column, strict: bool = True) -> Column:
     """``15 minutes`` or ``PT15M`` to 900. Bad text raises, or is NULL when not strict."""
     trimmed = F.trim(text)
     words = F.lower(trimmed)
-    per_unit = F.lit(None).cast("long")
-    for name, seconds in UNIT_SECONDS.items():
-        per_unit = F.when(words.contains(name), F.lit(seconds).cast("long")).otherwise(per_unit)
-    by_words = F.when(words.rlike(_WORDS), F.regexp_extract(words, _WORDS, 1).cast("long") * per_unit)
+    count = F.regexp_extract(words, r"^\d+", 0)
+    unit = F.regexp_replace(F.trim(F.substr(words, F.length(count) + 1)), "s$", "")
+    seconds = F.create_map(*[F.lit(x) for name, size in UNIT_SECONDS.items() for x in (name, size)])
+    by_words = F.when(count != "", count.try_cast("long") * F.try_element_at(seconds, unit).cast("long"))
     letter = F.create_map(*[F.lit(x) for pair in ISO_SECONDS.items() for x in pair])
 
     def add(total: Column, part: Column) -> Column:

@@ -1,23 +1,23 @@
 """Permutation-replicated Elo ratings.
 
-A season is sequential: each match needs the ratings the match before it left. What runs in
-parallel is scopes x replicates. Matches are replicated, hashed by (scope, replicate) and numbered
-by a seeded hash, and each task folds its sorted stream match by match. A task holds one Arrow
-batch and the ratings of one replicate, never the matches of a scope.
+A season is sequential: each match needs the ratings the match before it left. What runs side by side is scopes and
+replicates. A season is shuffled once per scope and block of replicates, never once per replicate; a task derives the
+orders of its replicates from a seeded hash and advances all of them together, one match each at a time. It holds one
+season: a row per round and model of a scope, which the calendar bounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import hashlib
+from collections.abc import Sequence
 from datetime import date
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forescale.functions.text import order_key
 from forescale.operators.ranking import SCOPE, cumulative_stats, rank_in_scope
 
 # Rating parameters and summary quantiles.
@@ -25,33 +25,27 @@ REPLICATES = 500
 K_FACTOR = 4.0
 BASE_RATING = 1000.0
 SCALE = 400.0
-SMALL_MATCH = 12
 QUANTILES = (0.025, 0.5, 0.975)
 
+BLOCKS = 4  # of replicates
+
 DAY = "calculation_date"
 
 
 def matches(averages: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per scope and round: its models and their points (win 1, draw half) against all others.
+    """One row per scope, round and model: its points (win 1, draw half) against all others of the round.
 
-    Scopes with one model are left out. A row is as long as a round has models.
+    Points follow from ranks: who stands behind in ascending order is beaten, who is neither before nor behind is level.
+    Scopes with one model are left out.
     """
     models = averages.groupBy(*keys, "model_id").agg(F.count(F.lit(1)).alias("_n"))
     enough = models.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter("_m >= 2")
     kept = _same(averages, enough, keys)
-    entries = F.array_sort(F.collect_list(F.struct("model_id", "avg_mase")))
-    grouped = kept.groupBy(*keys, "round_id").agg(entries.alias("_e"))
-
-    def points(own):
-        others = F.col("_e")
-        won = F.size(F.filter(others, lambda o: o["avg_mase"] > own["avg_mase"]))
-        level = F.size(F.filter(others, lambda o: o["avg_mase"] == own["avg_mase"])) - 1
-        return won + level * F.lit(0.5)
-
-    return grouped.select(
-        *keys, "round_id", F.transform("_e", lambda e: e["model_id"]).alias("models"),
-        F.transform("_e", points).cast("array<double>").alias("points"),
-    )
+    whole = W.partitionBy(*keys, "round_id")
+    before, behind = F.rank().over(whole.orderBy("avg_mase")) - 1, F.rank().over(whole.orderBy(F.desc("avg_mase"))) - 1
+    level = F.count(F.lit(1)).over(whole) - 1 - F.col("_before") - F.col("_behind")
+    ranked = kept.withColumns({"_before": before, "_behind": behind})
+    return ranked.select(*keys, "round_id", "model_id", (F.col("_behind") + level * F.lit(0.5)).cast("double").alias("points"))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,61 +57,46 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(renamed, match, "left_semi")
 
 
-def _season(keys: Sequence[str], k_factor: float, base: float):
-    """Fold over Arrow batches sorted by (keys, replicate, step).
+def _season(keys: Sequence[str], replicates: int, seed: int, k_factor: float, base: float):
+    """All replicates of a block over one season of (round_id, model_id, points).
 
-    The fold refers to nothing outside itself but numpy and Arrow, so executors need no copy of
-    this package.
+    It refers to nothing outside itself but numpy and pandas, so executors need no copy of this package.
     """
-    columns, small, scale = [*keys, "replicate"], SMALL_MATCH, SCALE
-
-    def gains(now: list[float], points: list[float]) -> list[float]:
-        """Ratings after one match of all against all."""
-        n = len(now)
-        if n > small:
-            r = np.array(now)
-            expected = 1.0 / (1.0 + 10.0 ** ((r[None, :] - r[:, None]) / scale))
-            # The diagonal is a model against itself, exactly one half.
-            return (r + k_factor * (np.array(points) - (expected.sum(axis=1) - 0.5))).tolist()
-        expected = [0.0] * n
-        for i in range(n):
-            for j in range(i + 1, n):
-                share = 1.0 / (1.0 + 10.0 ** ((now[j] - now[i]) / scale))
-                expected[i] += share
-                expected[j] += 1.0 - share
-        return [r + k_factor * (won - e) for r, won, e in zip(now, points, expected)]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ratings, done = None, {}, []
-
-        def finish() -> None:
-            done.extend((*current, model, rating) for model, rating in ratings.items())
-
-        def emit(types: list[pa.DataType]) -> pa.RecordBatch:
-            arrays = [pa.array(column, kind) for column, kind in zip(zip(*done), types)]
-            done.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=[*columns, "model_id", "rating"])
-
-        for batch in batches:
-            types = [*[batch.schema.field(name).type for name in columns], pa.int32(), pa.float64()]
-            steps = batch.column("step").to_pylist()
-            models = batch.column("models").to_pylist()
-            points = batch.column("points").to_pylist()
-            for row, step in enumerate(steps):
-                if step == 1:
-                    if current is not None:
-                        finish()
-                    current, ratings = [batch.column(name)[row].as_py() for name in columns], {}
-                present = models[row]
-                now = [ratings.get(model, base) for model in present]
-                ratings.update(zip(present, gains(now, points[row]) if len(now) > 1 else now))
-            if done:
-                yield emit(types)
-        if current is not None:
-            finish()
-            yield emit(types)
-
-    return fold
+    scale, blocks = SCALE, BLOCKS
+
+    def rate(season: pd.DataFrame) -> pd.DataFrame:
+        first = season.iloc[0]
+        scope = [first[k] for k in keys]
+        named = ["" if k is None or k is pd.NaT or k != k else str(k) for k in scope]
+        mine = np.arange(int(first["block"]), replicates, blocks)
+        rounds, at = np.unique(season["round_id"].to_numpy(), return_inverse=True)
+        models, model = np.unique(season["model_id"].to_numpy(), return_inverse=True)
+        place = season.groupby(at).cumcount().to_numpy()
+        width = int(place.max()) + 1
+        present = np.full((len(rounds), width), len(models))  # a seat that stays empty
+        points = np.zeros((len(rounds), width))
+        present[at, place], points[at, place] = model, season["points"].to_numpy()
+        order = np.array([
+            sorted(range(len(rounds)), key=lambda i: (hashlib.md5(":".join([str(seed), *named, str(r), str(rounds[i])]).encode()).hexdigest(), rounds[i])) for r in mine
+        ]).reshape(len(mine), len(rounds))
+        ratings = np.full((len(mine), len(models) + 1), base)
+        rows = np.arange(len(mine))[:, None]
+        for step in range(len(rounds)):
+            seats = present[order[:, step]]
+            taken = seats < len(models)
+            now = ratings[rows, seats]
+            expected = np.zeros_like(now)
+            for other in range(width):  # against one seat at a time: memory for one match per replicate
+                share = 1.0 / (1.0 + 10.0 ** ((now[:, [other]] - now) / scale))
+                share[:, other] = 0.0
+                expected += share * taken[:, [other]]
+            gain = k_factor * (points[order[:, step]] - expected) * taken
+            ratings[rows, seats] = now + np.where(taken.sum(1, keepdims=True) > 1, gain, 0.0)
+        size = len(mine) * len(models)
+        out = {k: pd.Series([v] * size, dtype=object) for k, v in zip(keys, scope)}
+        return pd.DataFrame({**out, "replicate": np.repeat(mine, len(models)).astype("int32"), "model_id": np.tile(models, len(mine)).astype("int32"), "rating": ratings[:, :-1].reshape(-1)})
+
+    return rate
 
 
 def replicate_ratings(
@@ -126,19 +105,10 @@ def replicate_ratings(
 ) -> DataFrame:
     """Final rating of every model in every replicate of every scope."""
     keys = list(keys)
-    scope = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    tasks = int(season.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    season_order = W.partitionBy(*keys, "replicate").orderBy("_order", "round_id")
-    ordered = (
-        season.repartition(tasks, "round_id").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("_order", order_key(seed, *scope, F.col("replicate"), F.col("round_id")))
-        .repartition(tasks, *keys, "replicate")
-        .withColumn("step", F.row_number().over(season_order))
-        .select(*keys, "replicate", "step", F.col("models").cast("array<int>").alias("models"), "points")
-    )
     types = {f.name: f.dataType.simpleString() for f in season.schema.fields}
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "replicate int", "model_id int", "rating double"])
-    return ordered.mapInArrow(_season(keys, k_factor, base), schema)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(min(BLOCKS, replicates) - 1)))
+    return season.withColumn("block", blocks).groupBy(*keys, "block").applyInPandas(_season(keys, replicates, seed, k_factor, base), schema)
 
 
 def summarise(ratings: DataFrame, averages: DataFrame, keys: Sequence[str]) -> DataFrame:
