@@ -13,6 +13,20 @@ from forescale.operators.scoring import live_pairs
 from forescale.operators.upsert import insert_ignore
 
 SUBMISSION = ["round_id", "model_name", "user_id", "submitted_at"]
+#: Quantile forecasts of a point, level to value: ``map<string,double>``, NULL where none were given.
+QUANTILES = "probabilistic_values"
+
+
+def quantiles(rows: DataFrame):
+    """The quantile column, or NULL where a table has none."""
+    return F.col(QUANTILES) if QUANTILES in rows.columns else F.lit(None).cast("map<string,double>").alias(QUANTILES)
+
+
+def points_in_order(value: str, name: str):
+    """Points of a group by time as (ts, ``name``, ci); maps have no order, so they travel as entries."""
+    entries = F.array_sort(F.map_entries(QUANTILES)).alias("ci")
+    points = F.array_sort(F.collect_list(F.struct("ts", F.col(value).alias(name), entries)))
+    return F.transform(points, lambda p: F.struct(p["ts"].alias("ts"), p[name].alias(name), F.map_from_entries(p["ci"]).alias("ci")))
 
 
 def forecast_grid(rounds: DataFrame) -> DataFrame:
@@ -69,8 +83,9 @@ def accepted_rows(submissions: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Forecast rows of admitted series, the first point per key winning."""
     keys = [*SUBMISSION, "challenge_series_name"]
     good = verdicts.filter(F.col("error").isNull()).select(*keys, "model_id", "series_id")
-    return submissions.join(good, keys).select(
-        "round_id", "model_id", "series_id", "ts", F.col("value").alias("predicted_value"), F.col("submitted_at").alias("created_at")
+    return submissions.withColumn(QUANTILES, quantiles(submissions)).join(good, keys).select(
+        "round_id", "model_id", "series_id", "ts", F.col("value").alias("predicted_value"), F.col("submitted_at").alias("created_at"),
+        QUANTILES,
     )
 
 
@@ -80,7 +95,7 @@ def store_submissions(
     """Rows to append to each table. Only uploads that pass the first five checks register a participant."""
     keys = ["round_id", "model_id", "series_id"]
     rows = accepted_rows(submissions, verdicts)
-    new_forecasts = insert_ignore(forecasts.select(*rows.columns), rows, [*keys, "ts"], ["created_at"])
+    new_forecasts = insert_ignore(forecasts, rows, [*keys, "ts"], ["created_at"])
     passed = verdicts.filter(F.col("error").isNull() | F.col("error").isin("unknown_series", "wrong_point_count"))
     new_participants = insert_ignore(participants, passed.select("round_id", "model_id").distinct(), ["round_id", "model_id"])
     pending = new_forecasts.select(*keys).distinct().withColumn("final_evaluation", F.lit(False))
@@ -105,7 +120,8 @@ def list_forecasts(forecasts: DataFrame, pseudo: DataFrame, wanted: DataFrame) -
     """Forecast rows of the (round, model[, series]) keys with public names, by series and time."""
     keys = [c for c in ("round_id", "model_id", "series_id") if c in wanted.columns]
     rows = forecasts.join(wanted.select(*keys).distinct(), keys, "left_semi")
-    named = with_series_names(rows.select("round_id", "model_id", "series_id", "ts", "predicted_value"), pseudo)
+    created = F.col("created_at") if "created_at" in rows.columns else F.lit(None).cast("timestamp").alias("created_at")
+    named = with_series_names(rows.select("round_id", "model_id", "series_id", "ts", "predicted_value", quantiles(rows), created), pseudo)
     return named.orderBy("series_id", "ts", "round_id", "model_id")
 
 
@@ -131,7 +147,7 @@ def series_forecasts_with_mase(
 
     Series without a value at the context end show nothing. Arrays hold one round's horizon.
     """
-    pairs = live_pairs(forecasts, rounds, pseudo, rollups, baseline="inner")
+    pairs = live_pairs(forecasts.withColumn(QUANTILES, quantiles(forecasts)), rounds, pseudo, rollups, baseline="inner")
     known = F.col("actual").isNotNull() & F.col("predicted_value").isNotNull() & F.col("baseline").isNotNull()
     labels = models.select(F.col("id").alias("model_id"), "readable_id", F.col("name").alias("model_name"))
     return (
@@ -140,7 +156,7 @@ def series_forecasts_with_mase(
             F.sum(F.when(known, F.abs(F.col("predicted_value") - F.col("actual")))).alias("_model"),
             F.sum(F.when(known, F.abs(F.col("baseline") - F.col("actual")))).alias("_naive"),
             F.count_if(known).alias("n_evaluated"),
-            F.array_sort(F.collect_list(F.struct("ts", F.col("predicted_value").alias("y")))).alias("points"),
+            points_in_order("predicted_value", "y").alias("points"),
         )
         .withColumn("current_mase", live_mase(F.col("_model"), F.col("_naive"), F.col("n_evaluated")))
         .join(labels, "model_id")
@@ -160,9 +176,9 @@ def forecasts_across_rounds(
     all_rounds = rounds.select(F.col("id").alias("round_id"), "definition_id", F.col("name").alias("round_name"), "start_time", "end_time")
     members = pseudo.select("round_id", "series_id", F.lit(True).alias("_in"))
     rows = (
-        forecasts.filter(in_dates(F.col("ts"), first_day, last_day))
+        forecasts.withColumn(QUANTILES, quantiles(forecasts)).filter(in_dates(F.col("ts"), first_day, last_day))
         .groupBy("round_id", "model_id", "series_id")
-        .agg(F.array_sort(F.collect_list(F.struct("ts", F.col("predicted_value").alias("y")))).alias("_points"))
+        .agg(points_in_order("predicted_value", "y").alias("_points"))
     )
     inside = F.coalesce(F.col("_in"), F.lit(False))
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forescale.functions.times import instant, valid_at
+from forescale.operators.forecasts import points_in_order, quantiles
 from forescale.operators.ordered import keep_one
 
 POINT = ["series_id", "ts"]
@@ -214,14 +215,22 @@ def round_forecasts(instants: DataFrame, pseudo: DataFrame, forecasts: DataFrame
     return (
         forecasts.join(instants.select("round_id"), "round_id", "left_semi")
         .join(names, ["round_id", "series_id"]).join(who, "model_id")
-        .select("round_id", "series_id", "challenge_series_name", "readable_id", "ts", F.col("predicted_value").alias("value"))
+        .select("round_id", "series_id", "challenge_series_name", "readable_id", "ts", F.col("predicted_value").alias("value"), quantiles(forecasts))
     )
 
 
-def nested_round(actuals: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """Per round and series: actuals in time order and a map from model to its points (one horizon each)."""
+def nested_round(actuals: DataFrame, forecasts: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """Per round and series: context and actuals in time order and a map from model to its points (one horizon each).
+
+    Context is gathered by day first, so no task sorts the points of a whole history.
+    """
     points = F.array_sort(F.collect_list(F.struct("ts", "value")))
     keys = ["round_id", "series_id", "challenge_series_name"]
-    per_model = forecasts.groupBy(*keys, "readable_id").agg(points.alias("_p"))
-    by_model = per_model.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("readable_id", "_p")))).alias("forecasts"))
-    return actuals.groupBy(*keys).agg(points.alias("actuals")).join(by_model, keys, "full_outer")
+    per_model = forecasts.groupBy(*keys, "readable_id").agg(points_in_order("value", "value").alias("_p"))
+    by_model = per_model.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("readable_id", "_p"))).alias("forecasts"))
+    nested = actuals.groupBy(*keys).agg(points.alias("actuals")).join(by_model, keys, "full_outer")
+    if context is None:
+        return nested
+    days = context.groupBy(*keys, F.to_date("ts").alias("day")).agg(points.alias("points"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("day", "points"))), lambda d: d["points"]))
+    return nested.join(days.groupBy(*keys).agg(whole.alias("context")), keys, "full_outer")

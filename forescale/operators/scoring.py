@@ -164,7 +164,8 @@ def _labelled(rows: DataFrame, models: DataFrame, series: DataFrame) -> DataFram
 
 def live_pairs(forecasts: DataFrame, rounds: DataFrame, pseudo: DataFrame, rollups: DataFrame, baseline: str = "left") -> DataFrame:
     """Forecasts with the actual of exactly the same instant, and the value at the context end."""
-    tagged = forecasts.select(*KEYS, "ts", "predicted_value").join(round_levels(rounds), "round_id")
+    more = [c for c in forecasts.columns if c == "probabilistic_values"]
+    tagged = forecasts.select(*KEYS, "ts", "predicted_value", *more).join(round_levels(rounds), "round_id")
     actuals = rollups.select("resolution", "series_id", "ts", F.col("value").alias("actual"))
     return tagged.join(actuals, ["resolution", "series_id", "ts"], "left").join(
         baselines(pseudo, rounds, rollups), ["round_id", "series_id"], baseline

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from forescale.functions.times import instant
 from forescale.operators import export
 from forescale.operators import history as hist
-from forescale.plans.queries.registry import points_text, query, rounded
+from forescale.plans.queries.registry import ci_text, points_text, query, rounded, shown, with_quantiles
 from forescale.plans.world import AS_OF, World
 
 VERSION = ["series_id", "ts", "value", "quality_code", "valid_from", "valid_to", "is_current"]
@@ -102,20 +102,25 @@ def round_actuals(w: World) -> DataFrame:
 
 @query
 def round_forecasts(w: World) -> DataFrame:
-    return rounded(hist.round_forecasts(_instants(w), w.pseudo, w.forecasts, w.models), "value")
+    return with_quantiles(rounded(hist.round_forecasts(_instants(w), w.pseudo, w.forecasts, w.models), "value"))
 
 
 @query
 def round_complete_data(w: World) -> DataFrame:
-    """Actuals and forecasts nested per series; shown flat, one row per model."""
+    """Context, actuals and forecasts nested per series; shown flat, one row per model."""
     instants = _instants(w)
     nested = hist.nested_round(
-        hist.round_actuals(instants, w.pseudo, w.history), hist.round_forecasts(instants, w.pseudo, w.forecasts, w.models)
+        hist.round_actuals(instants, w.pseudo, w.history), hist.round_forecasts(instants, w.pseudo, w.forecasts, w.models),
+        hist.round_context(instants, w.pseudo, w.history),
     )
+    known = F.coalesce(F.size("context"), F.lit(0)).alias("n_context")
+    last = shown(F.try_element_at("context", F.lit(-1))["value"]).alias("context_last")
     flat = nested.select(
-        "round_id", "series_id", F.coalesce(F.size("actuals"), F.lit(0)).alias("n_actuals"), F.explode_outer("forecasts").alias("readable_id", "_p")
+        "round_id", "series_id", known, last, F.coalesce(F.size("actuals"), F.lit(0)).alias("n_actuals"), F.explode_outer("forecasts").alias("readable_id", "_p")
+    )
+    return flat.select(
+        "round_id", "series_id", "n_context", "context_last", "n_actuals", "readable_id", *points_text(F.col("_p"), "value"), *ci_text(F.col("_p"))
     )
-    return flat.select("round_id", "series_id", "n_actuals", "readable_id", *points_text(F.col("_p"), "value"))
 
 
 @query

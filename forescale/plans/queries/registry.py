@@ -32,6 +32,18 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: shown(F.col(c), digits) for c in columns})
 
 
+def with_quantiles(df: DataFrame) -> DataFrame:
+    """The lowest and highest level of the quantile map as columns."""
+    level = lambda name: shown(F.try_element_at("probabilistic_values", F.lit(name)))
+    return df.withColumns({"q_low": level("0.025"), "q_high": level("0.975")}).drop("probabilistic_values")
+
+
+def ci_text(points):
+    """Points with an interval, and the sum of their highest levels."""
+    high = F.transform(F.filter(points, lambda p: p["ci"].isNotNull()), lambda p: F.try_element_at(p["ci"], F.lit("0.975")))
+    return [F.size(high).alias("n_ci"), shown(F.aggregate(high, F.lit(0.0), lambda acc, v: acc + v)).alias("ci_sum")]
+
+
 def points_text(points, value: str = "y"):
     """Count, ends and sum of an array of points, as flat columns."""
     total = F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p[value])

@@ -14,7 +14,7 @@ from forescale.operators import forecasts as fc
 from forescale.operators import rollup, rounds
 from forescale.operators.availability import data_availability
 from forescale.plans import lifecycle
-from forescale.plans.queries.registry import points_text, query, rounded
+from forescale.plans.queries.registry import ci_text, points_text, query, rounded, with_quantiles
 from forescale.plans.world import AS_OF, REGISTRATION_AS_OF, SEED, World
 from forescale.sources import scans
 
@@ -179,14 +179,14 @@ def list_forecasts(w: World) -> DataFrame:
     """Forecasts of every round that has begun, with public names."""
     begun = w.rounds.filter(F.col("start_time") <= instant(AS_OF)).select(F.col("id").alias("round_id"))
     wanted = scans.participants(w.forecasts).join(begun, "round_id", "left_semi")
-    return rounded(fc.list_forecasts(w.forecasts, w.pseudo, wanted), "predicted_value")
+    return with_quantiles(rounded(fc.list_forecasts(w.forecasts, w.pseudo, wanted), "predicted_value"))
 
 
 @query
 def series_forecasts_with_mase(w: World) -> DataFrame:
     rows = fc.series_forecasts_with_mase(w.forecasts, w.rounds, w.pseudo, w.rollups, w.models)
     return rounded(rows, "current_mase").select(
-        "round_id", "series_id", "model_id", "readable_id", "current_mase", "n_evaluated", *points_text(F.col("points"))
+        "round_id", "series_id", "model_id", "readable_id", "current_mase", "n_evaluated", *points_text(F.col("points")), *ci_text(F.col("points"))
     )
 
 
@@ -200,7 +200,7 @@ def _wanted(w: World) -> DataFrame:
 @query
 def forecasts_across_rounds(w: World) -> DataFrame:
     rows = fc.forecasts_across_rounds(w.rounds, w.pseudo, w.forecasts, _wanted(w), "2024-01-11", "2024-01-21")
-    return rows.select("model_id", "definition_id", "series_id", "round_id", "series_in_round", "forecast_exists", *points_text(F.col("points")))
+    return rows.select("model_id", "definition_id", "series_id", "round_id", "series_in_round", "forecast_exists", *points_text(F.col("points")), *ci_text(F.col("points")))
 
 
 @query
@@ -227,12 +227,12 @@ def _stored(w: World) -> dict[str, DataFrame]:
 
 @query
 def admit_forecast_rows(w: World) -> DataFrame:
-    return rounded(fc.accepted_rows(w.submissions, _verdicts(w)), "predicted_value")
+    return with_quantiles(rounded(fc.accepted_rows(w.submissions, _verdicts(w)), "predicted_value"))
 
 
 @query
 def admit_new_forecasts(w: World) -> DataFrame:
-    return rounded(_stored(w)["forecasts"], "predicted_value")
+    return with_quantiles(rounded(_stored(w)["forecasts"], "predicted_value"))
 
 
 @query

@@ -224,8 +224,11 @@ class World:
         }
         each = F.array(*[F.struct(F.lit(m).alias("model_id"), v.alias("predicted_value")) for m, v in made.items()])
         rows = joined.select("round_id", "series_id", "ts", "registration_start", F.explode(each).alias("m"))
-        forecasts = rows.filter(F.col("m.predicted_value").isNotNull()).select(
-            "round_id", "m.model_id", "series_id", "ts", "m.predicted_value", shift(F.col("registration_start"), F.col("m.model_id") * 60).alias("created_at")
+        value = F.col("m.predicted_value")
+        levels = F.create_map(F.lit("0.025"), value * 0.9, F.lit("0.5"), value, F.lit("0.975"), value * 1.1)
+        forecasts = rows.filter(value.isNotNull()).select(
+            "round_id", "m.model_id", "series_id", "ts", "m.predicted_value", shift(F.col("registration_start"), F.col("m.model_id") * 60).alias("created_at"),
+            F.when(F.col("m.model_id") % 2 == 0, levels).alias("probabilistic_values"),
         )
         return self.stage("forecasts", forecasts)
 
@@ -293,7 +296,7 @@ class World:
             F.when((r * 2 + m) % 29 == 0, r + 100_000).otherwise(r).alias("round_id"), "model_name",
             F.when((r + m) % 17 == 0, 3 - F.col("user_id")).otherwise(F.col("user_id")).alias("user_id"),
             F.when((r + s + m) % 11 == 0, F.concat(F.lit("nope_"), s.cast("string"))).otherwise(F.col("challenge_series_name")).alias("challenge_series_name"),
-            "ts", F.col("predicted_value").alias("value"), sent.alias("submitted_at"),
+            "ts", F.col("predicted_value").alias("value"), sent.alias("submitted_at"), "probabilistic_values",
         )
         return self.stage("submissions", uploads)
 

@@ -175,7 +175,8 @@ FROM (SELECT round_id, series_id, arg_max(value, ts) AS predicted_value FROM con
 JOIN (SELECT id AS round_id, unnest(range(start_time, end_time, to_seconds(frequency_s))) AS ts FROM rounds) g ON g.round_id = c.round_id""")
 
 cte("forecasts", "naive rounds rollups pseudo", f"""
-SELECT round_id, model_id, series_id, ts, predicted_value, created_at FROM (
+SELECT round_id, model_id, series_id, ts, predicted_value, created_at, CASE WHEN model_id % 2 = 0 THEN predicted_value * 0.9::DOUBLE END AS q_low,
+  CASE WHEN model_id % 2 = 0 THEN predicted_value * 1.1::DOUBLE END AS q_high FROM (
   SELECT b.round_id, m.model_id, b.series_id, b.ts, r.registration_start + to_minutes(m.model_id) AS created_at,
     CASE m.model_id WHEN 1 THEN b.predicted_value WHEN 2 THEN coalesce(x.value, b.predicted_value)
       WHEN 3 THEN CASE WHEN b.round_id % 5 <> 0 THEN p.value_avg END
@@ -318,7 +319,7 @@ cte("submissions", "forecasts models rounds pseudo", """
 SELECT CASE WHEN (f.round_id * 2 + f.model_id) % 29 = 0 THEN f.round_id + 100000 ELSE f.round_id END AS round_id, m.name AS model_name,
   CASE WHEN (f.round_id + f.model_id) % 17 = 0 THEN 3 - m.user_id ELSE m.user_id END AS user_id,
   CASE WHEN (f.round_id + f.series_id + f.model_id) % 11 = 0 THEN 'nope_' || f.series_id ELSE p.challenge_series_name END AS challenge_series_name,
-  f.ts, f.predicted_value AS value,
+  f.ts, f.predicted_value AS value, f.q_low, f.q_high,
   CASE WHEN (f.round_id + f.model_id) % 13 = 0 THEN r.registration_end + INTERVAL 1 HOUR
     WHEN (f.round_id + f.model_id) % 23 = 0 THEN r.registration_start - INTERVAL 1 HOUR ELSE r.registration_start + INTERVAL 10 MINUTE END AS submitted_at
 FROM forecasts f JOIN models m ON m.id = f.model_id JOIN rounds r ON r.id = f.round_id
@@ -339,8 +340,8 @@ LEFT JOIN models m ON m.name = g.model_name AND m.user_id = g.user_id LEFT JOIN
 LEFT JOIN pseudo p ON p.round_id = g.round_id AND p.challenge_series_name = g.challenge_series_name""")
 
 cte("accepted", "submissions verdicts", """
-SELECT round_id, model_id, series_id, ts, predicted_value, created_at FROM (
-  SELECT v.round_id, v.model_id, v.series_id, s.ts, s.value AS predicted_value, s.submitted_at AS created_at,
+SELECT round_id, model_id, series_id, ts, predicted_value, created_at, q_low, q_high FROM (
+  SELECT v.round_id, v.model_id, v.series_id, s.ts, s.value AS predicted_value, s.submitted_at AS created_at, s.q_low, s.q_high,
     row_number() OVER (PARTITION BY v.round_id, v.model_id, v.series_id, s.ts ORDER BY s.submitted_at, s.value) AS rn
   FROM submissions s JOIN verdicts v ON v.round_id = s.round_id AND v.model_name = s.model_name AND v.user_id = s.user_id
     AND v.submitted_at = s.submitted_at AND v.challenge_series_name = s.challenge_series_name WHERE v.error IS NULL) WHERE rn = 1""")

@@ -39,21 +39,23 @@ _CONTEXT = f"""(SELECT p.round_id, p.series_id, p.challenge_series_name, h.ts, h
 _ACTUALS = f"""(SELECT p.round_id, p.series_id, p.challenge_series_name, h.ts, h.value FROM pseudo p JOIN {_INSTANTS} i ON i.round_id = p.round_id
   JOIN history h ON h.series_id = p.series_id AND h.ts >= i.start_time AND h.ts <= i.end_time AND h.valid_from <= i.eval_time
     AND (h.valid_to IS NULL OR i.eval_time < h.valid_to))"""
-_FORECASTS = """(SELECT p.round_id, p.series_id, p.challenge_series_name, m.readable_id, f.ts, f.predicted_value AS value
+_FORECASTS = """(SELECT p.round_id, p.series_id, p.challenge_series_name, m.readable_id, f.ts, f.predicted_value AS value, f.q_low, f.q_high
   FROM forecasts f JOIN pseudo p ON p.round_id = f.round_id AND p.series_id = f.series_id JOIN models m ON m.id = f.model_id)"""
 ORACLES["round_instants"] = statement("rounds scores", f"SELECT * FROM {_INSTANTS}")
 ORACLES["round_context"] = statement("pseudo rounds scores history", f"""
 SELECT round_id, series_id, challenge_series_name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(value), 6) AS total
 FROM {_CONTEXT} GROUP BY ALL""")
 ORACLES["round_actuals"] = statement("pseudo rounds scores history", f"SELECT * REPLACE (round(value, 6) AS value) FROM {_ACTUALS}")
-ORACLES["round_forecasts"] = statement("forecasts pseudo models", f"SELECT * REPLACE (round(value, 6) AS value) FROM {_FORECASTS}")
+ORACLES["round_forecasts"] = statement("forecasts pseudo models", f"SELECT * REPLACE (round(value, 6) AS value, round(q_low, 6) AS q_low, round(q_high, 6) AS q_high) FROM {_FORECASTS}")
 ORACLES["round_complete_data"] = statement("pseudo rounds scores history forecasts models", f"""
-SELECT coalesce(f.round_id, a.round_id) AS round_id, coalesce(f.series_id, a.series_id) AS series_id, coalesce(a.n, 0) AS n_actuals, f.readable_id,
-  f.n_points, f.first_ts, f.last_ts, f.value_sum
+SELECT round_id, series_id, coalesce(a.n, 0) AS n_actuals, f.readable_id, f.n_points, f.first_ts, f.last_ts, f.value_sum, f.n_ci, f.ci_sum,
+  coalesce(c.n_context, 0) AS n_context, c.context_last
 FROM (SELECT round_id, series_id, readable_id, CAST(count(*) AS INTEGER) AS n_points, min(ts) AS first_ts, max(ts) AS last_ts,
-    round(sum(value), 6) AS value_sum FROM {_FORECASTS} GROUP BY round_id, series_id, readable_id) f
+    round(sum(value), 6) AS value_sum, CAST(count(q_high) AS INTEGER) AS n_ci, round(coalesce(sum(q_high), 0), 6) AS ci_sum FROM {_FORECASTS} GROUP BY round_id, series_id, readable_id) f
 FULL JOIN (SELECT round_id, series_id, CAST(count(*) AS INTEGER) AS n FROM {_ACTUALS} GROUP BY round_id, series_id) a
-  ON a.round_id = f.round_id AND a.series_id = f.series_id""")
+  USING (round_id, series_id)
+FULL JOIN (SELECT round_id, series_id, CAST(count(*) AS INTEGER) AS n_context, round(arg_max(value, (ts, value)), 6) AS context_last
+  FROM {_CONTEXT} GROUP BY round_id, series_id) c USING (round_id, series_id)""")
 _ENDING = "(SELECT * FROM rounds WHERE year(end_time) = 2024 AND month(end_time) = 1)"
 ORACLES["export_month"] = statement("pseudo rounds scores history forecasts models", f"""
 SELECT id AS round_id, count(*) AS n, round(CAST(sum(definition_id) AS DOUBLE), 6) AS total, 'rounds_metadata' AS dataset FROM {_ENDING} GROUP BY id

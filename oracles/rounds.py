@@ -86,14 +86,14 @@ SELECT f.round_id, f.model_id, f.series_id, f.ts, round(f.predicted_value, 6) AS
 JOIN rounds r ON r.id = f.round_id JOIN models m ON m.id = f.model_id
 WHERE m.user_id = 2 AND (r.is_cancelled OR {status_case(REGISTRATION_AS_OF)} <> 'registration')""")
 ORACLES["list_forecasts"] = statement("forecasts rounds pseudo", f"""
-SELECT f.round_id, f.model_id, f.series_id, f.ts, round(f.predicted_value, 6) AS predicted_value, p.challenge_series_name
+SELECT f.round_id, f.model_id, f.series_id, f.ts, round(f.predicted_value, 6) AS predicted_value, p.challenge_series_name, f.created_at, round(f.q_low, 6) AS q_low, round(f.q_high, 6) AS q_high
 FROM forecasts f JOIN rounds r ON r.id = f.round_id AND r.start_time <= {AS_OF}
 JOIN pseudo p ON p.round_id = f.round_id AND p.series_id = f.series_id""")
 ORACLES["series_forecasts_with_mase"] = statement("forecasts rounds pseudo rollups models", f"""
 SELECT f.round_id, f.series_id, f.model_id, any_value(m.readable_id) AS readable_id,
   round(CASE WHEN sum(abs(b.value - y.value)) <> 0 THEN sum(abs(f.predicted_value - y.value)) / sum(abs(b.value - y.value)) END, 6) AS current_mase,
   count(y.value) AS n_evaluated, CAST(count(*) AS INTEGER) AS n_points, min(f.ts) AS first_ts, max(f.ts) AS last_ts,
-  round(sum(f.predicted_value), 6) AS value_sum
+  round(sum(f.predicted_value), 6) AS value_sum, CAST(count(f.q_high) AS INTEGER) AS n_ci, round(coalesce(sum(f.q_high), 0), 6) AS ci_sum
 FROM forecasts f JOIN rounds r ON r.id = f.round_id JOIN pseudo p ON p.round_id = f.round_id AND p.series_id = f.series_id
 JOIN models m ON m.id = f.model_id
 JOIN rollups b ON b.resolution = {resolution('r.frequency_s')} AND b.series_id = f.series_id AND b.ts = p.max_ts
@@ -102,9 +102,11 @@ GROUP BY f.round_id, f.series_id, f.model_id""")
 _WANTED = "(SELECT DISTINCT definition_id, series_id, m.model_id FROM assignments, (VALUES (1), (2), (3), (4)) m(model_id))"
 ORACLES["forecasts_across_rounds"] = statement("assignments rounds pseudo forecasts", f"""
 SELECT k.model_id, k.definition_id, k.series_id, r.id AS round_id, p.series_id IS NOT NULL AS series_in_round, f.n IS NOT NULL AS forecast_exists,
-  CASE WHEN f.n IS NOT NULL THEN CAST(f.n AS INTEGER) END AS n_points, f.first_ts, f.last_ts, round(f.total, 6) AS value_sum
+  CASE WHEN f.n IS NOT NULL THEN CAST(f.n AS INTEGER) END AS n_points, f.first_ts, f.last_ts, round(f.total, 6) AS value_sum,
+  f.n_ci, round(f.ci_total, 6) AS ci_sum
 FROM {_WANTED} k JOIN rounds r ON r.definition_id = k.definition_id LEFT JOIN pseudo p ON p.round_id = r.id AND p.series_id = k.series_id
-LEFT JOIN (SELECT round_id, model_id, series_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum(predicted_value) AS total FROM forecasts
+LEFT JOIN (SELECT round_id, model_id, series_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum(predicted_value) AS total,
+    CAST(count(q_high) AS INTEGER) AS n_ci, coalesce(sum(q_high), 0) AS ci_total FROM forecasts
   WHERE ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-22' GROUP BY ALL) f
   ON f.round_id = r.id AND f.model_id = k.model_id AND f.series_id = k.series_id""")
 ORACLES["ground_truth"] = statement("assignments definitions rollups", f"""
@@ -115,12 +117,12 @@ WHERE x.ts >= TIMESTAMP '2024-01-11' AND x.ts < TIMESTAMP '2024-01-22'""")
 
 ORACLES["admit_verdicts"] = statement("verdicts", "SELECT * FROM verdicts")
 ORACLES["admit_forecast_rows"] = statement("submissions verdicts", """
-SELECT v.round_id, v.model_id, v.series_id, s.ts, round(s.value, 6) AS predicted_value, s.submitted_at AS created_at
+SELECT v.round_id, v.model_id, v.series_id, s.ts, round(s.value, 6) AS predicted_value, s.submitted_at AS created_at, round(s.q_low, 6) AS q_low, round(s.q_high, 6) AS q_high
 FROM submissions s JOIN verdicts v ON v.round_id = s.round_id AND v.model_name = s.model_name AND v.user_id = s.user_id
   AND v.submitted_at = s.submitted_at AND v.challenge_series_name = s.challenge_series_name WHERE v.error IS NULL""")
 _OLD = "(SELECT * FROM forecasts WHERE created_at < TIMESTAMP '2024-01-17')"
 ORACLES["admit_new_forecasts"] = statement("accepted forecasts", f"""
-SELECT a.* REPLACE (round(a.predicted_value, 6) AS predicted_value) FROM accepted a WHERE NOT EXISTS (SELECT 1 FROM {_OLD} o
+SELECT a.* REPLACE (round(a.predicted_value, 6) AS predicted_value, round(a.q_low, 6) AS q_low, round(a.q_high, 6) AS q_high) FROM accepted a WHERE NOT EXISTS (SELECT 1 FROM {_OLD} o
   WHERE o.round_id = a.round_id AND o.model_id = a.model_id AND o.series_id = a.series_id AND o.ts = a.ts)""")
 ORACLES["admit_new_participants"] = statement("verdicts forecasts", f"""
 SELECT DISTINCT round_id, model_id FROM verdicts v WHERE (error IS NULL OR error IN ('unknown_series', 'wrong_point_count'))
