@@ -183,12 +183,12 @@ def imputed_operational(w: World) -> DataFrame:
 
 @query
 def resample_events(w: World) -> DataFrame:
-    return resample.rounded(resample.resample_events(w.price_events, START, END))
+    return resample.rounded(resample.resample_events(w.price_events, *w.span))
 
 
 @query
 def national_mean(w: World) -> DataFrame:
-    return resample.step_mean(resample.resample_events(w.price_events, START, END))
+    return resample.step_mean(resample.resample_events(w.price_events, *w.span))
 
 
 @query

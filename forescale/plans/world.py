@@ -9,7 +9,7 @@ and read from there; everything grows with the given tables.
 from __future__ import annotations
 
 import hashlib
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +92,18 @@ class World:
     def events(self) -> DataFrame:
         return self.table("events")
 
+    @cached_property
+    def event_days(self) -> tuple[date, date]:
+        """First and last day with events; 13 days from the first of 2024 where there are none."""
+        first, last = self.events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+        return (first, max(last, first + timedelta(days=13))) if first else (date(2024, 1, 1), date(2024, 1, 14))
+
+    @property
+    def span(self) -> tuple[datetime, datetime]:
+        """From the first midnight of the events to the midnight after the last."""
+        first, last = self.event_days
+        return datetime(first.year, first.month, first.day), datetime(last.year, last.month, last.day) + timedelta(days=1)
+
     @staticmethod
     def type_series():
         picked = F.lit(None).cast("int")
@@ -176,10 +188,12 @@ class World:
 
     @cached_property
     def created(self) -> DataFrame:
-        """Rounds as created: every definition on every morning of 10 to 26 January."""
-        day = F.explode(F.sequence(F.lit(date(2024, 1, 10)), F.lit(date(2024, 1, 26)))).alias("day")
-        starts = self.definitions.select(F.col("id").alias("definition_id"), day).select(
-            "definition_id", (F.col("definition_id") * 100 + F.dayofmonth("day")).alias("id"),
+        """Rounds as created: every definition on each morning that events follow, with history before and a window after."""
+        first, last = self.event_days
+        day = F.explode(F.sequence(F.lit(first + timedelta(days=9)), F.lit(last - timedelta(days=4)))).alias("day")
+        seen = self.events.select(F.to_date("ts").alias("day")).distinct()
+        starts = self.definitions.select(F.col("id").alias("definition_id"), day).join(seen, "day", "left_semi").select(
+            "definition_id", (F.col("definition_id") * 10_000 + F.date_diff("day", F.lit(first)) + 1).cast("int").alias("id"),
             shift(F.col("day").cast("timestamp"), 6 * 3600).alias("registration_start"),
         )
         return rounds.create_rounds(self.definitions, starts).withColumn("is_cancelled", F.col("id") % 37 == 0)
@@ -293,7 +307,7 @@ class World:
             (r + m) % 23 == 0, shift(F.col("registration_start"), -3600)
         ).otherwise(shift(F.col("registration_start"), 600))
         uploads = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(
-            F.when((r * 2 + m) % 29 == 0, r + 100_000).otherwise(r).alias("round_id"), "model_name",
+            F.when((r * 2 + m) % 29 == 0, r + 1_000_000).otherwise(r).alias("round_id"), "model_name",
             F.when((r + m) % 17 == 0, 3 - F.col("user_id")).otherwise(F.col("user_id")).alias("user_id"),
             F.when((r + s + m) % 11 == 0, F.concat(F.lit("nope_"), s.cast("string"))).otherwise(F.col("challenge_series_name")).alias("challenge_series_name"),
             "ts", F.col("predicted_value").alias("value"), sent.alias("submitted_at"), "probabilistic_values",

@@ -115,13 +115,15 @@ cte("users", "", "SELECT * FROM (VALUES (1, 'ada', 1, 'internal'), (2, 'bo', 2,
 cte("organisations", "", "SELECT * FROM (VALUES (1, 'North'), (2, 'South')) v(id, name)")
 
 cte("created", "definitions", """
-SELECT d.id * 100 + CAST(day(g.day) AS INTEGER) AS id, d.id AS definition_id,
+SELECT CAST(d.id * 10000 + date_diff('day', g.first_day, g.day) + 1 AS INTEGER) AS id, d.id AS definition_id,
   d.name || ' - ' || strftime(g.day + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') || ' UTC' AS name,
   d.context_length, d.horizon_s, d.frequency_s, g.day + INTERVAL 6 HOUR AS registration_start,
   g.day + INTERVAL 6 HOUR + to_seconds(coalesce(d.registration_s, 3600)) AS registration_end,
   g.day + INTERVAL 6 HOUR AS created_at,
-  (d.id * 100 + day(g.day)) % 37 = 0 AS planned_cancel
-FROM definitions d, (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-26', INTERVAL 1 DAY)) AS TIMESTAMP) AS day) g""")
+  (d.id * 10000 + date_diff('day', g.first_day, g.day) + 1) % 37 = 0 AS planned_cancel
+FROM definitions d, (SELECT DISTINCT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, min(CAST(CAST(ts AS DATE) AS TIMESTAMP)) OVER () AS first_day,
+    max(CAST(CAST(ts AS DATE) AS TIMESTAMP)) OVER () AS last_day FROM events) g
+WHERE g.day >= g.first_day + INTERVAL 9 DAY AND g.day <= g.last_day - INTERVAL 4 DAY""")
 
 cte("availability", "series category points", f"""
 SELECT s.series_id, s.name, s.frequency_s, s.unique_id, c.domain, c.subdomain, c.category, c.subcategory, l.last_data_ts,
@@ -316,7 +318,7 @@ LATERAL (SELECT CASE WHEN e.event_type = 'error' THEN e.value * 0.97::DOUBLE ELS
   UNION ALL SELECT e.value, e.ts + INTERVAL 1 DAY, NULL, true WHERE e.event_type = 'error') v""")
 
 cte("submissions", "forecasts models rounds pseudo", """
-SELECT CASE WHEN (f.round_id * 2 + f.model_id) % 29 = 0 THEN f.round_id + 100000 ELSE f.round_id END AS round_id, m.name AS model_name,
+SELECT CASE WHEN (f.round_id * 2 + f.model_id) % 29 = 0 THEN f.round_id + 1000000 ELSE f.round_id END AS round_id, m.name AS model_name,
   CASE WHEN (f.round_id + f.model_id) % 17 = 0 THEN 3 - m.user_id ELSE m.user_id END AS user_id,
   CASE WHEN (f.round_id + f.series_id + f.model_id) % 11 = 0 THEN 'nope_' || f.series_id ELSE p.challenge_series_name END AS challenge_series_name,
   f.ts, f.predicted_value AS value, f.q_low, f.q_high,

@@ -104,7 +104,8 @@ RESAMPLED = """
 SELECT g.station, g.fuel, g.ts, CASE WHEN c.price IS NULL AND i.n IS NULL THEN NULL
   ELSE (coalesce(c.price, 0) + coalesce(i.total, 0)) / ((CASE WHEN c.price IS NULL THEN 0 ELSE 1 END) + coalesce(i.n, 0)) END AS price
 FROM (SELECT k.station, k.fuel, t.ts FROM (SELECT DISTINCT station, fuel FROM price_events) k,
-    (SELECT unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 10 MINUTE)) AS ts) t) g
+    (SELECT unnest(range((SELECT date_trunc('day', min(ts)) FROM events)::TIMESTAMP, (SELECT date_trunc('day', max(ts)) FROM events)::TIMESTAMP + INTERVAL 1 DAY,
+      INTERVAL 10 MINUTE)) AS ts) t) g
 ASOF LEFT JOIN price_events c ON c.station = g.station AND c.fuel = g.fuel AND c.ts <= g.ts
 LEFT JOIN (SELECT station, fuel, time_bucket(INTERVAL '10 minutes', ts) AS bin, count(*) AS n, sum(price) AS total FROM (
     SELECT *, lag(price) OVER (PARTITION BY station, fuel ORDER BY ts) AS before FROM price_events)

@@ -50,7 +50,8 @@ UNION ALL SELECT 'national-' || fuel, ts, round(avg(price), 4) FROM good GROUP B
 ORACLES["read_price_csv"] = """
 SELECT 'st-' || user_id AS station, date_trunc('second', ts) AS ts, CASE WHEN event_type IN ('click', 'signup') THEN 'e5' WHEN event_type = 'view' THEN 'e10' ELSE 'diesel' END AS fuel,
   round(1 + floor(value / 50) / 10, 2) AS price FROM events WHERE user_id % 10 <> 9"""
-ORACLES["union_slices"] = "SELECT event_id, ts, value, CASE WHEN event_type IN ('click', 'purchase') THEN user_id END AS user_id FROM events"
+ORACLES["union_slices"] = """
+SELECT event_id, ts, value, CASE WHEN date_diff('day', (SELECT min(ts) FROM events), ts) % 2 = 0 THEN user_id END AS user_id FROM events"""
 ORACLES["resolve_series"] = "SELECT CAST(100000 + user_id AS INTEGER) AS series_id, ts, value FROM events WHERE user_id % 10 <> 3"
 ORACLES["unknown_series"] = "SELECT DISTINCT 'lost-' || user_id AS unique_id FROM events WHERE user_id % 10 = 3"
 ORACLES["load_catalogue"] = """
