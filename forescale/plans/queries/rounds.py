@@ -274,3 +274,29 @@ def comma_lists(w: World) -> DataFrame:
 @query
 def ten_minute_floor(w: World) -> DataFrame:
     return w.events.select("event_id", floor_to(F.col("ts"), 600).alias("ts"), F.round(F.col("value") / 7, 4).alias("value"))
+
+
+@query
+def active_definitions(w: World) -> DataFrame:
+    """Active definitions with their rounds so far."""
+    held = w.rounds.groupBy(F.col("definition_id").alias("id")).agg(F.count(F.lit(1)).alias("n_rounds"), F.max("end_time").alias("last_end"))
+    return rounds.active_definitions(w.definitions).join(held, "id", "left").select("id", "schedule_id", "name", "n_rounds", "last_end")
+
+
+@query
+def definition_by_schedule(w: World) -> DataFrame:
+    """One definition by its schedule id, with its rounds."""
+    found = scans.find(w.definitions, schedule_id="s-daily").select(F.col("id").alias("definition_id"), "schedule_id", "is_active")
+    return found.join(w.rounds.select("definition_id", F.col("id").alias("round_id"), "start_time"), "definition_id")
+
+
+@query
+def find_series(w: World) -> DataFrame:
+    return scans.find(w.series, unique_id="ev-click").select("series_id", "name", "unit", "category_id")
+
+
+@query
+def models_of_user(w: World) -> DataFrame:
+    """Models of one user with the rounds they forecast in."""
+    seats = scans.participants(w.forecasts).groupBy(F.col("model_id").alias("id")).agg(F.count(F.lit(1)).alias("n_rounds"))
+    return scans.models_of(w.models, user_id=2).join(seats, "id", "left").select("id", "name", "organization_id", "n_rounds")

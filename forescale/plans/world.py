@@ -70,6 +70,7 @@ class World:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
         self.folder = folder.rstrip("/")
+        self.landed: set[str] = set()
         tag = hashlib.md5(self.folder.encode()).hexdigest()[:12]
         self.stage_root = f"{shared_dir(spark)}/forescale/{spark.sparkContext.applicationId}/{tag}"
 

@@ -31,13 +31,33 @@ def landed_points(spark: SparkSession, folder: str, schema: str, files_per_batch
     return reader.parquet(folder)
 
 
-def ingest_batch(batch: DataFrame, as_of: datetime, current: str, history: str, impute: bool = True) -> None:
+def with_newest(batch: DataFrame, carry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Last delivery per point, with each series' newest point of the batches before, and the new newest points.
+
+    The carried point closes the gap between batches. Only points after it are gaps' ends: rows that arrive later than
+    that are stored, but the gap around them stays as it was filled.
+    """
+    latest = keep_one(batch, ["series_id", "ts"], ["batch_seq"])
+    before = carry.join(latest.select("series_id").distinct(), "series_id", "left_semi")
+    known = keep_one(latest.unionByName(before.select(*latest.columns)), ["series_id", "ts"], ["batch_seq"])
+    usable = latest.unionByName(carry.select(*latest.columns)).filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
+    rest = [F.max_by(c, "ts").alias(c) for c in latest.columns if c not in ("series_id", "ts")]
+    return known, usable.groupBy("series_id").agg(F.max("ts").alias("ts"), *rest).select(*latest.columns)
+
+
+def ingest_batch(
+    batch: DataFrame, as_of: datetime, current: str, history: str, impute: bool = True, carry: tuple[str, str] | None = None
+) -> None:
     """One batch of (series_id, ts, value, frequency_s, batch_seq): last delivery, filled gaps, both tables.
 
-    Repeating a batch changes nothing: the upsert writes the same values and the history sees
-    equal ones.
+    ``carry`` names where the newest points of the batch before stand and where this batch leaves its own. Repeating a
+    batch changes nothing: the upsert writes the same values and the history sees equal ones.
     """
     latest = keep_one(batch, ["series_id", "ts"], ["batch_seq"])
+    if carry is not None:
+        before = read_or_empty(batch.sparkSession, carry[0], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields))
+        latest, newest = with_newest(batch, before)
+        newest.write.mode("overwrite").parquet(carry[1])
     filled = with_day(impute_gaps(latest, enabled=impute)).withColumn("batch_seq", F.lit(0).cast("long"))
     merge_partitions(
         current, CURRENT, "day", operational(filled),
@@ -49,11 +69,17 @@ def ingest_batch(batch: DataFrame, as_of: datetime, current: str, history: str,
     )
 
 
-def run_ingest(points: DataFrame, clock: Callable[[int], datetime], current: str, history: str, checkpoint: str, impute: bool = True) -> StreamingQuery:
-    """Polled ingest as a stream; ``clock`` gives the system time of a batch, the same on a retry."""
+def run_ingest(
+    points: DataFrame, clock: Callable[[int], datetime], current: str, history: str, checkpoint: str, impute: bool = True, carry: str | None = None
+) -> StreamingQuery:
+    """Polled ingest as a stream; ``clock`` gives the system time of a batch, the same on a retry.
+
+    With a ``carry`` folder, gaps between batches are filled as in one pass over all of them.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, clock(batch_id), current, history, impute)
+        places = None if carry is None else (f"{carry}/batch={batch_id - 1}", f"{carry}/batch={batch_id}")
+        ingest_batch(batch, clock(batch_id), current, history, impute, places)
 
     return points.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 

@@ -146,3 +146,15 @@ FROM (SELECT *, s // 86400 AS d, s % 86400 // 3600 AS h, s % 3600 // 60 AS mi, s
   FROM (SELECT o_orderkey, CAST(o_orderkey % 1000 * 900 + o_custkey % 60 AS BIGINT) AS s FROM orders))"""
 ORACLES["comma_lists"] = "SELECT p_partkey, CAST(3 AS INTEGER) AS n, p_type || '|' || p_brand || '|' || p_name AS items FROM part"
 ORACLES["ten_minute_floor"] = "SELECT event_id, time_bucket(INTERVAL '10 minutes', ts) AS ts, round(value / 7, 4) AS value FROM events"
+
+ORACLES["active_definitions"] = statement("definitions rounds", """
+SELECT d.id, d.schedule_id, d.name, h.n AS n_rounds, h.last_end
+FROM definitions d LEFT JOIN (SELECT definition_id, count(*) AS n, max(end_time) AS last_end FROM rounds GROUP BY definition_id) h ON h.definition_id = d.id
+WHERE d.is_active""")
+ORACLES["definition_by_schedule"] = statement("definitions rounds", """
+SELECT d.id AS definition_id, d.schedule_id, d.is_active, r.id AS round_id, r.start_time
+FROM definitions d JOIN rounds r ON r.definition_id = d.id WHERE d.schedule_id = 's-daily'""")
+ORACLES["find_series"] = statement("series", "SELECT series_id, name, unit, category_id FROM series WHERE unique_id = 'ev-click'")
+ORACLES["models_of_user"] = statement("models forecasts", """
+SELECT m.id, m.name, m.organization_id, f.n AS n_rounds
+FROM models m LEFT JOIN (SELECT model_id, count(DISTINCT round_id) AS n FROM forecasts GROUP BY model_id) f ON f.model_id = m.id WHERE m.user_id = 2""")
