@@ -431,3 +431,22 @@ def test_loose_round_has_no_frequency_scope(table):
     base = table([(1, None, 1, 0.5), (2, 1, 1, 0.7)], "round_id int, definition_id int, model_id int, avg_mase double")
     got = rows(ranking.with_scopes(base, table([a_definition()], DEFINITION)).select("round_id", "scope_type", "scope_id"), "round_id", "scope_type")
     assert got == [(1, "definition", None), (1, "global", None), (2, "definition", "1"), (2, "frequency_horizon", "01:00:00::1 day"), (2, "global", None)]
+
+
+def test_repeated_batch_keys_give_one_row(table):
+    series = table([("a", "UTC"), ("b", None)], "unique_id string, ts_timezone string")
+    zones = table([("b", "CET"), ("b", "EET"), ("b", "CET")], "unique_id string, ts_timezone string")
+    assert sorted(map(tuple, upsert.update_timezone(series, zones).collect())) == [("a", "UTC"), ("b", "EET")]
+    span = "id int, start_time timestamp, end_time timestamp"
+    old = table([(1, datetime(2024, 1, 1), datetime(2024, 1, 2))], span)
+    new = table([(1, datetime(2024, 1, 3), None), (1, datetime(2024, 1, 4), None)], span)
+    assert [tuple(r) for r in upsert.update_round_times(old, new).collect()] == [(1, datetime(2024, 1, 4), datetime(2024, 1, 2))]
+    pseudo = "round_id int, series_id int, challenge_series_name string"
+    got = upsert.upsert_series_pseudo(table([(1, 1, "x")], pseudo), table([(1, 1, "y"), (1, 1, "z"), (2, 1, "n"), (2, 1, "n")], pseudo))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "z"), (2, 1, "n")]
+
+
+def test_a_step_of_zero_fills_nothing(table):
+    rows = [(1, datetime(2024, 1, 1), 1.0, 0), (1, datetime(2024, 1, 2), 2.0, 0)]
+    got = imputation.impute_gaps(table(rows, "series_id int, ts timestamp, value double, frequency_s long"))
+    assert got.count() == 2

@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from forescale.operators import resample, rollup
 from forescale.streaming import ingest, rollups
-from forescale.streaming.tables import read_table
+from forescale.streaming.tables import merge_partitions, read_table, with_day
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "series_id int, ts timestamp, value double, frequency_s long, batch_seq long"
@@ -81,3 +83,45 @@ def test_slices_with_carry_equal_one_pass(spark, table, tmp_path):
     want = resample.resample_events(table(events, schema), T0, T0 + timedelta(days=3))
     order = ("station", "fuel", "ts")
     assert rows(got.withColumn("price", F.round("price", 9)), *order) == rows(want.withColumn("price", F.round("price", 9)), *order)
+
+
+def test_a_missing_price_keeps_the_carry(spark, table):
+    schema = "station string, fuel string, ts timestamp, price double"
+    carry = table([("s", "e5", T0, 1.5)], schema)
+    empty = table([("s", "e5", T0 + timedelta(minutes=5), None)], schema)
+    _, after = ingest.resample_with_carry(empty, carry, T0, T0 + timedelta(hours=1))
+    assert rows(after, "ts") == [("s", "e5", T0, 1.5)]
+    bins, _ = ingest.resample_with_carry(table([], schema), after, T0 + timedelta(hours=1), T0 + timedelta(hours=2))
+    assert bins.count() == 6
+
+
+def test_gaps_between_batches_are_filled_as_in_one(spark, table, tmp_path):
+    points = [(1, T0, 1.0, 900, 0), (1, T0 + timedelta(hours=1), 5.0, 900, 1), (2, T0, 3.0, 900, 2)]
+    paths = lambda name: (str(tmp_path / name / "now"), str(tmp_path / name / "versions"))
+    ingest.ingest_batch(table(points, SCHEMA), datetime(2024, 2, 1), *paths("one"))
+    for n, batch in enumerate((points[:1] + points[2:], points[1:2])):
+        ingest.ingest_batch(table(batch, SCHEMA), datetime(2024, 2, 1), *paths("two"), carry=(str(tmp_path / f"carry/{n - 1}"), str(tmp_path / f"carry/{n}")))
+    read = lambda name: rows(read_table(spark, paths(name)[0], ingest.CURRENT, "day"), "series_id", "ts")
+    assert read("one") == read("two") and len(read("one")) == 6
+
+
+def test_a_commit_that_stops_half_way_loses_nothing(spark, table, tmp_path, monkeypatch):
+    folder, schema = str(tmp_path / "t"), "k int, v double, day date"
+    batch = lambda v: with_day(table([(1, v, T0), (2, v, T0 + timedelta(days=1))], "k int, v double, ts timestamp")).select("k", "v", "day")
+    replace = lambda old, new: old.join(new.select("k"), "k", "left_anti").select("k", "v", "day").unionByName(new)
+    read = lambda: rows(read_table(spark, folder, schema, "day").select("k", "v"), "k")
+    merge_partitions(folder, schema, "day", batch(1.0), replace)
+    write = DataFrameWriter.parquet
+
+    def broken(self, path, *more, **options):
+        if "/manifest/" in path:
+            raise OSError("lost")
+        return write(self, path, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(OSError):
+        merge_partitions(folder, schema, "day", batch(2.0).limit(1), replace)
+    monkeypatch.undo()
+    assert read() == [(1, 1.0), (2, 1.0)]
+    merge_partitions(folder, schema, "day", batch(2.0).where("k = 1"), replace)
+    assert read() == [(1, 2.0), (2, 1.0)]
