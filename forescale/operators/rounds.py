@@ -124,7 +124,7 @@ def choose_series(
 def context_snapshot(rounds: DataFrame, chosen: DataFrame, rollups: DataFrame) -> DataFrame:
     """Last ``context_length`` buckets per round and series, closed by the round's registration start.
 
-    Positions within a series (rollup rows are bounded by the calendar) turn "last n before t"
+    Only series that a round chose are numbered, up to the last start that needs them. Positions within a series (rollup rows are bounded by the calendar) turn "last n before t"
     into a position range. Ranges are joined through blocks of positions, so a row meets only
     the rounds whose window covers its block, never all rounds of its series.
     """
@@ -132,7 +132,6 @@ def context_snapshot(rounds: DataFrame, chosen: DataFrame, rollups: DataFrame) -
     width = resolution_seconds(F.col("resolution"))
     closed = shift(F.col("ts"), width)
     by_time = W.partitionBy(*key).orderBy("ts")
-    placed = rollups.select(*key, "ts", "value").withColumn("_pos", F.row_number().over(by_time).cast("long"))
     wanted = chosen.join(
         rounds.select(
             F.col("id").alias("round_id"), resolution_of(F.col("frequency_s")).alias("resolution"),
@@ -140,6 +139,9 @@ def context_snapshot(rounds: DataFrame, chosen: DataFrame, rollups: DataFrame) -
         ),
         "round_id",
     ).select("round_id", "_cut", "_n", *key)
+    reach = wanted.groupBy(*key).agg(F.max("_cut").alias("_last"))
+    seen = rollups.select(*key, "ts", "value").join(reach, key).filter(F.col("ts") < F.col("_last")).drop("_last")
+    placed = seen.withColumn("_pos", F.row_number().over(by_time).cast("long"))
     nothing = F.lit(None)
     marks = placed.select(*key, closed.alias("_t"), F.lit(0).alias("_kind"), "_pos",
                           nothing.cast("int").alias("round_id"), nothing.cast("long").alias("_n"))
