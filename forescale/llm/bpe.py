@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from forescale.llm.common import pieces
+from forescale.llm.common import pieces, resident
 
 #: States and remembered pieces are dropped and made anew beyond these counts, which bounds a worker's memory.
 MAX_STATES = 300_000
@@ -294,14 +294,9 @@ class Codec:
         yield utf8.finish()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker and vocabulary, so that states are made once."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    """One codec per worker, so that states are made once."""
+    return resident((path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_table(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

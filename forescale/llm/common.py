@@ -4,17 +4,38 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from forescale.session import shared_dir
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
+#: What is looked for in a large table is broadcast up to so many numbers, else joined by a shuffle.
+BROADCAST_NUMBERS = 4_000_000
+
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], Any]) -> Any:
+    """The model a worker holds; asking for another one drops it, so reused workers hold one at a time."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def bounded(df: DataFrame, numbers: int) -> DataFrame:
+    """``df``, to be broadcast if it holds few enough numbers."""
+    return F.broadcast(df) if numbers <= BROADCAST_NUMBERS else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forescale.llm.common import pieces
+from forescale.llm.common import bounded, pieces, resident, staged
 
 ORDER = 3
 DOCS_PER_LANG = 1500
-MODEL_BYTES = 96 << 20
+MODEL_BYTES = 64 << 20
 PAD = b" " * ORDER
 SEGMENT = 1 << 20
 
@@ -66,7 +66,9 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     rows = docs.where(F.col("lang").isNotNull() & ~held_out())
     share = rows.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count(F.lit(1))).alias("share"))
     draw = (F.xxhash64(F.col("doc_id"), F.lit(5)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("draw")
-    sample = rows.select("lang", "text", draw).join(share, "lang").where("draw < share and text is not null").select("lang", "text")
+    share = staged(share, "language-shares")
+    chosen = rows.select("lang", "text", draw).join(bounded(share, 2 * share.count()), "lang")
+    sample = chosen.where("draw < share and text is not null").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 4 << 20):
@@ -102,16 +104,19 @@ class Scorer:
         rest = np.log2(256 - 26 - len(own) or 1)
         numbers = [self.symbol[(model.grams >> np.uint32(8 * (ORDER - i))).astype(np.int64) & 255].astype(np.int64) for i in range(ORDER + 1)]
         at = sum(x * size ** (ORDER - i) for i, x in enumerate(numbers))
-        self.bits = np.empty((size ** (ORDER + 1), len(model.langs)), np.float32)
+        block = size**ORDER  # strings that begin with the same symbol
+        self.bits = np.empty((size * block, len(model.langs)), np.float32)
         for lang in range(len(model.langs)):
-            counts = np.bincount(at, model.counts[:, lang], size ** (ORDER + 1))
+            counts = np.bincount(at, model.counts[:, lang], size * block).astype(np.float32).reshape(size, block)
+            whole = counts.sum(0, dtype=np.float64)
             share = np.full((1, size), 1 / size)
-            for k in range(ORDER + 1):
-                seen = counts.reshape(-1, size ** (k + 1)).sum(0).reshape(-1, size)
+            for k in range(ORDER):
+                seen = whole.reshape(-1, size ** (k + 1)).sum(0).reshape(-1, size)
                 share = self.refine(seen, np.tile(share, (len(seen) // len(share), 1)))
-            bits = -np.log2(share)
-            bits[:, size - 1] += rest
-            self.bits[:, lang] = bits.reshape(-1)
+            for first in range(size):
+                bits = -np.log2(self.refine(counts[first].reshape(-1, size), share))
+                bits[:, size - 1] += rest
+                self.bits[first * block : (first + 1) * block, lang] = bits.reshape(-1)
 
     @staticmethod
     def refine(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -157,9 +162,6 @@ class Scorer:
         np.add.at(out, owners, sums)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``df``, then lang_pred, score (posterior for equal priors) and bits, the best code length."""
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
@@ -169,10 +171,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        if own.name not in _scorers:
-            _scorers.clear()
-            _scorers[own.name] = Scorer(own)
-        scorer = _scorers[own.name]
+        scorer = resident(own.name, lambda: Scorer(own))
         for batch in pieces(batches, text, 4 << 20):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)

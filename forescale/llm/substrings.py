@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forescale.llm.common import pieces, word_pieces
+from forescale.llm.common import pieces, resident, word_pieces
 
 WINDOW = 13
 SEED_WORDS = 4
@@ -44,9 +44,6 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _ODD[3]
     return x ^ (x >> np.uint64(29))
@@ -74,7 +71,8 @@ def runs(ids: list[int], keys: list[int], texts: list[bytes]) -> tuple[np.ndarra
                 lengths.append(len(own))
                 owners.append(i)
                 firsts.append(at)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    known = resident("words", WordHashes)
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     lengths = np.array(lengths, np.int64)
     n = len(w) - WINDOW + 1
     if n <= 0:
