@@ -13,7 +13,9 @@ queries and no candidates. Scores beyond a long stop at its limits. Extra column
 
 from __future__ import annotations
 
+import heapq
 import math
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -69,8 +71,6 @@ class Search:
     def __init__(self, tree: BallTree, ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int):
         self.tree, self.own, self.queries, self.floors, self.k = tree, ids, queries, floors, k
         self.norms = np.sqrt((queries * queries).sum(1))
-        largest = float(np.abs(queries).max(initial=0)) * float(np.abs(tree.vectors).max(initial=0)) * max(1, queries.shape[1])
-        self.exact = largest < 2**53
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         if tree.nodes and len(ids):
@@ -98,11 +98,7 @@ class Search:
 
     def leaf(self, of: np.ndarray, start: int, stop: int) -> None:
         ids = self.tree.ids[start:stop]
-        if self.exact:
-            scores = self.queries[of] @ self.tree.vectors[start:stop].T
-        else:  # whole numbers of any size
-            exact = [[int(sum(int(a) * int(b) for a, b in zip(q, v))) for v in self.tree.vectors[start:stop]] for q in self.queries[of]]
-            scores = np.array([[float(min(max(s, LEAST), -LEAST - 1)) for s in row] for row in exact]).reshape(len(of), stop - start)
+        scores = self.queries[of] @ self.tree.vectors[start:stop].T
         scores[self.own[of][:, None] == ids[None, :]] = -np.inf
         better = (scores.max(1) >= np.maximum(self.scores[of, -1], self.floors[of])).nonzero()[0]
         of, scores = of[better], scores[better]
@@ -112,11 +108,33 @@ class Search:
         self.scores[of], self.found[of] = np.take_along_axis(all_scores, best, 1), np.take_along_axis(all_ids, best, 1)
 
 
+def fits(queries: np.ndarray, vectors: np.ndarray) -> bool:
+    """Whether all inner products are exact in doubles."""
+    return float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1]) < 2**53
+
+
+def search_whole_numbers(ids: np.ndarray, queries: np.ndarray, of: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query's place, vec_id, score) for components too large for doubles: every pair in whole numbers, ``k`` kept."""
+    whole = [[int(x) for x in v] for v in vectors]
+    found = []
+    for place, (own, query) in enumerate(zip(ids.tolist(), queries)):
+        q = [int(x) for x in query]
+        scores = ((min(max(sum(map(mul, q, v)), LEAST), -LEAST - 1), i) for i, v in zip(of.tolist(), whole) if i != own)
+        found += [(place, i, s) for s, i in heapq.nsmallest(k, scores, key=lambda x: (-x[0], x[1]))]
+    return found
+
+
 def scaled(rows: DataFrame, scale: int) -> DataFrame:
     """vec_id, dim and whole-number components, of vectors that take part."""
     vector = F.col("embedding")
     finite = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    large = float(1 << 52)  # doubles beyond are whole numbers
+
+    def floored(x):
+        value = x.cast("double") * scale
+        return F.when(F.abs(value) < large, F.floor(value).cast("double")).otherwise(value)
+
+    whole = F.transform(vector, floored)
     return rows.where(F.col("vec_id").isNotNull() & vector.isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(vector).alias("dim"), whole.alias("v"))
 
 
@@ -131,11 +149,15 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     def run(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query": pd.Series([], dtype=str), "query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64")})
-        tree = BallTree(right.vec_id.to_numpy(), matrix(right.v), k)
-        found = Search(tree, left.vec_id.to_numpy(), matrix(left.v), left.floor.to_numpy(), k)
-        q, place = (found.scores > -np.inf).nonzero()
-        scores = np.clip(found.scores[q, place], float(LEAST), float(-LEAST - 1024)) if not found.exact else found.scores[q, place]
-        return pd.DataFrame({"query": left["query"].to_numpy()[q], "query_id": left.vec_id.to_numpy()[q], "vec_id": found.found[q, place], "score": scores.astype(np.int64)})
+        asked, queries, ids, vectors = left.vec_id.to_numpy(), matrix(left.v), right.vec_id.to_numpy(), matrix(right.v)
+        if fits(queries, vectors):
+            found = Search(BallTree(ids, vectors, k), asked, queries, left.floor.to_numpy(), k)
+            q, place = (found.scores > -np.inf).nonzero()
+            best, scores = found.found[q, place], found.scores[q, place].astype(np.int64)
+        else:
+            rows = np.array(search_whole_numbers(asked, queries, ids, vectors, k), np.int64).reshape(-1, 3)
+            q, best, scores = rows[:, 0], rows[:, 1], rows[:, 2]
+        return pd.DataFrame({"query": left["query"].to_numpy()[q], "query_id": asked[q], "vec_id": best, "score": scores})
 
     keys = ("dim", "shard", "block")
     return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInPandas(run, schema)
