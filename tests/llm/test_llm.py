@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from forescale.llm import bpe, chat, decontaminate, html_text, licenses, lines, ppm, simhash, substrings, topk
+from forescale.llm import bpe, chat, common, decontaminate, html_text, licenses, lines, ppm, simhash, substrings, topk
 from forescale.llm.common import word_pieces
 from forescale.llm.components import components
 
@@ -178,13 +179,14 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)] if i % 3 else [0.25] * 6) for i in range(300)]
     rows += [(1000, None), (1001, [float("nan")] * 6), (1002, [None] * 6), (1003, [float("inf")] + [0.0] * 5), (1004, []), (1020, []), (1005, [1.0, 2.0]), (None, [0.5] * 6)]
+    rows += [(2000 + i, [1e7 + i, 3e9, -5e8 * i]) for i in range(45)] + [(3000 + i, [1e30, -1e30 * (i % 2)]) for i in range(0, 41)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = defaultdict(list)
     for r in topk.top_k(df, k=20, every=20, scale=64).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    whole = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    whole = {i: [int(math.floor(64 * float(np.float32(x)))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     for q in [i for i in whole if i % 20 == 0]:
-        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:20]
+        scores = sorted((-min(max(sum(a * b for a, b in zip(whole[q], v)), -(1 << 63)), (1 << 63) - 1), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:20]
         assert got.pop(q, []) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert not got
     assert topk.top_k(df.where("false")).count() == 0
@@ -385,7 +387,7 @@ def plain_lines(rows, similarity=0.8):
         return re.sub(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+", " ", line.lower()).strip(" ")
 
     def fingerprint(text):
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split(" ")]
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(text.split(" "))]
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
     def distance(a, b):
@@ -417,7 +419,9 @@ def plain_lines(rows, similarity=0.8):
     return out
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [4_000_000, 0])
+def test_lines_equal_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(common, "BROADCAST_NUMBERS", broadcast_rows)
     rng = random.Random(6)
     stock = [prose(i, rng.randint(1, 60)) for i in range(25)]
     rows = []
@@ -430,7 +434,7 @@ def test_lines_equal_brute_force(spark):
             own.append(rng.choice([" ".join(words), " ".join(words).upper() + " !", "", "---", " ".join(reversed(words))]))
         rows.append((rng.randrange(1000), "\n".join(own)))
     rows += [(2000, None), (2001, ""), (2002, "\n\n"), (None, stock[0]), rows[0], (rows[1][0], stock[1] + "\n" + stock[0])]
-    docs = docs_of(spark, rows).withColumn("key", F.lit("clash")).withColumn("n_removed", F.lit("clash"))
+    docs = docs_of(spark, rows).withColumns({c: F.lit("clash") for c in ("key", "gone", "row", "line", "n_removed")})
     got = lines.dedup(docs)
     want = plain_lines(rows)
     back = Counter((r.doc_id, r.text) for r in got.collect())
