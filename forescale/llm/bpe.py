@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from forescale.llm.common import pieces, resident
 
 #: States and remembered pieces are dropped and made anew beyond these counts, which bounds a worker's memory.
-MAX_STATES = 300_000
-MAX_PIECES = 300_000
+MAX_STATES = 200_000
+MAX_PIECES = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,8 +63,8 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.numbers: dict[tuple, int] = {((-1, 0, 0),): 0}
-        self.states: list[tuple] = [((-1, 0, 0),)]
+        self.numbers: dict[tuple[int, ...], int] = {(0,): 0}
+        self.states: list[tuple[int, ...]] = [(0,)]  # configurations: last token + 1, trie node and depth in one number
         self.ends = [-1]
         self.moves: dict[int, int] = {}
         self.follows: dict[int, bool] = {}
@@ -103,13 +103,15 @@ class Transducer:
         """Make the move of one state on one byte."""
         after = []
         step, token_at, deeper, follows = self.step, self.token_at, self.deeper, self.follows
-        for last, node, depth in self.states[state]:
-            node = step.get(node << 8 | byte)
+        for configuration in self.states[state]:
+            before = configuration >> 12 & 0xFFFFFFF
+            node = step.get(before << 8 | byte)
             if node is not None:
                 if deeper[node]:
-                    after.append((last, node, depth + 1))
+                    after.append(configuration + (node - before << 12) + 1)
                 token = token_at[node]
                 if token >= 0:
+                    last = (configuration >> 40) - 1
                     if last >= 0:
                         pair = last << 20 | token
                         fits = follows.get(pair)
@@ -117,7 +119,7 @@ class Transducer:
                             fits = follows[pair] = self.may_follow(last, token)
                     if last < 0 or fits:
                         ends = token
-        after.append((ends, 0, 0))  # always from the longest open token to none: equal sets are equal tuples
+        after.append(ends + 1 << 40)  # always from the longest open token to none: equal sets are equal tuples
         key = tuple(after)
         number = self.numbers.get(key)
         if number is None:
@@ -141,7 +143,7 @@ class Transducer:
             state = self.move(state, byte) if after is None else after
             path.append(ends[state])
             if len(path) > ahead:
-                places = {len(path) - depth for _, _, depth in self.states[state]}
+                places = {len(path) - (configuration & 0xFFF) for configuration in self.states[state]}
                 while len(places) > 1:  # back to where all that is open agrees
                     latest = max(places)
                     places.remove(latest)
