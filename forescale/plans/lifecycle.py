@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from forescale.operators import elo, ranking, rounds, scoring
+from forescale.operators import rounds
 from forescale.operators.availability import data_availability
 
 
-@dataclass
-class Prepared:
-    """Rounds ready for forecasts."""
-
-    rounds: DataFrame
-    chosen: DataFrame
-    context: DataFrame
-    pseudo: DataFrame
-
-
 def choose(
     created: DataFrame, definitions: DataFrame, assignments: DataFrame, series: DataFrame, category: DataFrame,
     points: DataFrame, as_of: datetime | str, seed: int,
 ) -> DataFrame:
     available = data_availability(series, category, points, as_of)
     return rounds.choose_series(created, definitions, assignments, rounds.eligible_series(definitions, available), seed)
-
-
-def prepare(created: DataFrame, chosen: DataFrame, series: DataFrame, rollups: DataFrame) -> Prepared:
-    """Freezes context, names series and sets the forecast window of created rounds."""
-    context = rounds.context_snapshot(created, chosen, rollups)
-    pseudo = rounds.series_pseudonyms(chosen, series, context)
-    return Prepared(rounds.retime_rounds(created, pseudo), chosen, context, pseudo)
-
-
-def score_and_rank(
-    forecasts: DataFrame, round_table: DataFrame, pseudo: DataFrame, rollups: DataFrame, definitions: DataFrame,
-    assignments: DataFrame, as_of: datetime | str, dates: Sequence[date], replicates: int = elo.REPLICATES, seed: int = 42,
-) -> tuple[DataFrame, DataFrame]:
-    """Scores as known at ``as_of`` and rating snapshots of the dates."""
-    scores = scoring.evaluate(forecasts, round_table, pseudo, rollups, as_of)
-    averages = ranking.round_averages(scores, round_table, definitions, assignments)
-    sums = ranking.round_model_scores(scores, round_table, definitions, assignments)
-    return scores, elo.daily_rankings(averages, sums, round_table, dates, replicates, seed)

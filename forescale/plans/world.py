@@ -107,7 +107,9 @@ class World:
 
     @staticmethod
     def type_series():
-        picked = F.lit(None).cast("int")
+        """Number of the event's type: the known ones fixed, any other from its name, between those and the users."""
+        digits = F.conv(F.substring(F.md5("event_type"), 1, 8), 16, 10).cast("long")
+        picked = (F.lit(10) + digits % (USER_BASE - 10)).cast("int")
         for name, number in TYPES.items():
             picked = F.when(F.col("event_type") == name, F.lit(number)).otherwise(picked)
         return picked
@@ -140,7 +142,7 @@ class World:
         types = self.events.select("event_type").distinct().select(
             self.type_series().alias("series_id"), F.col("event_type").alias("name"), F.concat(F.lit("ev-"), "event_type").alias("unique_id"),
             F.lit("events").alias("unit"), F.lit(900).cast("long").alias("frequency_s"),
-        ).withColumn("category_id", F.try_element_at(category, F.col("series_id")).cast("long"))
+        ).withColumn("category_id", F.coalesce(F.try_element_at(category, F.col("series_id")), F.lit(3)).cast("long"))
         users = self.events.select("user_id").distinct().select(
             (F.col("user_id") + USER_BASE).cast("int").alias("series_id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("name"),
             F.concat(F.lit("us-"), F.col("user_id").cast("string")).alias("unique_id"), F.lit("money").alias("unit"),

@@ -10,7 +10,7 @@ LATE = "TIMESTAMP '2024-02-02 00:00:00'"
 
 TYPE_ID = (
     "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 "
-    "WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END"
+    "WHEN 'signup' THEN 4 WHEN 'view' THEN 5 ELSE 10 + ('0x' || substr(md5(event_type), 1, 8))::BIGINT % 99990 END"
 )
 
 CTES: dict[str, tuple[list[str], str]] = {}
