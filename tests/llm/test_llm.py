@@ -455,6 +455,25 @@ def test_line_blocks_cover_all_close_fingerprints():
     assert len(lines.masks(10)) == 10 and len(lines.masks(10**13)) > 10
 
 
+def test_lines_with_edits_beyond_three_bits_are_found(spark):
+    rng = random.Random(11)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    spell = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(3, 9)))
+    kinds = [(1, 1), (3, 1), (10, 1), (10, 2), (20, 2), (30, 3), (50, 5)]
+    rows = []
+    for n_words, edits in kinds:
+        for _ in range(40):
+            words = [spell() for _ in range(n_words)] if n_words > 1 else [spell() + spell() + spell()]
+            changed = list(words)
+            for i in range(edits):  # evenly spaced typos; all pairs have an edit similarity of at least 0.8
+                at = i * n_words // edits
+                changed[at] = changed[at][:2] + "é" + changed[at][3:]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(changed))]
+    got = {r.doc_id: r.n_removed for r in lines.dedup(docs_of(spark, rows)).collect()}
+    found = [sum(got[80 * i + 2 * k + 1] for k in range(40)) for i in range(len(kinds))]
+    assert not any(got[i] for i in range(0, len(rows), 2)) and min(found) >= 36, found
+
+
 # Licence scan
 
 
