@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Words are runs of letters, digits and non-ASCII characters, lower-cased. A first pass counts how often each item n-gram
-stands in the corpus; of each ``SPREAD`` neighbouring n-grams of an item the rarest becomes a seed, so every part of an
-item has seeds, also when all of it is frequent. A second pass looks seeds up in each document; where they predict an
-item to lie, its words are aligned locally (match 2, mismatch -1, gap -1). A passage counts when its score reaches
-``SIMILARITY`` of the score of the unchanged item, which lets edited and reordered copies through to be found.
+Words are runs of letters, digits and non-ASCII characters, lower-cased. Every n-gram of an item is a seed, so a copy of
+which any ``SEED_WORDS`` neighbouring words stayed is looked at, whatever else of the item stands elsewhere. Where seeds
+predict an item to lie, its words are aligned locally (match 2, mismatch -1, gap -1), unless too few of its words stand
+there for any alignment to pass. A passage counts when its score reaches ``SIMILARITY`` of the score of the unchanged
+item, which lets edited and reordered copies through to be found.
 
 The items are dealt to blocks of about ``BLOCK_BYTES`` of text, and one block at a time is broadcast, so what is sent is
 bounded whatever the number of items. Documents are never shuffled, so no key can be hot.
 
-Defined results: a null or empty text matches nothing; items with fewer words than a seed are never found; repeated
-items are found each, repeated documents too; an empty benchmark finds nothing. Extra columns are kept; the output name
+Defined results: a null or empty text matches nothing; items with fewer words than a seed are found where all their words
+stand in order without others between, at the first such place; repeated items are found each, repeated documents too; an empty benchmark finds nothing. Extra columns are kept; the output name
 ``leaks`` replaces a clashing one.
 """
 
@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 from forescale.llm.common import pieces
 
 SEED_WORDS = 3
-SPREAD = 3
 SIMILARITY = 0.4
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -51,7 +50,10 @@ class Numbers(dict):
 
 @dataclass
 class Items:
-    """Item words as numbers, and the places of each n-gram: ``grams`` sorted, ``heads`` into (item, offset) rows."""
+    """Item words as numbers, and the places of each n-gram: ``grams`` sorted, ``heads`` into (item, offset) rows.
+
+    ``short`` holds the items with fewer words than a seed, by size and by the number of all their words.
+    """
 
     ids: list[int]
     words: list[np.ndarray]
@@ -59,6 +61,7 @@ class Items:
     grams: np.ndarray
     heads: np.ndarray
     places: np.ndarray
+    short: dict[int, dict[int, list[int]]]
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @staticmethod
@@ -69,30 +72,20 @@ class Items:
         places = [(g, i, at) for i, w in enumerate(own) for at, g in enumerate(keys(w, len(number)).tolist())]
         places = np.array(sorted(places), np.int64).reshape(-1, 3)
         grams, heads = np.unique(places[:, 0], return_index=True)
-        return Items([i for i, _ in texts], own, number, grams, np.append(heads, len(places)), places[:, 1:])
-
-    def seeds(self, counts: np.ndarray) -> Items:
-        """The same with only the rarest of each ``SPREAD`` neighbouring n-grams of an item."""
-        count_of = np.repeat(counts, np.diff(self.heads))
-        gram_of = np.repeat(np.arange(len(self.grams)), np.diff(self.heads))
-        order = np.lexsort((self.places[:, 1], self.places[:, 0]))
-        keep = np.zeros(len(order), bool)
-        item, rank = self.places[order, 0], count_of[order]
-        for at in np.split(np.arange(len(order)), np.nonzero(np.diff(item))[0] + 1) if len(order) else []:
-            for first in range(max(1, len(at) - SPREAD + 1)):
-                part = at[first : first + SPREAD]
-                keep[order[part[rank[part].argmin()]]] = True
-        grams, heads = np.unique(gram_of[keep], return_index=True)
-        return Items(self.ids, self.words, self.number, self.grams[grams], np.append(heads, keep.sum()), self.places[keep])
-
-
-def keys(numbers: np.ndarray, known: int) -> np.ndarray:
+        short: dict[int, dict[int, list[int]]] = {}
+        for i, w in enumerate(own):
+            if 0 < len(w) < SEED_WORDS:
+                short.setdefault(len(w), {}).setdefault(int(keys(w, len(number), len(w))[0]), []).append(i)
+        return Items([i for i, _ in texts], own, number, grams, np.append(heads, len(places)), places[:, 1:], short)
+
+
+def keys(numbers: np.ndarray, known: int, size: int = SEED_WORDS) -> np.ndarray:
     """One number for each n-gram; -1 where it holds an unknown word."""
-    n = len(numbers) - SEED_WORDS + 1
+    n = len(numbers) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     key, whole = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(SEED_WORDS):
+    for i in range(size):
         part = numbers[i : i + n]
         key = key * (known + 1) + part
         whole &= part > 0
@@ -126,8 +119,33 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def leaks(items: Items, numbers: np.ndarray, at: np.ndarray, which: np.ndarray, similarity: float) -> list[dict]:
+def passable(item: np.ndarray, text: np.ndarray, least: float) -> bool:
+    """Whether any alignment may score ``least``: enough words of the item stand in some stretch as long as it may span."""
+    n = len(item)
+    span = n + int(MATCH * n - least) // GAP + 1
+    inside = np.cumsum(np.append(0, np.isin(text, item)))
+    most = (inside[span:] - inside[:-span]).max() if len(text) >= span else inside[-1]
+    return MATCH * int(most) >= least
+
+
+def leaks(items: Items, numbers: np.ndarray, similarity: float) -> list[dict]:
     """Items that one document holds: seeds predict where they start, alignment decides; the best passage of each."""
+    best: dict[int, tuple[int, int, int]] = {}
+    for length, known in items.short.items():
+        for first, key in enumerate(keys(numbers, len(items.number), length).tolist()):
+            for own in known.get(key, ()):
+                best.setdefault(own, (MATCH * length, first, first + length - 1))
+    at, which = found(items, numbers)
+    if len(at):
+        seeded(items, numbers, at, which, similarity, best)
+    return [
+        {"item_id": items.ids[i], "similarity": score / (MATCH * len(items.words[i])), "first_word": first, "last_word": last}
+        for i, (score, first, last) in sorted(best.items())
+    ]
+
+
+def seeded(items: Items, numbers: np.ndarray, at: np.ndarray, which: np.ndarray, similarity: float, best: dict[int, tuple[int, int, int]]) -> None:
+    """Adds to ``best`` the score and first and last word of the items that alignment finds at the seeds."""
     rows = np.concatenate([np.arange(items.heads[w], items.heads[w + 1]) for w in which])
     item = items.places[rows, 0]
     start = np.repeat(at, np.diff(items.heads)[which]) - items.places[rows, 1]
@@ -135,20 +153,19 @@ def leaks(items: Items, numbers: np.ndarray, at: np.ndarray, which: np.ndarray,
     item, start = item[order], start[order]
     size = np.array([len(w) for w in items.words])
     cuts = np.nonzero((np.diff(item) != 0) | (np.diff(start) > size[item[1:]]))[0] + 1
-    best: dict[int, tuple[int, int, int]] = {}
-    for part in np.split(np.arange(len(item)), cuts):
-        own = int(item[part[0]])
-        slack = len(items.words[own]) // 2 + 2
-        low = max(0, int(start[part[0]]) - slack)
-        high = min(len(numbers), int(start[part[-1]]) + len(items.words[own]) + slack)
-        score, end = align(items.words[own], numbers[low:high])
-        if score >= similarity * MATCH * len(items.words[own]) and score > best.get(own, (0,))[0]:
-            back = align(items.words[own][::-1], numbers[low : low + end][::-1])[1]
-            best[own] = score, low + end - back, low + end - 1
-    return [
-        {"item_id": items.ids[i], "similarity": score / (MATCH * len(items.words[i])), "first_word": first, "last_word": last}
-        for i, (score, first, last) in sorted(best.items())
-    ]
+    for begin, end in zip(np.append(0, cuts).tolist(), np.append(cuts, len(item)).tolist()):
+        own = int(item[begin])
+        words_ = items.words[own]
+        slack = len(words_) // 2 + 2
+        low = max(0, int(start[begin]) - slack)
+        high = min(len(numbers), int(start[end - 1]) + len(words_) + slack)
+        least = similarity * MATCH * len(words_)
+        if not passable(words_, numbers[low:high], least):
+            continue
+        score, stop = align(words_, numbers[low:high])
+        if score >= least and score > best.get(own, (0,))[0]:
+            back = align(words_[::-1], numbers[low : low + stop][::-1])[1]
+            best[own] = score, low + stop - back, low + stop - 1
 
 
 def numbered(items: Items, texts: list[str | None]) -> list[np.ndarray]:
@@ -163,31 +180,11 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield Items.of([tuple(r) for r in rows])
 
 
-def gram_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each item n-gram stands in all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        counts = np.zeros(len(own.grams), np.int64)
-        for batch in pieces(batches, "text", 4 << 20):
-            for numbers in numbered(own, batch.column("text").to_pylist()):
-                np.add.at(counts, found(own, numbers)[1], 1)
-        some = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["gram", "n"])
-
-    got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a block's grams
-    counts = np.zeros(len(items.grams), np.int64)
-    counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
-    return counts
-
-
 def with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs``, then ``leaks``: the items that the text holds, each with similarity and first and last word."""
     out = docs.drop("leaks").withColumn("leaks", F.array().cast(_LEAKS))
     for items in item_blocks(benchmark, block_bytes):
-        seeds = items.seeds(gram_counts(docs, items))
-        out = scanned(out, seeds, similarity)
+        out = scanned(out, items, similarity)
     return out
 
 
@@ -200,8 +197,7 @@ def scanned(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
         for batch in pieces(batches, "text", 4 << 20):
             out = []
             for before, numbers in zip(batch.column("leaks").to_pylist(), numbered(own, batch.column("text").to_pylist())):
-                at, which = found(own, numbers)
-                out.append(before + leaks(own, numbers, at, which, similarity) if len(at) else before)
+                out.append(before + leaks(own, numbers, similarity))
             column = batch.schema.get_field_index("leaks")
             yield batch.set_column(column, batch.schema.field(column), pa.array(out, batch.schema.field(column).type))
 

@@ -344,6 +344,21 @@ def test_decontamination_finds_edited_passages(spark):
     assert decontaminate.matches(docs_of(spark, rows).where("false"), benchmark).count() == 0
 
 
+def test_decontamination_finds_evenly_spaced_edits_and_short_items(spark):
+    items = [(i, prose(300 + i, n)) for i, n in enumerate((15, 20, 38, 59))] + [(90, "zwei wörter"), (91, "wort")]
+    rows = []
+    for k in range(24):
+        words = items[k % 4][1].split()
+        edited = [w if i % (4 + k % 2) != 1 else "changed" for i, w in enumerate(words)]
+        rows.append((k, " ".join([prose(k + 700, 40), *edited, prose(k + 800, 40)])))
+    rows += [(100 + k, prose(900 + k, 10) + " " + items[k][1]) for k in range(4)]  # full copies make the missing n-grams frequent
+    rows += [(200, "a Zwei, Wörter b"), (201, "zwei andere wörter"), (202, "Wort!"), (203, "wörtern zwei")]
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(k, k % 4) for k in range(24)} | {(100 + k, k) for k in range(4)} <= set(found)
+    assert {p for p in found if p[1] >= 90} == {(200, 90), (202, 91)}
+    assert (found[200, 90].similarity, found[200, 90].first_word, found[200, 90].last_word) == (1, 1, 2)
+
+
 def test_alignment_equals_the_recurrence():
     rng = np.random.default_rng(1)
     for _ in range(60):
