@@ -9,7 +9,7 @@ Skew: equal runs in a batch of documents travel as one row that lists them, so a
 sends one row per batch. Where anchors meet, rows come sorted by anchor and doc_id and are passed once, holding only the
 different windows of the current anchor.
 
-Windows are compared by 96 bits of hash (64 of the anchor, 32 of the window). Defined results: a null text has no
+Windows are compared by 64 bits of their own hash, below 64 bits of the anchor's. Defined results: a null text has no
 words; windows of rows with a null doc_id neither remove nor are removed; rows that share a doc_id are not earlier than
 one another, and rows that share doc_id and text are treated alike. Extra columns are not read.
 """
@@ -118,11 +118,11 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(anchor), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
         head = np.nonzero(new)[0]
-        windows = (window[expand(first[head], count[head])] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        windows = window[expand(first[head], count[head])].astype("<u8")
         places = np.append(head, len(anchor))
         yield pa.RecordBatch.from_arrays([
             pa.array(anchor[head].view(np.int64)), pa.array(doc[head]),
-            binary(windows, np.append(0, np.cumsum(count[head]) * 4)), binary(np.stack([doc, spot], 1).astype("<i8"), places * 16),
+            binary(windows, np.append(0, np.cumsum(count[head]) * 8)), binary(np.stack([doc, spot], 1).astype("<i8"), places * 16),
         ], names=["anchor", "doc_id", "windows", "places"])
 
 
@@ -136,10 +136,10 @@ def values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, doc_id): which windows of which document a smaller doc_id has too, as place and bits."""
-    held = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)  # windows of the last anchor
+    held = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)  # windows of the last anchor
     for batch in pieces(batches, "places", 2 << 20):
         anchor, doc = batch.column("anchor").to_numpy(), batch.column("doc_id").to_numpy()
-        windows, n_windows = values(batch.column("windows"), "<u4")
+        windows, n_windows = values(batch.column("windows"), "<u8")
         places, n_places = values(batch.column("places"), "<i8")
         places, n_places = places.reshape(-1, 2), n_places // 2
         row = np.repeat(np.arange(len(anchor)), n_windows)

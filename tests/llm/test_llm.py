@@ -320,6 +320,19 @@ def test_substrings_do_not_depend_on_cuts(monkeypatch):
     assert (total, removed) == (500, 27) and b" ".join(parts).split() == words[:100] + words[114:480] + words[493:]
 
 
+def test_substring_windows_that_share_32_bits_are_told_apart(monkeypatch):
+    """Two documents of one anchor whose window hashes differ in the upper 32 bits only."""
+    import pyarrow as pa
+
+    def runs(ids, keys, texts):
+        return tuple(np.array(x, t) for x, t in (([7, 7], np.uint64), ([0, 1], np.int64), ([1, 1], np.int64), ([5, 5 | 1 << 40], np.uint64), ([1, 2], np.int64), ([1 << 32, 2 << 32], np.int64)))
+
+    monkeypatch.setattr(substrings, "runs", runs)
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", "b"]), pa.array([1, 2])], names=["doc_id", "text", "key"])
+    rows = pa.Table.from_batches(substrings.anchored(iter([docs]))).sort_by([("anchor", "ascending"), ("doc_id", "ascending")])
+    assert rows.num_rows == 2 and sum(b.num_rows for b in substrings.matched(iter(rows.combine_chunks().to_batches()))) == 0
+
+
 # Decontamination
 
 
