@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine of statements and licence files to templates, then inheritance along directories.
 
 A first pass over all texts counts in how many each template term stands; that gives the weights. A second pass compares
-each line that holds a telling template term, and each text as a whole, with every template: the cosine of their weighted
-term counts, terms of no template weighing as if never seen. A text whose line reaches ``SIMILARITY`` has that licence; a
+each line that holds a telling template term, blocks of up to ``BLOCK_LINES`` neighbouring lines with such a line, and each
+text as a whole, with every template: the cosine of their weighted term counts, terms of no template weighing as if never
+seen. A text of which a line or block reaches ``SIMILARITY`` has that licence; a
 text that reaches it as a whole is a licence file and gives its licence to its directory. Files without a licence of
 their own take that of the nearest directory above them that has one, by joining the directories' ancestors.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 from forescale.llm.common import pieces, staged
 
 SIMILARITY = 0.6
+BLOCK_LINES = 8
 
 #: Statements and headers of well-known licences; a parameter of ``scan``.
 TEMPLATES = {
@@ -134,17 +137,23 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, si
     schema = T.StructType([*kept, *_SCAN.fields])
 
     def scanned(text: str) -> tuple:
-        lines: dict[str, None] = {}
-        for found in pattern.finditer(text):
-            start, end = text.rfind("\n", 0, found.start()) + 1, text.find("\n", found.end())
-            lines[text[start : end if end >= 0 else len(text)]] = None
-        if not lines:
+        lines = text.split("\n")
+        told = [i for i, line in enumerate(lines) if pattern.search(line)]
+        if not told:
             return (None, None), (None, None)
+        near = {i for t in told for i in range(max(0, t - BLOCK_LINES + 1), min(len(lines), t + BLOCK_LINES))}
+        counts = {i: Counter(terms(lines[i])) for i in sorted(near)}
         most, name = 0.0, None
-        for line in lines:
-            cosine, own = weighted.best(Counter(terms(line)))
-            if own and (cosine > most + 1e-12 or abs(cosine - most) <= 1e-12 and own < (name or own)):
-                most, name = cosine, own
+        for start in counts:
+            block: Counter = Counter()
+            after = bisect_left(told, start)
+            for end in range(start, min(len(lines), start + BLOCK_LINES)):
+                block.update(counts.get(end, ()))
+                if after == len(told) or told[after] > end:
+                    continue
+                cosine, own = weighted.best(block)
+                if own and (cosine > most + 1e-12 or abs(cosine - most) <= 1e-12 and own < (name or own)):
+                    most, name = cosine, own
         whole, whole_name = weighted.best(Counter(terms(text)))
         return (name, most) if most >= similarity else (None, None), (whole_name, whole) if whole >= similarity else (None, None)
 

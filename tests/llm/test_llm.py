@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -521,6 +522,15 @@ def test_licences_and_inheritance(spark):
     assert len(rows) == len(files) and licenses.inherit(licenses.scan(df.where("false"))).count() == 0
 
 
+def test_wrapped_licence_headers(spark):
+    wrap = lambda text: "\n".join("# " + line for line in textwrap.wrap(text, 34))
+    names = ("Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT")
+    files = [(name, "x = 1\n" * 20 + wrap(licenses.TEMPLATES[name][1]) + "\n\n" + "some code here\n" * 30) for name in names] + [("none", "some code here\n" * 30)]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: (r.licence, r.cosine) for r in licenses.scan(df).collect()}
+    assert got["none"] == (None, None) and all(got[n][0] == n and got[n][1] > 0.9 for n in names), got
+
+
 def test_licence_cosine_equals_dense_vectors():
     weighted = licenses.Weighted.of(licenses.TEMPLATES, {"the": 90, "license": 5, "mit": 2}, 100)
     names = sorted({*weighted.weight, "foo", "bar"})
