@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forescale.llm import bpe, chat, decontaminate, html_text, licenses, lines, ppm, simhash, substrings, topk
+from forescale.llm import bpe, chat, decontaminate, html_text, licenses, lines, periods, ppm, simhash, substrings, topk
 from forescale.llm.common import read, staged
 from forescale.session import small_table
 
@@ -68,6 +68,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(scanned).select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "file_licence", "from_folder")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return periods.collapse(docs, periods.planted).drop("text", "collapsed")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
@@ -79,6 +84,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
