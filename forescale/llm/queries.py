@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forescale.llm import bpe, chat, decontaminate, html_text, licenses, lines, periods, ppm, simhash, substrings, topk
+from forescale.llm import bpe, chat, decontaminate, fptree, html_text, licenses, lines, periods, ppm, sharding, simhash, substrings, topk
 from forescale.llm.common import read, staged
 from forescale.session import small_table
 
@@ -73,6 +73,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.collapse(docs, periods.planted).drop("text", "collapsed")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op11_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
@@ -84,9 +93,50 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op11_minimax_shards": op11_minimax_shards,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
 
+def _shards_sql(shards: int) -> str:
+    """Minimax contiguous shards over the sorted list of all group boundaries."""
+    below = lambda x: f"list_max(list_filter(b, lambda p: p <= {x}))"
+    above = lambda x: f"list_min(list_filter(b, lambda p: p >= {x}))"
+    filled = lambda at, limit: f"CASE WHEN {below(f'{at} + {limit}')} <= {at} AND {at} < total THEN {above(f'{at} + 1')} ELSE {below(f'{at} + {limit}')} END"
+    greedy = "SELECT *, (low + high) // 2 AS middle, 0::BIGINT AS a0 FROM search, bounds WHERE low < high"
+    for i in range(shards):
+        greedy = f"SELECT *, {filled(f'a{i}', 'middle')} AS a{i + 1} FROM ({greedy})"
+    cuts = f"SELECT low AS cap, total, b, total AS e{shards} FROM search, bounds WHERE low = high"
+    for i in range(shards - 1, 0, -1):
+        cuts = f"SELECT *, least({above(f'e{i + 1} - cap')}, {below(f'greatest(0, e{i + 1} - 1)')}) AS e{i} FROM ({cuts})"
+    cuts = f"SELECT *, 0::BIGINT AS c0 FROM ({cuts})"
+    for i in range(1, shards):
+        cuts = f"SELECT *, greatest(e{i}, {filled(f'c{i - 1}', f'least(cap, (total - c{i - 1} + {shards - i}) // {shards - i + 1})')}) AS c{i} FROM ({cuts})"
+    number = " + ".join(f"(g.p - g.weight >= c{i})::INTEGER" for i in range(1, shards))
+    hashed = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
+    return f"""
+        WITH RECURSIVE rows_ AS MATERIALIZED (
+            SELECT doc_id, {hashed("coalesce(text, '')")} AS key, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS text FROM documents
+        ), g AS MATERIALIZED (
+            SELECT key, sum(size)::BIGINT AS weight, (sum(sum(size)) OVER (ORDER BY key))::BIGINT AS p FROM rows_ GROUP BY key
+        ), crc AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs
+        ), bounds AS MATERIALIZED (
+            SELECT list_concat([0::BIGINT], list(p ORDER BY p)) AS b, max(p) AS total, max(weight) AS heaviest FROM g
+        ), search(low, high) AS (
+            SELECT 1::BIGINT, ((total + {shards - 1}) // {shards} + heaviest)::BIGINT FROM bounds
+            UNION ALL SELECT CASE WHEN a{shards} >= total THEN low ELSE middle + 1 END, CASE WHEN a{shards} >= total THEN middle ELSE high END FROM ({greedy})
+        ), cuts AS ({cuts}
+        ), placed AS (
+            SELECT doc_id, key, size, text, {number} AS shard, {hashed("concat_ws(' ', coalesce(doc_id::VARCHAR, ''), key::VARCHAR)")} AS place
+            FROM rows_ JOIN g USING (key), cuts
+        )
+        SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(text), '..'), lambda x: ('0x' || x)::BIGINT)),
+                lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1]))) AS text_crc32,
+            'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, key, size) - 1 AS slot, NULL::INTEGER AS grown_shard
+        FROM placed, crc"""
+
+
 ORACLES: dict[str, str] = {
     "op2_exact_top_k": """
         WITH v AS (
@@ -120,4 +170,26 @@ ORACLES: dict[str, str] = {
                 WHEN before = 'tool' THEN role IN ('assistant', 'tool') ELSE false END
                 AND (after IS NOT NULL OR role = 'assistant')) AS valid
         FROM p GROUP BY conv_id""",
+    "op13_ranked_search": r"""
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, len(terms) AS n, terms FROM (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents) WHERE len(terms) > 0
+        ), q AS MATERIALIZED (
+            SELECT i, item_id, term, count(*) AS copies FROM (
+                SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+        ), t AS MATERIALIZED (
+            SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM d)
+            WHERE term IN (SELECT term FROM q) GROUP BY ALL
+        ), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM d
+        ), w AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, s GROUP BY term, docs
+        ), f AS (
+            SELECT i, item_id, r, doc_id, sum(copies * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // l))))::BIGINT AS score
+            FROM q JOIN w USING (term) JOIN t USING (term), s GROUP BY ALL
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+        FROM f WHERE score > 0 AND doc_id IS NOT NULL QUALIFY rank <= 20""",
+    "op11_minimax_shards": _shards_sql(8),
 }
