@@ -35,6 +35,16 @@ def impute_gaps(
         raise ValueError(f"unknown imputation method: {method}")
     clean = points.filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
     pairs = next_row(clean.select(*columns, "frequency_s"), ["series_id"], "ts", {"_ts": "ts", "_value": "value"}, chunks)
+    filled = unrolled(pairs, max_gap_factor)
+    blanks = points.filter(F.col("ts").isNull() | F.col("value").isNull())
+    suspects = points.join(blanks.select("series_id").distinct(), "series_id", "left_semi")
+    sizes = suspects.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n < 2")
+    alone = blanks.join(sizes.select("series_id"), "series_id", "left_semi").select(*columns, original.alias("quality_code"))
+    return filled.unionByName(alone)
+
+
+def unrolled(pairs: DataFrame, max_gap_factor: float = MAX_GAP_FACTOR) -> DataFrame:
+    """Each point (series_id, ts, value, frequency_s) and what fills the gap to the next one (_ts, _value), if any."""
     gap = F.unix_micros("_ts") - F.unix_micros("ts")
     step = F.col("frequency_s").cast("long") * 1_000_000
     missing = F.floor(gap / F.nullif(step, F.lit(0))).cast("long") - 1
@@ -45,17 +55,12 @@ def impute_gaps(
     between = F.col("value") + (F.col("_value") - F.col("value")) * (F.col("_i") / (F.col("_n") + 1))
     wide = F.col("_gap") > F.col("_step") * max_gap_factor
     first = F.col("_i") == 0
-    filled = rows.select(
+    return rows.select(
         "series_id",
         F.when(first, F.col("ts")).otherwise(shift(F.col("ts"), F.col("_i") * F.col("frequency_s"))).alias("ts"),
         F.when(first, F.col("value")).when(~wide, between).alias("value"),
         F.when(first, F.lit(ORIGINAL)).otherwise(F.lit(IMPUTED)).cast("short").alias("quality_code"),
     )
-    blanks = points.filter(F.col("ts").isNull() | F.col("value").isNull())
-    suspects = points.join(blanks.select("series_id").distinct(), "series_id", "left_semi")
-    sizes = suspects.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n < 2")
-    alone = blanks.join(sizes.select("series_id"), "series_id", "left_semi").select(*columns, original.alias("quality_code"))
-    return filled.unionByName(alone)
 
 
 def imputation_counts(imputed: DataFrame) -> DataFrame:

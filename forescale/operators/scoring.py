@@ -73,26 +73,32 @@ def evaluate(
     error = F.col("_actual") - F.col("predicted_value")
     sums = pairs.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("forecast_count"),
-        F.count("_actual").alias("_aligned"),
-        F.avg(F.abs(error)).alias("_model"),
-        F.avg(F.abs(F.col("_actual") - F.col("baseline"))).alias("_naive"),
-        F.avg(error * error).alias("_square"),
-        F.max("baseline").isNotNull().alias("_has_baseline"),
-        F.max("end_time").alias("_end"),
+        F.count("_actual").alias("aligned"),
+        F.sum(F.abs(error)).alias("absolute"),
+        F.sum(F.abs(F.col("_actual") - F.col("baseline"))).alias("naive"),
+        F.sum(error * error).alias("square"),
+        F.max("baseline").isNotNull().alias("has_baseline"),
+        F.max("end_time").alias("end_time"),
     )
-    coverage = F.col("_aligned") / F.col("forecast_count")
-    late = instant(as_of) > shift(F.col("_end"), timeout_s)
-    states = sums.withColumn("data_coverage", F.when(F.col("_has_baseline"), coverage).otherwise(F.lit(0.0))).withColumn(
+    return score_states(sums, as_of, timeout_s, min_coverage)
+
+
+def score_states(sums: DataFrame, as_of: datetime | str, timeout_s: int = TIMEOUT_S, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """Score rows from error sums per (round, model, series): counts, sums over aligned forecasts, baseline and round end."""
+    coverage = F.col("aligned") / F.col("forecast_count")
+    late = instant(as_of) > shift(F.col("end_time"), timeout_s)
+    states = sums.withColumn("data_coverage", F.when(F.col("has_baseline"), coverage).otherwise(F.lit(0.0))).withColumn(
         "evaluation_status",
-        F.when(~F.col("_has_baseline"), "error")
-        .when(F.col("_aligned") == 0, "no_overlap")
-        .when(F.col("_aligned") >= F.col("forecast_count"), "complete")
+        F.when(~F.col("has_baseline"), "error")
+        .when(F.col("aligned") == 0, "no_overlap")
+        .when(F.col("aligned") >= F.col("forecast_count"), "complete")
         .when(late & (coverage < min_coverage), "insufficient_data")
         .otherwise("partial"),
     )
     state = F.col("evaluation_status")
     scored = state.isin("complete", "partial")
-    counted = F.when(state == "error", F.lit(0)).otherwise(F.col("_aligned")).cast("long")
+    mean = lambda name: F.col(name) / F.nullif(F.col("aligned"), F.lit(0))
+    counted = F.when(state == "error", F.lit(0)).otherwise(F.col("aligned")).cast("long")
     message = (
         F.when(state == "error", F.lit(NO_CONTEXT))
         .when(state == "no_overlap", F.lit(NO_OVERLAP))
@@ -103,8 +109,8 @@ def evaluate(
     )
     return states.select(
         *KEYS,
-        F.when(scored, stored_mase(F.col("_model"), F.col("_naive"))).alias("mase"),
-        F.when(scored, F.sqrt("_square")).alias("rmse"),
+        F.when(scored, stored_mase(mean("absolute"), mean("naive"))).alias("mase"),
+        F.when(scored, F.sqrt(mean("square"))).alias("rmse"),
         "forecast_count", counted.alias("actual_count"), counted.alias("evaluated_count"), "data_coverage",
         (state.isin("complete", "insufficient_data") | (scored & late)).alias("final_evaluation"),
         "evaluation_status", F.substring(message, 1, MESSAGE_CHARS).alias("error_message"),

@@ -1,7 +1,7 @@
 """Keyed, repeatable writes. Each operator returns the new state of the target table.
 
-Plain Parquet has no row-level merge, so a caller writes the touched partitions anew
-(``streaming.tables.merge_partitions``); a table format with merge can take the same frames.
+Plain Parquet has no row-level merge, so a caller writes the table anew, or logs what changed
+(``streaming.log``); a table format with merge can take the same frames.
 A key that a batch holds twice counts once: the row that sorts last by its other columns.
 """
 

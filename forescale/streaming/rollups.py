@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from forescale.functions.durations import RESOLUTION_SECONDS
 from forescale.operators.rollup import REFRESH_WINDOWS
-from forescale.operators.upsert import prefer_new
-from forescale.streaming.tables import merge_partitions
+from forescale.streaming.log import newest, read_log, write_batch
 
-ROLLUP = "series_id int, ts timestamp, value double, sample_count long, min_value double, max_value double, day date"
+ROLLUP = "series_id int, ts timestamp, value double, sample_count long, min_value double, max_value double"
 
 
 def rollup_stream(points: DataFrame, resolution: str) -> DataFrame:
@@ -33,12 +32,10 @@ def rollup_stream(points: DataFrame, resolution: str) -> DataFrame:
 
 
 def run_rollup(points: DataFrame, resolution: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a day-partitioned rollup table current; changed buckets replace their rows."""
+    """Keeps a log of changed buckets; ``rollup_table`` reads the newest state of each."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        rows = batch.withColumn("day", F.to_date("ts"))
-        attributes = ["value", "sample_count", "min_value", "max_value"]
-        merge_partitions(folder, ROLLUP, "day", rows, lambda old, new: prefer_new(old, new, ["day", "series_id", "ts"], attributes))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, folder, batch_id)
 
     return (
         rollup_stream(points, resolution).writeStream.outputMode("update")
@@ -46,6 +43,10 @@ def run_rollup(points: DataFrame, resolution: str, folder: str, checkpoint: str)
     )
 
 
+def rollup_table(spark: SparkSession, folder: str) -> DataFrame:
+    return newest(read_log(spark, folder, ROLLUP), ["series_id", "ts"]).drop("batch")
+
+
 def drop_repeats(events: DataFrame, keys: list[str], ts: str = "ts", within: str = "1 day") -> DataFrame:
     """A re-delivered event counts once within the horizon."""
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
