@@ -13,6 +13,7 @@ from forescale.operators.forecasts import points_in_order, quantiles
 from forescale.operators.ordered import keep_one
 
 POINT = ["series_id", "ts"]
+GRID_S = 3600  # step of the time grid of point-in-time joins
 
 
 def merge_actions(
@@ -175,21 +176,54 @@ def round_instants(rounds: DataFrame, scores: DataFrame, as_of: datetime | str)
     ).drop("_done")
 
 
+def dyadic_cover(low: Column, high: Column, levels: int) -> Column:
+    """Whole numbers from ``low`` up to before ``high`` as few blocks: (level, block) stands for 2^level numbers from block * 2^level."""
+    power = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    down = lambda k: F.floor(high / power(k)).cast("long")
+    up = lambda k: F.ceil(low / power(k)).cast("long")
+    odd = lambda n: n.bitwiseAND(F.lit(1).cast("long")) == 1
+    block = lambda k, n: F.struct(k.alias("level"), n.alias("block"))
+
+    def at(k: Column) -> Column:
+        inside = up(k) < down(k)
+        return F.array(F.when(inside & odd(up(k)), block(k, up(k))), F.when(inside & odd(down(k)), block(k, down(k) - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)))
+
+
+def versions_at(history: DataFrame, wanted: DataFrame, moment: str, grid_s: int = GRID_S) -> DataFrame:
+    """Rows of ``wanted`` (series_id, an instant each, any more) with every version of their series that is valid at it.
+
+    A version's interval is cut into dyadic blocks of the time grid, an instant lies in one block of each level, so
+    the two meet by equality of series, level and block: a version meets only the instants at which it is valid, give
+    or take one step of the grid, and is repeated at most twice per level. The levels follow from the span of the
+    instants, and a version outside of that is not repeated at all.
+    """
+    span = wanted.where(F.col(moment).isNotNull()).agg(F.min(F.unix_seconds(moment)), F.max(F.unix_seconds(moment))).first()
+    first, last = (span[0] // grid_s, span[1] // grid_s) if span[0] is not None else (0, 0)
+    levels = (last - first + 1).bit_length()
+    step = lambda c: F.floor(F.unix_seconds(c) / grid_s).cast("long") - first
+    low = F.greatest(step(F.col("valid_from")), F.lit(0).cast("long"))
+    high = F.least(F.coalesce(step(F.col("valid_to")) + 1, F.lit(last - first + 1)), F.lit(last - first + 1))
+    known = history.select(*POINT, "value", "quality_code", "valid_from", "valid_to", F.explode(dyadic_cover(low, high, levels)).alias("_b"))
+    known = known.select(*POINT, "value", "quality_code", "valid_from", "valid_to", "_b.*")
+    at = step(F.col(moment))
+    own = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.floor(at / F.call_function("shiftleft", F.lit(1).cast("long"), k)).cast("long").alias("block")))
+    asked = wanted.select("*", F.explode(own).alias("_b")).select(*wanted.columns, "_b.*")
+    met = asked.join(known, ["series_id", "level", "block"]).where(valid_at(F.col(moment), F.col("valid_from"), F.col("valid_to")))
+    return met.drop("level", "block")
+
+
 def round_context(instants: DataFrame, pseudo: DataFrame, history: DataFrame, since: datetime | str | None = None) -> DataFrame:
     """Everything known of a round's series at its creation, before its window.
 
     The result itself is rounds x history of their series, so pass the rounds that are wanted.
-    ``since`` bounds the reach back. The join key is the series; a heavy one is split by the
-    adaptive skew join.
+    ``since`` bounds the reach back.
     """
-    wanted = pseudo.select("round_id", "series_id", "challenge_series_name").join(instants, "round_id")
-    known = history.select(*POINT, "value", "valid_from", "valid_to")
-    if since is not None:
-        known = known.filter(F.col("ts") >= instant(since))
-    return (
-        wanted.join(known, "series_id")
-        .filter((F.col("ts") < F.col("start_time")) & valid_at(F.col("created_at"), F.col("valid_from"), F.col("valid_to")))
-        .select("round_id", "series_id", "challenge_series_name", "ts", "value")
+    wanted = pseudo.select("round_id", "series_id", "challenge_series_name").join(instants.select("round_id", "created_at", "start_time"), "round_id")
+    known = history if since is None else history.filter(F.col("ts") >= instant(since))
+    return versions_at(known, wanted, "created_at").where(F.col("ts") < F.col("start_time")).select(
+        "round_id", "series_id", "challenge_series_name", "ts", "value"
     )
 
 

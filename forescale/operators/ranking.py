@@ -93,6 +93,42 @@ def refresh_round_sums(old: DataFrame, fresh: DataFrame, touched: DataFrame) ->
     return old.join(rounds, "round_id", "left_anti").unionByName(fresh.join(rounds, "round_id", "left_semi"))
 
 
+IMAGE = ["mase", "rmse", "final_evaluation"]
+
+
+def score_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Images ``old`` and ``new`` of every score that came, went or differs between two states."""
+    keys = ["round_id", "model_id", "series_id"]
+    image = F.struct(*IMAGE)
+    both = before.select(*keys, image.alias("old")).join(after.select(*keys, image.alias("new")), keys, "full_outer")
+    return both.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def sum_deltas(changes: DataFrame, rounds: DataFrame, definitions: DataFrame, assignments: DataFrame) -> DataFrame:
+    """What changed scores add to the sums per round, model and scope: the new image counts, the old one is taken off.
+
+    An image that is not final or has no finite error counts nothing, so a score that turns invalid leaves the sums.
+    """
+    images = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("image")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("image")))
+    rows = changes.select("round_id", "model_id", "series_id", F.explode(images).alias("i")).where("i.image is not null")
+    valid = valid_scores(rows.select("round_id", "model_id", "series_id", "i.sign", "i.image.*"), rounds, assignments)
+    dates = rounds.select(F.col("id").alias("round_id"), F.to_date("registration_start").alias("round_date"))
+    mase, sign = F.col("mase"), F.col("sign")
+    sums = valid.groupBy("round_id", "definition_id", "model_id").agg(
+        F.sum(sign * mase).alias("sum_mase"), F.sum(sign * mase * mase).alias("sum_mase_sq"),
+        F.sum(sign * F.col("rmse")).alias("sum_rmse"), F.sum(sign).alias("num_scores"),
+    )
+    return with_scopes(sums.join(dates, "round_id"), definitions).select(
+        "round_id", "round_date", "model_id", *SCOPE, "sum_mase", "sum_mase_sq", "sum_rmse", "num_scores"
+    )
+
+
+def merged_sums(deltas: DataFrame) -> DataFrame:
+    """Sums per round, model and scope from any number of logged deltas; what no score is left of is gone."""
+    values = ["sum_mase", "sum_mase_sq", "sum_rmse", "num_scores"]
+    return deltas.groupBy("round_id", "round_date", "model_id", *SCOPE).agg(*[F.sum(v).alias(v) for v in values]).where("num_scores > 0")
+
+
 def cumulative_stats(sums: DataFrame, dates: Sequence[date]) -> DataFrame:
     """Mean, population deviation and count per model and scope up to each date, from the sums."""
     days = F.array(*[F.lit(d) for d in dates])

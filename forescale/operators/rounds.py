@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forescale.functions.durations import resolution_of, resolution_seconds
 from forescale.functions.text import order_key, pseudonym, round_name
@@ -280,6 +281,36 @@ def page(rows: DataFrame, order: Sequence[Column | str], number: int, size: int)
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def store_listing(rows: DataFrame, order: Sequence[Column | str], folder: str, parts: int | None = None) -> None:
+    """A totally ordered listing as ranges, each in a folder of its own and sorted, to be paged by ``seek_page``.
+
+    Without ``parts`` there are as many ranges as shuffle partitions.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/rows")
+    stored = rows.sparkSession.read.schema("part int").parquet(f"{folder}/rows")
+    stored.groupBy("part").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/counts")
+
+
+def seek_page(spark: SparkSession, folder: str, schema: T.StructType, order: Sequence[Column | str], number: int, size: int) -> DataFrame:
+    """One page of a stored listing (the last one for a ``number`` of 0): reads the ranges that hold it, whatever its number.
+
+    The counts, one row a range, tell which those are.
+    """
+    counts = sorted(tuple(r) for r in spark.read.schema("part int, n long").parquet(f"{folder}/counts").collect())
+    if not number:
+        number = max(1, -(-sum(n for _, n in counts) // size))
+    skip, held, before = (number - 1) * size, [], 0
+    for part, n in counts:
+        if before < skip + size and before + n > skip:
+            held.append((part, before))
+        before += n
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.IntegerType())])).parquet(f"{folder}/rows")
+    rows = rows.where(F.col("part").isin([part for part, _ in held])).drop("part")
+    return rows.orderBy(*order).offset(skip - held[0][1] if held else 0).limit(size)
+
+
 def page_info(rows: DataFrame, number: int, size: int, pages_when_empty: int = 1) -> DataFrame:
     """Total count and page flags of the same listing."""
     total = F.col("total_count")

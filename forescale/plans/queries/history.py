@@ -95,6 +95,15 @@ def round_context(w: World) -> DataFrame:
     ), "total")
 
 
+@query
+def points_known_at(w: World) -> DataFrame:
+    """What was known of each round's series at its creation, start, end and evaluation: four instants a round at once."""
+    moments = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).alias("moment")) for name in ("created_at", "start_time", "end_time", "eval_time")])
+    asked = w.pseudo.select("round_id", "series_id").join(_instants(w), "round_id").select("round_id", "series_id", F.explode(moments).alias("m"))
+    known = hist.versions_at(w.history, asked.select("round_id", "series_id", "m.*"), "moment")
+    return rounded(known.groupBy("round_id", "series_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"), F.sum("value").alias("total")), "total")
+
+
 @query
 def round_actuals(w: World) -> DataFrame:
     return rounded(hist.round_actuals(_instants(w), w.pseudo, w.history), "value")

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forescale.functions import durations
 from forescale.functions.text import comma_list
@@ -110,9 +111,25 @@ def list_rounds_filtered(w: World) -> DataFrame:
     return kept.select(*META)
 
 
+def _listing(w: World) -> tuple[str, T.StructType]:
+    """The listing in its order, stored once a session as ranges that pages seek in."""
+    rows = _metadata(w).select(*META, "created_at")
+    folder = f"{w.stage_root}/listing"
+    if "listing" not in w.landed:
+        rounds.store_listing(rows, rounds.status_order(), folder)
+        w.landed.add("listing")
+    return folder, rows.schema
+
+
 @query
 def list_rounds_page(w: World) -> DataFrame:
-    return rounds.page(_metadata(w), rounds.status_order(), 2, 10).select(*META)
+    return rounds.seek_page(w.spark, *_listing(w), rounds.status_order(), 2, 10).select(*META)
+
+
+@query
+def list_rounds_last_page(w: World) -> DataFrame:
+    """The last page: as cheap as the first."""
+    return rounds.seek_page(w.spark, *_listing(w), rounds.status_order(), 0, 10).select(*META)
 
 
 @query

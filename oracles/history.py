@@ -45,6 +45,12 @@ ORACLES["round_instants"] = statement("rounds scores", f"SELECT * FROM {_INSTANT
 ORACLES["round_context"] = statement("pseudo rounds scores history", f"""
 SELECT round_id, series_id, challenge_series_name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(value), 6) AS total
 FROM {_CONTEXT} GROUP BY ALL""")
+ORACLES["points_known_at"] = statement("pseudo rounds scores history", f"""
+SELECT p.round_id, p.series_id, m.kind, count(*) AS n, max(h.ts) AS last_ts, round(sum(h.value), 6) AS total
+FROM pseudo p JOIN {_INSTANTS} i ON i.round_id = p.round_id, LATERAL (VALUES ('created_at', i.created_at), ('start_time', i.start_time),
+  ('end_time', i.end_time), ('eval_time', i.eval_time)) m(kind, moment)
+JOIN history h ON h.series_id = p.series_id AND h.valid_from <= m.moment AND (h.valid_to IS NULL OR m.moment < h.valid_to)
+GROUP BY p.round_id, p.series_id, m.kind""")
 ORACLES["round_actuals"] = statement("pseudo rounds scores history", f"SELECT * REPLACE (round(value, 6) AS value) FROM {_ACTUALS}")
 ORACLES["round_forecasts"] = statement("forecasts pseudo models", f"SELECT * REPLACE (round(value, 6) AS value, round(q_low, 6) AS q_low, round(q_high, 6) AS q_high) FROM {_FORECASTS}")
 ORACLES["round_complete_data"] = statement("pseudo rounds scores history forecasts models", f"""

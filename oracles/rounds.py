@@ -54,6 +54,9 @@ SELECT {_COLUMNS} FROM {_META} WHERE status IN ('active', 'completed') AND end_t
 ORACLES["list_rounds_page"] = statement(_META_NEEDS, f"""
 SELECT {_COLUMNS} FROM {_META} ORDER BY CASE status WHEN 'active' THEN 0 WHEN 'registration' THEN 1 WHEN 'completed' THEN 2 ELSE 4 END,
   created_at DESC, round_id LIMIT 10 OFFSET 10""")
+ORACLES["list_rounds_last_page"] = statement(_META_NEEDS, f"""
+SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (ORDER BY CASE status WHEN 'active' THEN 0 WHEN 'registration' THEN 1 WHEN 'completed' THEN 2 ELSE 4 END,
+  created_at DESC, round_id) AS place, count(*) OVER () AS total FROM {_META}) WHERE place > (total - 1) // 10 * 10""")
 ORACLES["list_rounds_page_info"] = statement(_META_NEEDS, f"""
 SELECT total_count, total_pages, 2 < total_pages AS has_next, true AS has_previous FROM (
   SELECT count(*) AS total_count, CASE WHEN count(*) = 0 THEN 1 ELSE CAST(ceil(count(*) / 10.0) AS BIGINT) END AS total_pages

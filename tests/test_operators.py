@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forescale.operators import elo, forecasts, history, imputation, ordered, ranking, resample, rollup, rounds, scoring, upsert
+from forescale.plans.world import world
 from forescale.sources import scans
 
 T0 = datetime(2024, 1, 1)
@@ -450,3 +452,61 @@ def test_a_step_of_zero_fills_nothing(table):
     rows = [(1, datetime(2024, 1, 1), 1.0, 0), (1, datetime(2024, 1, 2), 2.0, 0)]
     got = imputation.impute_gaps(table(rows, "series_id int, ts timestamp, value double, frequency_s long"))
     assert got.count() == 2
+
+
+def test_versions_at_many_instants_equal_a_filter_for_each(spark, table):
+    rng = random.Random(12)
+    hour = lambda: T0 + timedelta(seconds=rng.randrange(40 * 86400))
+    versions, seen = [], set()
+    for i in range(200):
+        start = hour()
+        versions.append((rng.randrange(3), T0 + timedelta(minutes=i), float(i), 0, start, rng.choice([None, start, start + timedelta(seconds=rng.randrange(1, 9 * 86400))]), True))
+    known = table(versions, "series_id int, ts timestamp, value double, quality_code smallint, valid_from timestamp, valid_to timestamp, is_current boolean")
+    asked = [(n, rng.randrange(4), rng.choice([hour(), T0 + timedelta(hours=rng.randrange(900)), versions[n][4], T0 - timedelta(days=9)])) for n in range(60)]
+    for wanted in (asked, asked[:1], []):
+        frame = table(wanted, "n int, series_id int, moment timestamp")
+        found = sorted((r.n, r.value) for r in history.versions_at(known, frame, "moment").collect())
+        want = sorted((n, v[2]) for n, s, m in wanted for v in versions if v[0] == s and v[4] <= m and (v[5] is None or m < v[5]))
+        assert found == want
+        seen.update(n for n, _ in found)
+    assert len(seen) > 20
+
+
+def test_dyadic_cover_is_exact_and_small(spark):
+    spans = [(a, b) for a in range(0, 70, 3) for b in range(a, 70)]
+    rows = spark.createDataFrame(spans, "a long, b long").select("a", "b", history.dyadic_cover(F.col("a"), F.col("b"), 7).alias("c")).collect()
+    for r in rows:
+        covered = sorted(n for level, block in r.c for n in range(block << level, (block + 1) << level))
+        assert covered == list(range(r.a, r.b)) and len(r.c) <= 14
+
+
+def test_seeking_pages_reads_one_range(spark, tmp_path):
+    listing = spark.range(1000).selectExpr("id as round_id", "pmod(hash(id), 7) as score")
+    order = [F.desc("score"), F.asc("round_id")]
+    rounds.store_listing(listing, order, str(tmp_path), parts=10)
+    whole = [tuple(r) for r in listing.orderBy(*order).collect()]
+    for number, size in ((1, 10), (3, 7), (99, 10), (1, 1000), (2, 333)):
+        got = rounds.seek_page(spark, str(tmp_path), listing.schema, order, number, size)
+        assert [tuple(r) for r in got.collect()] == whole[(number - 1) * size : number * size]
+    last = rounds.seek_page(spark, str(tmp_path), listing.schema, order, 0, 30)
+    assert [tuple(r) for r in last.collect()] == whole[990:]
+    plan = rounds.seek_page(spark, str(tmp_path), listing.schema, order, 95, 3)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ = \d", plan), plan
+    assert rounds.seek_page(spark, str(tmp_path), listing.schema, order, 500, 10).count() == 0
+
+
+def test_signed_deltas_equal_a_rebuild(spark, folder):
+    w = world(spark, folder)
+    scores = w.scores.select("round_id", "model_id", "series_id", "mase", "rmse", "final_evaluation")
+    state, log = scores.limit(0), None
+    for n in range(4):
+        noise = F.pmod(F.xxhash64("round_id", "model_id", "series_id", F.lit(n)), F.lit(5))
+        after = scores.where(noise > 0).withColumn("mase", F.when(noise == 1, F.lit(float("inf"))).when(noise == 2, F.col("mase") + n).otherwise(F.col("mase")))
+        after = after.withColumn("final_evaluation", noise != 3)
+        delta = ranking.sum_deltas(ranking.score_changes(state, after), w.rounds, w.definitions, w.assignments)
+        log = delta if log is None else log.unionByName(delta)
+        state = after
+        keys = ["round_id", "model_id", "scope_type", "scope_id"]
+        shown = lambda df: sorted((str(r) for r in df.select(*keys, "num_scores", *[F.round(c, 6) + 0.0 for c in ("sum_mase", "sum_mase_sq", "sum_rmse")]).collect()))
+        if n in (0, 3):
+            assert shown(ranking.merged_sums(log)) == shown(ranking.round_model_scores(state, w.rounds, w.definitions, w.assignments))
