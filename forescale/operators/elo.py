@@ -27,7 +27,7 @@ BASE_RATING = 1000.0
 SCALE = 400.0
 QUANTILES = (0.025, 0.5, 0.975)
 
-BLOCKS = 4  # of replicates
+PER_TASK = 25  # replicates that one task advances together
 
 DAY = "calculation_date"
 
@@ -57,12 +57,16 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(renamed, match, "left_semi")
 
 
+def task_count(replicates: int) -> int:
+    return -(-replicates // PER_TASK)
+
+
 def _season(keys: Sequence[str], replicates: int, seed: int, k_factor: float, base: float):
     """All replicates of a block over one season of (round_id, model_id, points).
 
     It refers to nothing outside itself but numpy and pandas, so executors need no copy of this package.
     """
-    scale, blocks = SCALE, BLOCKS
+    scale, blocks = SCALE, task_count(replicates)
 
     def rate(season: pd.DataFrame) -> pd.DataFrame:
         first = season.iloc[0]
@@ -107,7 +111,7 @@ def replicate_ratings(
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in season.schema.fields}
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "replicate int", "model_id int", "rating double"])
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(min(BLOCKS, replicates) - 1)))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(task_count(replicates) - 1)))
     return season.withColumn("block", blocks).groupBy(*keys, "block").applyInPandas(_season(keys, replicates, seed, k_factor, base), schema)
 
 
