@@ -137,7 +137,7 @@ def far_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """fp, component: the smallest doc_id that fingerprints (doc_id, fp) reach over links of at most three bits."""
+    """fp, whole (one fingerprint of the group) and component_id, the smallest doc_id that rows (doc_id, fp) reach over links of at most three bits."""
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints").withColumn("node", F.col("fp"))
     near = components(near_links(nodes))
     merged = staged(nodes.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-components")
@@ -146,13 +146,13 @@ def groups(rows: DataFrame) -> DataFrame:
     far = components(links).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     final = merged.join(far, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
     least = final.groupBy("whole").agg(F.min("least").alias("component_id"))
-    return final.select("fp", "whole").join(least, "whole").select("fp", "component_id")
+    return final.select("fp", "whole").join(least, "whole").select("fp", "whole", "component_id")
 
 
 def dedup_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     rows = staged(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "document-fingerprints")
-    return rows.join(groups(rows), "fp", "left")
+    return rows.join(groups(rows), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -162,10 +162,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     hashed = F.xxhash64("text")
     rows = staged(fingerprints(docs.select("doc_id", "text", hashed.alias("text_hash"))).select("doc_id", "text_hash", "fp"), "document-fingerprints")
-    grouped = staged(rows.where("doc_id is not null").join(groups(rows), "fp"), "document-groups")
-    first = grouped.where("doc_id = component_id").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
-    kept = first.groupBy("doc_id").agg(F.min(F.struct("text_hash", "copies")).alias("stays")).select(F.col("doc_id").alias("stay_id"), "stays.*")
-    found = docs.join(kept, (F.col("doc_id") == F.col("stay_id")) & (hashed == F.col("text_hash")))
-    once = found.where("copies = 1").select(*[docs[c] for c in docs.columns])
-    again = found.where("copies > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    grouped = rows.where("doc_id is not null").join(groups(rows).select("fp", "whole"), "fp")
+    kinds = grouped.groupBy("whole", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    stays = staged(kinds.groupBy("whole").agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("stays")).select("stays.*"), "document-stays").alias("stays")
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    id_, text = F.col("row")["doc_id"], F.col("row")["text"]
+    found = whole.join(stays, (id_ == F.col("stays.doc_id")) & (F.xxhash64(text) == F.col("stays.text_hash")))
+    once = found.where(F.col("stays.copies") == 1).select("row")
+    again = found.where(F.col("stays.copies") > 1).select("row", id_.alias("id"), text.alias("text")).dropDuplicates(["id", "text"]).select("row")
+    return once.unionByName(again).unionByName(whole.where(id_.isNull())).select("row.*")

@@ -9,7 +9,9 @@ import re
 import textwrap
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -330,7 +332,7 @@ def test_substring_windows_that_share_32_bits_are_told_apart(monkeypatch):
 
     monkeypatch.setattr(substrings, "runs", runs)
     docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", "b"]), pa.array([1, 2])], names=["doc_id", "text", "key"])
-    rows = pa.Table.from_batches(substrings.anchored(iter([docs]))).sort_by([("anchor", "ascending"), ("doc_id", "ascending")])
+    rows = pa.Table.from_batches(substrings.anchored(iter([docs]))).sort_by([("anchor", "ascending"), ("places", "ascending")])
     assert rows.num_rows == 2 and sum(b.num_rows for b in substrings.matched(iter(rows.combine_chunks().to_batches()))) == 0
 
 
@@ -415,27 +417,15 @@ def plain_lines(rows, similarity=0.8):
     def norm(line):
         return re.sub(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+", " ", line.lower()).strip(" ")
 
-    def fingerprint(text):
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(text.split(" "))]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            after = [i + 1]
-            for j, y in enumerate(b):
-                after.append(min(row[j] + (x != y), row[j + 1] + 1, after[j] + 1))
-            row = after
-        return row[-1]
-
     rows = sorted(dict.fromkeys((i, t) for i, t in rows if i is not None and t is not None), key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1].encode(), 42) ^ 1 << 63))
     kinds = sorted({n for _, t in rows for n in map(norm, t.split("\n")) if n})
-    fps = {n: fingerprint(n) for n in kinds}
     parent = {n: n for n in kinds}
-    for k, a in enumerate(kinds):
-        for b in kinds[:k]:
-            if (fps[a] ^ fps[b]).bit_count() <= 3 and distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
-                parent[find(parent, a)] = find(parent, b)
+    frame = pd.DataFrame({"n": kinds, "size": [len(n) for n in kinds]})  # noqa: F841
+    links = duckdb.sql(f"""
+        SELECT x.n, y.n FROM frame x JOIN frame y ON x.n < y.n AND y.size BETWEEN x.size * {similarity} - 1 AND x.size / {similarity} + 1
+        WHERE levenshtein(x.n, y.n) <= {1 - similarity} * greatest(x.size, y.size) + 1e-9""").fetchall()
+    for a, b in links:
+        parent[find(parent, a)] = find(parent, b)
     seen, out = set(), {}
     for i, t in rows:
         kept = []
@@ -471,17 +461,19 @@ def test_lines_equal_brute_force(spark, monkeypatch, broadcast_rows):
     assert got.columns == docs.columns and lines.dedup(docs.where("false")).count() == 0
 
 
-def test_line_blocks_cover_all_close_fingerprints():
+def test_line_fingerprints_are_majorities(spark):
     rng = random.Random(7)
-    for count in (10, 10**9, 10**13):
-        masks = lines.masks(count)
-        for _ in range(300):
-            x = rng.getrandbits(64)
-            y = x
-            for _ in range(3):
-                y ^= 1 << rng.randrange(64)
-            assert any((x ^ y) & (m & (1 << 64) - 1) == 0 for m in masks)
-    assert len(lines.masks(10)) == 10 and len(lines.masks(10**13)) > 10
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, [signed(rng.getrandbits(64)) for _ in range(n)]) for i, n in enumerate([1, 2, 3, 7, 30, 31, 32, 90])]
+    frame = spark.createDataFrame(rows, "i int, h array<long>")
+    got = lines.with_simhash(frame, "h", "fp").select("i", "fp", lines.blocks(F.col("h"), 2, 10, 1).alias("two"), lines.blocks(F.col("h"), 3, 10, 1).alias("three"))
+    for (_, h), r in zip(rows, got.orderBy("i").collect()):
+        slots = [h[k % len(h)] for k in range(31)]
+        assert r.fp == signed(sum(1 << b for b in range(64) if sum(x >> b & 1 for x in slots) >= 16))
+        assert [len(r.two), len(r.three)] == [max(0, min(len(h), 10) - 1), max(0, min(len(h), 10) - 2)]
+    moved = spark.createDataFrame([(0, rows[4][1]), (1, rows[4][1][:4] + [5] + rows[4][1][5:])], "i int, h array<long>")
+    one, other = moved.orderBy("i").select(lines.blocks(F.col("h"), 3, 10, 1).alias("b")).collect()
+    assert [x == y for x, y in zip(one.b, other.b)] == [True, True, False, False, False, True, True, True]
 
 
 def test_lines_with_edits_beyond_three_bits_are_found(spark):
@@ -576,3 +568,23 @@ def test_pipeline_stages_against_brute_force(spark, folder):
     coded = stages["byte_bpe"](spark, single, folder).collect()
     assert all(r.decoded == r.text for r in coded)
     assert {name for name, _ in corpus_pipeline.STAGES} == set(stages) and len(stages) == 5
+
+
+def test_groups_that_share_their_smallest_doc_id_keep_a_row_each(spark):
+    one, other = prose(1, 80), prose(2, 80)
+    docs = docs_of(spark, [(1, one), (1, other), (2, one), (3, other), (3, other)]).withColumns({c: F.lit("own") for c in ("copies", "text_hash", "stay_id", "stays", "row")})
+    assert sorted(tuple(r)[:2] for r in simhash.representatives(docs).collect()) == sorted([(1, one), (1, other)])
+
+
+def test_stages_keep_columns_of_clashing_names(spark, folder):
+    import corpus_pipeline
+
+    texts = [prose(i, 60) for i in range(12)]
+    names = ["lang_pred", "score", "bits", "n_removed", "leaks", "copies", "text_hash", "stay_id", "row", "line", "gone", "fp", "leak"]
+    docs = docs_of(spark, texts + [texts[0]], ["xx"] * 13).withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, folder)
+        assert found.columns == docs.columns, name
+        kept = found.collect()
+        assert len(kept) >= 12 and all(r[c] == f"own {c}" for r in kept for c in names), name
+        assert stage(spark, docs.limit(0), folder).count() == 0
