@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from forescale.operators import history, imputation, resample, rollup, rounds, scoring
 from forescale.operators.ordered import keep_one
 from forescale.plans.world import AS_OF, world
-from forescale.streaming import ingest, log, rescore, rollups
+from forescale.streaming import carry, ingest, log, rescore, rollups
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "series_id int, ts timestamp, value double, frequency_s long, batch_seq long"
@@ -131,29 +131,27 @@ def test_repeated_and_broken_batches_change_nothing(spark, table, tmp_path, monk
     assert [(r[1], r[2]) for r in rows(ingest.point_history(spark, state).where("is_current"), "ts")] == [(r[1], r[2]) for r in whole]
 
 
-def test_slices_with_carry_equal_one_pass(spark, table, tmp_path):
+def test_bins_by_timers_equal_one_pass(spark, table, tmp_path):
     rng = random.Random(9)
     schema = "station string, fuel string, ts timestamp, price double"
-    events = sorted({("s%d" % rng.randrange(3), "e5", T0 + timedelta(seconds=rng.randrange(3 * 86400)), rng.choice([1.1, 1.2, 1.3])) for _ in range(80)}, key=lambda e: e[2])
-    for day in range(3):
-        land(table, tmp_path / "in", [e for e in events if e[2].day == 1 + day], schema)
-    span = lambda batch: (T0 + timedelta(days=batch), T0 + timedelta(days=batch + 1))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    ingest.run_resample(stream, span, str(tmp_path / "bins"), str(tmp_path / "carry"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.schema(schema).parquet(*[str(tmp_path / "bins" / f"batch={b}") for b in range(3)])
-    want = resample.resample_events(table(events, schema), T0, T0 + timedelta(days=3))
-    order = ("station", "fuel", "ts")
-    assert rows(got.withColumn("price", F.round("price", 9)), *order) == rows(want.withColumn("price", F.round("price", 9)), *order)
-
-
-def test_a_missing_price_keeps_the_carry(spark, table):
-    schema = "station string, fuel string, ts timestamp, price double"
-    carry = table([("s", "e5", T0, 1.5)], schema)
-    empty = table([("s", "e5", T0 + timedelta(minutes=5), None)], schema)
-    _, after = ingest.resample_with_carry(empty, carry, T0, T0 + timedelta(hours=1))
-    assert rows(after, "ts") == [("s", "e5", T0, 1.5)]
-    bins, _ = ingest.resample_with_carry(table([], schema), after, T0 + timedelta(hours=1), T0 + timedelta(hours=2))
-    assert bins.count() == 6
+    event = lambda: (f"s{rng.randrange(3)}", "e5", T0 + timedelta(seconds=rng.randrange(2 * 86400)), rng.choice([1.1, 1.2, 1.3]))
+    events = sorted({e[:3]: e for e in (event() for _ in range(90))}.values(), key=lambda e: e[2])
+    events += [("s9", "e5", T0 + timedelta(hours=20, minutes=50), 1.4)]  # on the grid, silent ever after
+    end = T0 + timedelta(hours=60)
+    cut = T0 + timedelta(hours=22)
+    arrivals = [[e for e in events if e[2] < cut], [e for e in events if e[2] >= cut], [("s0", "e5", T0 + timedelta(hours=55), None)], [("#", "#", end, None)]]
+    out, seen = str(tmp_path / "bins"), []
+    for rows_ in arrivals:
+        rng.shuffle(rows_)
+        land(table, tmp_path / "in", rows_, schema)
+        carry.run_bins(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, str(tmp_path / "cp")).awaitTermination()
+        seen.append(spark.read.schema(schema).parquet(out).where("station = 's9'").count())
+    shown = lambda df: rows(df.withColumn("price", F.round("price", 9)), "station", "fuel", "ts")
+    assert shown(spark.read.schema(schema).parquet(out)) == shown(resample.resample_events(table(events, schema), T0, end))
+    assert seen[2] > seen[1] > seen[0] and seen[3] == 235  # bins of a silent station come while it stays silent
+    land(table, tmp_path / "in", [("s9", "e5", T0 + timedelta(hours=1), 9.9)], schema)  # beyond the horizon
+    carry.run_bins(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.schema(schema).parquet(out).where("price = 9.9").count() == 0
 
 
 def test_log_takes_the_newest_batch_and_its_retry(spark, table, tmp_path):
