@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +29,8 @@ LONG_CHARS = 70
 LINK_SHARE = 0.5
 STOP_SHARE = 0.2
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW = frozenset("script style noscript template textarea title iframe svg math object xmp noembed noframes".split())
@@ -52,6 +54,53 @@ _STOP_WORDS = frozenset(
 )
 
 
+class Tags:
+    """The tags of a page, read once from left to right; linear however quotes and brackets are left open."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.ends: dict[int, int] = {}  # place outside of quotes -> the bracket that ends the tag there, or -1
+
+    def end_of(self, at: int) -> int:
+        """The first closing bracket outside of quotes; where there is none, the first at all."""
+        first, path = at, []
+        while (end := self.ends.get(at)) is None:
+            path.append(at)
+            found = _SPECIAL.search(self.page, at)
+            if found is None:
+                end = -1
+                break
+            if found[0] == ">":
+                end = found.start()
+                break
+            close = self.page.find(found[0], found.end())
+            if close < 0:
+                end = -1
+                break
+            at = close + 1
+        for place in path:
+            self.ends[place] = end
+        return end if end >= 0 else self.page.find(">", first)
+
+    def after(self, at: int) -> tuple[int, int, str | None, str | None, str] | None:
+        """Start, end, slash, name (None: a comment or the like) and attributes of the next tag."""
+        page = self.page
+        while found := _OPEN.search(page, at):
+            start = found.start()
+            if found[0] == "<!--":
+                end = page.find("-->", found.end())
+                return start, len(page) if end < 0 else end + 3, None, None, ""
+            if start > self.last:  # nothing is closed from here on
+                at = found.end()
+                continue
+            if found[2] is None:
+                return start, page.find(">", start) + 1, None, None, ""
+            end = self.end_of(found.end())
+            return start, end + 1, found[1], found[2], page[found.end() : end]
+        return None
+
+
 @dataclass
 class Block:
     text: str
@@ -94,6 +143,8 @@ def parse(page: str) -> Page:
     """Blocks outside of what markup drops, in page order."""
     out = Page()
     stack: list[tuple[str, bool]] = []  # open elements, and whether they drop what they hold
+    places: dict[str, list[int]] = {}  # of the open elements by tag
+    solid: list[int] = []  # places of the open elements that are not inline
     dropped = articles = links = 0
     parts: list[str] = []
     link_chars = block_links = region = regions = 0
@@ -111,6 +162,9 @@ def parse(page: str) -> Page:
         nonlocal dropped, articles, links, region
         while len(stack) > at:
             tag, drops = stack.pop()
+            places[tag].pop()
+            if tag not in _INLINE:
+                solid.pop()
             dropped -= drops
             links -= tag == "a"
             if tag in ("article", "main"):
@@ -119,6 +173,10 @@ def parse(page: str) -> Page:
                 if not articles:
                     region = regions  # what follows is again the surroundings
 
+    def last(*tags: str) -> int:
+        """Place of the innermost open element of these, -1 without one."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def add(text: str) -> None:
         nonlocal link_chars
         if text and not dropped:
@@ -127,10 +185,11 @@ def parse(page: str) -> Page:
                 link_chars += len(text.strip())
 
     at = 0
-    while found := _TOKEN.search(page, at):
-        add(page[at : found.start()])
-        at = found.end()
-        closing, tag, text = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+    tags = Tags(page)
+    while found := tags.after(at):
+        start, end, closing, tag, text = found
+        add(page[at:start])
+        at = end
         if tag is None:
             continue
         tag = tag.lower()
@@ -140,26 +199,25 @@ def parse(page: str) -> Page:
         if tag not in _INLINE:
             end_block()
         if closing:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is not None:
+            if (place := last(tag)) >= 0:
                 close(place)
             continue
         if tag in _RAW and not text.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
             continue
-        if tag in _P_ENDS:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] not in _INLINE), None)
-            if place is not None and stack[place][0] == "p":
-                close(place)
+        if tag in _P_ENDS and solid and stack[solid[-1]][0] == "p":
+            close(solid[-1])
         if tag in _SELF_ENDS:
-            ends = _SELF_ENDS[tag].split()
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ends or stack[i][0] in ("ul", "ol", "dl", "table", "select")), None)
-            if place is not None and stack[place][0] in ends:
+            place = last(*_SELF_ENDS[tag].split())
+            if place > last("ul", "ol", "dl", "table", "select"):
                 close(place)
         if tag in _VOID:
             continue
         drops = is_boilerplate(tag, text, articles > 0)
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in _INLINE:
+            solid.append(len(stack))
         stack.append((tag, drops))
         dropped += drops
         if tag == "a":
@@ -212,9 +270,11 @@ def main_text(page: str | None) -> str:
 
 
 def nearest(i: int, decided: list[int], blocks: list[Block]) -> str:
-    """Second pass: the label of the nearest decided block, text where two are as near."""
-    least = min(abs(i - j) for j in decided)
-    return "text" if any(blocks[j].label == "text" for j in decided if abs(i - j) == least) else "boilerplate"
+    """Second pass: the label of the nearest decided block, text where two are as near; ``decided`` goes up."""
+    place = bisect_left(decided, i)
+    sides = decided[max(0, place - 1) : place + 1]
+    least = min(abs(i - j) for j in sides)
+    return "text" if any(blocks[j].label == "text" for j in sides if abs(i - j) == least) else "boilerplate"
 
 
 def extract(df: DataFrame, page: str = "html") -> DataFrame:
