@@ -14,10 +14,13 @@ column of the input is kept by ``encode_table``, except that clashing output nam
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +30,50 @@ from forescale.llm.common import pieces, resident
 
 #: States and remembered pieces are dropped and made anew beyond these counts, which bounds a worker's memory.
 MAX_STATES = 200_000
-MAX_PIECES = 150_000
+MAX_PIECES = 300_000
+
+
+#: Pieces up to so many bytes are encoded side by side, so many at a time; longer ones one by one.
+SIDE_BYTES = 64
+SIDE_PIECES = 1 << 15
+SLAB = 1 << 20  # characters of a text that are cut into pieces at once
+STEP_TOKENS = 4096  # tokens that are decoded at once
+
+
+class Moves:
+    """Moves of the machine (state and byte to state) as one table of numbers that many states are looked up in at once."""
+
+    def __init__(self) -> None:
+        self.count = 0
+        self.keys, self.values = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands, or the free place where it would."""
+        mask = len(self.keys) - 1
+        at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & mask
+        todo = np.arange(len(keys))
+        while len(todo):
+            held = self.keys[at[todo]]
+            todo = todo[(held != keys[todo]) & (held >= 0)]
+            at[todo] = (at[todo] + 1) & mask
+        return at
+
+    def add(self, keys: list[int], values: list[int]) -> None:
+        self.count += len(keys)
+        if 2 * self.count > len(self.keys):
+            held = self.keys >= 0
+            old = self.keys[held], self.values[held]
+            self.keys, self.values = np.full(4 * len(self.keys), -1, np.int64), np.zeros(4 * len(self.values), np.int32)
+            self._put(*old)
+        self._put(np.array(keys, np.int64), np.array(values, np.int32))
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        while len(keys):
+            at = self.places(keys)
+            self.keys[at] = keys  # of those that want one free place the last gets it
+            placed = self.keys[at] == keys
+            self.values[at[placed]] = values[placed]
+            keys, values = keys[~placed], values[~placed]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -67,6 +113,9 @@ class Transducer:
         self.states: list[tuple[int, ...]] = [(0,)]  # configurations: last token + 1, trie node and depth in one number
         self.ends = [-1]
         self.moves: dict[int, int] = {}
+        self.table = Moves()
+        self.ends_of = np.full(1 << 16, -1, np.int32)  # ``ends`` as far as ``told``
+        self.told = 1
         self.follows: dict[int, bool] = {}
 
     def merge(self, data: bytes, stop: int = 1) -> list[int]:
@@ -152,6 +201,59 @@ class Transducer:
                 del path[:agreed]
         return out + self.emitted(path, len(path))
 
+    def moved(self, states: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """The states after one byte each; moves that are missing are made."""
+        keys = states.astype(np.int64) << 8 | some
+        at = self.table.places(keys)
+        missing = np.unique(keys[self.table.keys[at] != keys]).tolist()
+        if missing:
+            known = self.moves.get
+            self.table.add(missing, [self.move(key >> 8, key & 255) if known(key) is None else known(key) for key in missing])
+            at = self.table.places(keys)
+            if len(self.states) > len(self.ends_of):
+                self.ends_of = np.concatenate([self.ends_of, np.full(len(self.states), -1, np.int32)])
+            self.ends_of[self.told : len(self.ends)] = self.ends[self.told :]
+            self.told = len(self.ends)
+        return self.table.values[at]
+
+    def encode_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """``encode`` of many pieces side by side: all take a byte at a time, then all go back a token at a time."""
+        out: list[list[int]] = [[]] * len(pieces)
+        side = []
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = [whole]
+            elif len(piece) > SIDE_BYTES:
+                out[i] = self.encode(piece)
+            else:
+                side.append(i)
+        side.sort(key=lambda i: -len(pieces[i]))
+        sizes = np.zeros(max(self.size_of) + 1, np.int64)
+        sizes[list(self.size_of)] = list(self.size_of.values())
+        for first in range(0, len(side), SIDE_PIECES):
+            part = side[first : first + SIDE_PIECES]
+            if len(self.states) > MAX_STATES:
+                self.reset()
+            lengths = np.array([len(pieces[i]) for i in part])
+            bytes_ = np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)
+            starts = np.cumsum(lengths) - lengths
+            state = np.zeros(len(part), np.int32)
+            path = np.zeros((lengths.max(initial=0), len(part)), np.int32)
+            for at in range(len(path)):
+                n = int(np.searchsorted(-lengths, -at))  # longer ones come first
+                state[:n] = self.moved(state[:n], bytes_[starts[:n] + at])
+                path[at, :n] = self.ends_of[state[:n]]
+            rest, back, column = lengths.copy(), [], np.arange(len(part))
+            while rest.any():
+                token = np.where(rest > 0, path[np.maximum(rest, 1) - 1, column], -1)
+                back.append(token)
+                rest = np.maximum(rest - sizes[token], 0)
+            counts = (np.stack(back) >= 0).sum(0).tolist() if back else [0] * len(part)
+            for i, n, tokens in zip(part, counts, np.stack(back[::-1], 1).tolist() if back else counts):
+                out[i] = tokens[-n:] if n else []
+        return out
+
     def emitted(self, path: list[int], at: int) -> list[int]:
         out = []
         while at > 0:
@@ -180,11 +282,25 @@ class Utf8Machine:
         self.need, self.low, self.high = 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
-        if not self.need:
-            try:
-                return data.decode("utf-8")  # complete characters only: the state stays the same
-            except UnicodeDecodeError:
-                pass
+        out: list[str] = []
+        view, at = memoryview(data), 0
+        while at < len(data):
+            if self.need:  # the rest of a character that was begun
+                end = at + self.need
+                out.append(self._bytewise(view[at:end]))
+                at = end
+                continue
+            try:  # complete characters only: the state stays the same
+                out.append(codecs.utf_8_decode(view[at:], "strict", True)[0])
+                break
+            except UnicodeDecodeError as stop:
+                end = at + stop.start
+                out.append(codecs.utf_8_decode(view[at:end], "strict", True)[0])
+                out.append(self._bytewise(view[end : end + 1]))
+                at = end + 1
+        return "".join(out)
+
+    def _bytewise(self, data: Iterable[int]) -> str:
         out: list[str] = []
         for byte in data:
             if self.need:
@@ -217,82 +333,74 @@ class Codec:
     """Encoder and decoder of one vocabulary file; ``pattern`` cuts a text into pieces that are encoded separately.
 
     ``pattern`` must end a piece before a space that stands between two other characters than white space, as the
-    patterns of byte-level vocabularies do: a text is cut there first, and what comes often between two cuts is
-    remembered with its tokens.
+    patterns of byte-level vocabularies do: long texts are cut there first. Pieces are remembered with their tokens.
     """
 
     def __init__(self, path: str, pattern: str):
         self.machine = Transducer(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def fresh(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
-            own = self.pieces.get(piece)
-            if own is None:
-                if len(self.pieces) >= MAX_PIECES:
-                    self.pieces.clear()
-                own = self.machine.encode(piece.encode("utf-8"))
-                if len(piece) <= 64:
-                    self.pieces[piece] = own
-            ids += own
-        return tuple(ids), ",".join(map(str, ids))
-
-    def chunks(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Token ids, and the same as text, of each stretch of the text between two cuts."""
-        if not text:
-            return []
-        known, out = self.known, []
-        pending: str | None = None
-        parts = text.split(" ")
-        for i, part in enumerate(parts):
-            if pending is None and i:
-                found = known.get(part)
-                if found is not None:
-                    out.append(found)
-                    continue
-            opens = part != "" and not part[0].isspace()
-            closes = part != "" and not part[-1].isspace()
-            if not i:
-                pending = part
-            elif pending is not None:
-                pending = f"{pending} {part}"
-            elif opens and closes:
-                if len(known) >= MAX_PIECES:
-                    known.clear()
-                found = self.fresh(" " + part)
-                if len(part) <= 64:
-                    known[part] = found
-                out.append(found)
-                continue
-            elif opens:
-                pending = " " + part
-            else:  # white space on both sides of this space: no cut, so take the stretch before back
-                out.pop()
-                pending = (" " if i > 1 else "") + parts[i - 1] + " " + part
-            if closes and (i + 1 == len(parts) or (parts[i + 1] != "" and not parts[i + 1][0].isspace())):
-                out.append(self.fresh(pending))
-                pending = None
-        if pending is not None:
-            out.append(self.fresh(pending))
-        return out
+        self.border = regex.compile(r"(?<=\S) (?=\S)")
+        self.known: dict[str, bytes] = {}  # the ids of a piece, four bytes each
+        self.digits: dict[str, str] = {}  # the same in decimal digits with commas
+        self.decimal = {rank: str(rank) for rank in self.machine.bytes_of}
+
+    def slabs(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, of about ``SLAB`` characters at once."""
+        at = 0
+        while at < len(text):
+            cut = self.border.search(text, at + SLAB) if len(text) - at > SLAB else None
+            end = cut.start() if cut else len(text)
+            yield self.pattern.findall(text, at, end)
+            at = end
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that are not known yet."""
+        if len(self.known) + len(pieces) > MAX_PIECES:
+            self.known.clear()
+            self.digits.clear()
+        new = list(pieces - self.known.keys())
+        found = self.machine.encode_many([p.encode("utf-8") for p in new])
+        self.known.update(zip(new, [array("i", ids).tobytes() for ids in found]))
+        decimal = self.decimal.__getitem__
+        self.digits.update(zip(new, [",".join(map(decimal, ids)) for ids in found]))
+
+    def joined(self, pieces: list[str]) -> tuple[array, str]:
+        return array("i", b"".join(map(self.known.__getitem__, pieces))), ",".join(map(self.digits.__getitem__, pieces))
+
+    def encoded(self, texts: list[str]) -> Iterator[tuple[array, str]]:
+        """Token ids of each text, and the same in decimal digits with commas; texts up to ``SLAB`` characters learn together."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SLAB):
+                size += len(texts[end])
+                end += 1
+            if end == at + 1:
+                ids, digits = array("i"), []
+                for pieces in self.slabs(texts[at]):
+                    self.learn(set(pieces))
+                    some, text = self.joined(pieces)
+                    ids.extend(some)
+                    digits.append(text)
+                yield ids, ",".join(digits)
+            else:
+                cut = [self.pattern.findall(t) for t in texts[at:end]]
+                self.learn(set().union(*cut))
+                yield from map(self.joined, cut)
+            at = end
 
     def encode(self, text: str) -> array:
-        out = array("i")
-        for ids, _ in self.chunks(text):
-            out.extend(ids)
-        return out
+        return next(self.encoded([text]))[0]
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.machine.bytes_of.__getitem__, ids))
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as the tokens come in, cut at tokens; a character that tokens share appears with its last byte."""
-        utf8, bytes_of = Utf8Machine(), self.machine.bytes_of
-        for i in ids:
-            yield utf8.feed(bytes_of[i])
+    def decode_stream(self, ids: Iterable[int], step: int = 1) -> Iterator[str]:
+        """Text as the tokens come in, ``step`` at a time; a character that tokens share appears with its last byte."""
+        utf8, bytes_of = Utf8Machine(), self.machine.bytes_of.__getitem__
+        ids = iter(ids)
+        while some := list(islice(ids, step)):
+            yield utf8.feed(b"".join(map(bytes_of, some)))
         yield utf8.finish()
 
 
@@ -309,8 +417,8 @@ def encode_table(df: DataFrame, path: str, pattern: str, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in pieces(batches, text, 4 << 20):
-            ids = [own.encode(t or "") for t in batch.column(text).to_pylist()]
-            back = ["".join(own.decode_stream(i)) for i in ids]
+            ids = [i for i, _ in own.encoded([t or "" for t in batch.column(text).to_pylist()])]
+            back = ["".join(own.decode_stream(i, STEP_TOKENS)) for i in ids]
             offsets = [0]
             for i in ids:
                 offsets.append(offsets[-1] + len(i))
@@ -330,14 +438,13 @@ def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for batch in pieces(batches, "text", 4 << 20):
             counts, of_ids, of_bytes = [], [], []
-            for text in batch.column("text").to_pylist():
-                chunks = own.chunks(text or "")
-                ids = array("i")
-                for own_ids, _ in chunks:
-                    ids.extend(own_ids)
+            for ids, digits in own.encoded([t or "" for t in batch.column("text").to_pylist()]):
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join([digits for _, digits in chunks if digits]).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+                of_ids.append(hashlib.sha256(digits.encode()).hexdigest())
+                decoded = hashlib.sha256()
+                for part in own.decode_stream(ids, STEP_TOKENS):
+                    decoded.update(part.encode())
+                of_bytes.append(decoded.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

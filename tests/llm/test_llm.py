@@ -588,3 +588,19 @@ def test_stages_keep_columns_of_clashing_names(spark, folder):
         kept = found.collect()
         assert len(kept) >= 12 and all(r[c] == f"own {c}" for r in kept for c in names), name
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_html_of_hostile_pages_takes_linear_time():
+    import time
+
+    text = "The cat is in the house and it was not on the table at all that day, he said to her. "
+    pages = ['<a "', "<a \"'>", '<a ">', "<a <", "<!", "</x>", "<b>", "<div>", f"<p>x</p><p>{text}</p>"]
+    for first in pages:
+        for second in ("", "</p>", "<div></div>", "<td></td>", "</i>"):
+            seconds = []
+            for n in (4000, 16000):
+                started = time.process_time()
+                html_text.main_text(first * n + second * n)
+                seconds.append(time.process_time() - started)
+            assert seconds[1] < 10 * max(seconds[0], 0.05), (first, second, seconds)
+    assert html_text.main_text(f'<p {"x=" * 9}"a>b"\'>\'>{text}</p><p "{text}>tail</p>') == f"{text.strip()}\n\ntail"
