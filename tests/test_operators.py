@@ -472,6 +472,20 @@ def test_versions_at_many_instants_equal_a_filter_for_each(spark, table):
     assert len(seen) > 20
 
 
+def test_versions_travel_once_and_hot_series_in_slices(spark, table):
+    versions = [(1 + (i % 10 == 0), T0 + timedelta(minutes=i), float(i), 0, T0 + timedelta(minutes=i), None if i % 3 else T0 + timedelta(minutes=i + 90), True) for i in range(400)]
+    known = table(versions, "series_id int, ts timestamp, value double, quality_code smallint, valid_from timestamp, valid_to timestamp, is_current boolean")
+    asked = [(n, 1 + n % 3, T0 + timedelta(minutes=n * 5) if n % 7 else None, str(n)) for n in range(90)]
+    want = sorted((n, v[2]) for n, s, m, _ in asked if m for v in versions if v[0] == s and v[4] <= m and (v[5] is None or m < v[5]))
+    assert [tuple(r) for r in history.slices(known, "series_id", 100).collect()] == [(1, 4)]
+    for rows in (1000, 100, 7):
+        found = history.versions_at(known, table(asked, "n int, series_id int, moment timestamp, value_name string"), "moment", rows)
+        assert found.columns == ["series_id", "n", "moment", "value_name", "ts", "value", "quality_code", "valid_from", "valid_to"]
+        assert sorted((r.n, r.value) for r in found.collect()) == want
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Generate explode") == 2, "only what is asked is unrolled, never a version"
+
+
 def test_dyadic_cover_is_exact_and_small(spark):
     spans = [(a, b) for a in range(0, 70, 3) for b in range(a, 70)]
     rows = spark.createDataFrame(spans, "a long, b long").select("a", "b", history.dyadic_cover(F.col("a"), F.col("b"), 7).alias("c")).collect()
