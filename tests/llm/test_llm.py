@@ -461,6 +461,37 @@ def test_lines_equal_brute_force(spark, monkeypatch, broadcast_rows):
     assert got.columns == docs.columns and lines.dedup(docs.where("false")).count() == 0
 
 
+def test_all_pairs_of_a_large_bucket_are_looked_at(spark, monkeypatch):
+    monkeypatch.setattr(lines, "CHUNK", 8)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8)))
+    base = [" ".join(word() for _ in range(6)) for _ in range(40)]
+    texts = [*base, *[t + " zzzzz" for t in base[:15]], *["the same short line again " + "xyz"[: i % 4] * (i // 4 % 3) + str(i) for i in range(30)]]
+    docs = docs_of(spark, list(enumerate(texts)))
+    found = lines.occurrences(docs).withColumn("blocks", F.array(F.lit(7).cast("long"))).cache()
+    names = {r.line: r.doc_id for r in found.select("line", "doc_id").collect()}
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if distance(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j])) * 0.2 + 1e-9:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    got = {}
+    for r in lines.line_groups(docs, found).collect():
+        got.setdefault(r.component, set()).add(names[r.line])
+    groups = {frozenset(i for i, w in enumerate(want) if w == k) for k in want}
+    assert {frozenset(g) for g in got.values() if len(g) > 1} == {g for g in groups if len(g) > 1} and len(groups) < 60
+
+
 def test_line_fingerprints_are_majorities(spark):
     rng = random.Random(7)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
