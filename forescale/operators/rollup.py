@@ -28,32 +28,31 @@ def rollup_all(points: DataFrame) -> DataFrame:
     """The three rollups in one table with a ``resolution`` column, from one scan.
 
     Sums and counts of the finest bucket merge exactly into the coarser ones, so the wide
-    shuffle happens once; averages are never averaged.
+    shuffle happens once; averages are never averaged. A day of a series has at most 96 of the
+    finest buckets: they are brought together before they are unrolled to the coarser levels, so
+    the rows of the levels are not shuffled.
     """
-    finest = RESOLUTION_SECONDS["15min"]
-    fine = points.groupBy("series_id", floor_to(F.col("ts"), finest).alias("_bucket")).agg(
+    finest, *coarser = sorted(RESOLUTION_SECONDS, key=RESOLUTION_SECONDS.get)
+    fine = points.groupBy("series_id", floor_to(F.col("ts"), RESOLUTION_SECONDS[finest]).alias("_bucket")).agg(
         F.sum("value").alias("_sum"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("value").alias("_min"),
-        F.max("value").alias("_max"),
+        F.count(F.lit(1)).alias("sample_count"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
     )
+    days = fine.withColumn("_day", floor_to(F.col("_bucket"), RESOLUTION_SECONDS[coarser[-1]])).repartition("series_id", "_day")
     levels = F.array(*[
-        F.struct(F.lit(name).alias("resolution"), floor_to(F.col("_bucket"), width).alias("ts"))
-        for name, width in RESOLUTION_SECONDS.items()
+        F.struct(F.lit(name).alias("resolution"), floor_to(F.col("_bucket"), RESOLUTION_SECONDS[name]).alias("ts")) for name in coarser
     ])
-    spread = fine.select("series_id", F.explode(levels).alias("at"), "_sum", "_n", "_min", "_max")
-    return (
-        spread.groupBy(F.col("at.resolution").alias("resolution"), "series_id", F.col("at.ts").alias("ts"))
-        .agg(
-            F.sum("_sum").alias("_sum"),
-            F.sum("_n").alias("sample_count"),
-            F.min("_min").alias("min_value"),
-            F.max("_max").alias("max_value"),
-        )
-        .select(
-            "resolution", "series_id", "ts", (F.col("_sum") / F.col("sample_count")).alias("value"),
-            "sample_count", "min_value", "max_value",
-        )
+    spread = days.select("series_id", "_day", F.explode(levels).alias("at"), "_sum", "sample_count", "min_value", "max_value")
+    coarse = spread.groupBy("series_id", "_day", F.col("at.resolution").alias("resolution"), F.col("at.ts").alias("ts")).agg(
+        F.sum("_sum").alias("_sum"),
+        F.sum("sample_count").alias("sample_count"),
+        F.min("min_value").alias("min_value"),
+        F.max("max_value").alias("max_value"),
+    )
+    rows = fine.withColumnRenamed("_bucket", "ts").withColumn("resolution", F.lit(finest)).unionByName(coarse.drop("_day"))
+    return rows.select(
+        "resolution", "series_id", "ts", (F.col("_sum") / F.col("sample_count")).alias("value"), "sample_count", "min_value", "max_value"
     )
 
 

@@ -122,14 +122,21 @@ def choose_series(
     return fixed.unionByName(ranked.select("round_id", "series_id", F.lit(True).alias("is_sampled")))
 
 
+def asked_levels(rounds: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The series that rounds chose, each once per resolution that a round of it has."""
+    levels = rounds.select(F.col("id").alias("round_id"), resolution_of(F.col("frequency_s")).alias("resolution"))
+    return chosen.join(levels, "round_id").select("resolution", "series_id").distinct()
+
+
 def context_snapshot(rounds: DataFrame, chosen: DataFrame, rollups: DataFrame) -> DataFrame:
     """Last ``context_length`` buckets per round and series, closed by the round's registration start.
 
     Only series that a round chose are numbered, up to the last start that needs them. Positions within a series (rollup rows are bounded by the calendar) turn "last n before t"
     into a position range. Ranges are joined through blocks of positions, so a row meets only
-    the rounds whose window covers its block, never all rounds of its series.
+    the rounds whose window covers its block, never all rounds of its series. Keys begin with the
+    series: sorts compare the first key quickly, and resolutions are few.
     """
-    key = ["resolution", "series_id"]
+    key = ["series_id", "resolution"]
     width = resolution_seconds(F.col("resolution"))
     closed = shift(F.col("ts"), width)
     by_time = W.partitionBy(*key).orderBy("ts")
@@ -176,7 +183,7 @@ def series_pseudonyms(chosen: DataFrame, series: DataFrame, context: DataFrame)
     )
     return (
         chosen.join(names, "series_id")
-        .join(context_stats(context), ["round_id", "series_id"], "left")
+        .join(context_stats(context), ["series_id", "round_id"], "left")
         .select("round_id", "series_id", shown.alias("challenge_series_name"), "min_ts", "max_ts", "value_avg", "value_std")
     )
 

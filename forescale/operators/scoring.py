@@ -40,7 +40,7 @@ def baselines(pseudo: DataFrame, rounds: DataFrame, rollups: DataFrame) -> DataF
         pseudo.filter(F.col("max_ts").isNotNull()).select("round_id", "series_id", F.col("max_ts").alias("ts"))
         .join(round_levels(rounds), "round_id")
     )
-    return ends.join(rollups.select("resolution", "series_id", "ts", "value"), ["resolution", "series_id", "ts"]).select(
+    return ends.join(rollups.select("resolution", "series_id", "ts", "value"), ["series_id", "ts", "resolution"]).select(
         "round_id", "series_id", F.col("value").alias("baseline")
     )
 
@@ -49,7 +49,7 @@ def align(forecasts: DataFrame, rounds: DataFrame, rollups: DataFrame) -> DataFr
     """Forecasts with the actual of the same series and minute at the round's resolution."""
     tagged = forecasts.join(round_levels(rounds), "round_id").withColumn("_minute", minute_of(F.col("ts")))
     actuals = rollups.select("resolution", "series_id", minute_of(F.col("ts")).alias("_minute"), F.col("value").alias("actual"))
-    return tagged.join(actuals, ["resolution", "series_id", "_minute"])
+    return tagged.join(actuals, ["series_id", "_minute", "resolution"])
 
 
 def evaluate(
@@ -58,8 +58,9 @@ def evaluate(
 ) -> DataFrame:
     """Score rows of every (round, model, series) with forecasts, as known at ``as_of``.
 
-    One left join by (resolution, series, minute), whose keys are fine enough that a hot series
-    spreads over all tasks, then one grouped pass with map-side sums.
+    One left join by (series, minute, resolution), whose keys are fine enough that a hot series
+    spreads over all tasks, then one grouped pass with map-side sums. Keys begin with the series,
+    of which there are most: sorts compare the first key quickly.
     """
     known = known_by(rollups, as_of)
     actuals = known.select("resolution", "series_id", minute_of(F.col("ts")).alias("_minute"), F.col("value").alias("_actual"))
@@ -69,7 +70,7 @@ def evaluate(
         .join(round_levels(rounds), "round_id")
         .withColumn("_minute", minute_of(F.col("ts")))
     )
-    pairs = tagged.join(actuals, ["resolution", "series_id", "_minute"], "left").join(ends, ["round_id", "series_id"], "left")
+    pairs = tagged.join(actuals, ["series_id", "_minute", "resolution"], "left").join(ends, ["series_id", "round_id"], "left")
     error = F.col("_actual") - F.col("predicted_value")
     sums = pairs.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("forecast_count"),
@@ -173,8 +174,8 @@ def live_pairs(forecasts: DataFrame, rounds: DataFrame, pseudo: DataFrame, rollu
     more = [c for c in forecasts.columns if c == "probabilistic_values"]
     tagged = forecasts.select(*KEYS, "ts", "predicted_value", *more).join(round_levels(rounds), "round_id")
     actuals = rollups.select("resolution", "series_id", "ts", F.col("value").alias("actual"))
-    return tagged.join(actuals, ["resolution", "series_id", "ts"], "left").join(
-        baselines(pseudo, rounds, rollups), ["round_id", "series_id"], baseline
+    return tagged.join(actuals, ["series_id", "ts", "resolution"], "left").join(
+        baselines(pseudo, rounds, rollups), ["series_id", "round_id"], baseline
     )
 
 

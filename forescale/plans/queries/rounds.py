@@ -201,7 +201,7 @@ def list_forecasts(w: World) -> DataFrame:
 
 @query
 def series_forecasts_with_mase(w: World) -> DataFrame:
-    rows = fc.series_forecasts_with_mase(w.forecasts, w.rounds, w.pseudo, w.rollups, w.models)
+    rows = fc.series_forecasts_with_mase(w.forecasts, w.rounds, w.pseudo, w.served, w.models)
     return rounded(rows, "current_mase").select(
         "round_id", "series_id", "model_id", "readable_id", "current_mase", "n_evaluated", *points_text(F.col("points")), *ci_text(F.col("points"))
     )

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import hashlib
 from datetime import date, datetime, timedelta
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forescale.functions.durations import resolution_of
+from forescale.functions.durations import RESOLUTION_SECONDS, resolution_of
 from forescale.functions.times import instant, shift
 from forescale.operators import forecasts as fc
 from forescale.operators import ranking, rollup, rounds, scoring
@@ -206,9 +206,23 @@ class World:
         picked = lifecycle.choose(self.created, self.definitions, self.assignments, self.series, self.category, self.points, AS_OF, SEED)
         return self.stage("chosen", picked)
 
+    @cached_property
+    def served(self) -> DataFrame:
+        """Rollup rows of the series that rounds chose, at the resolutions of those rounds: all that context, forecasts and scores look up.
+
+        The series asked for are stored by resolution, so a resolution that few series need is not shuffled.
+        """
+        asked = self.stage("asked", rounds.asked_levels(self.created, self.chosen))
+        kept = []
+        for level in RESOLUTION_SECONDS:
+            series = self.stage(f"asked-{level}", asked.filter(F.col("resolution") == level).select("series_id"))
+            kept.append(self.rollups.filter(F.col("resolution") == level).join(series, "series_id", "left_semi"))
+        rows = reduce(DataFrame.unionByName, kept).select("resolution", "series_id", "ts", "value")
+        return self.stage("served", rows, "resolution")
+
     @cached_property
     def context(self) -> DataFrame:
-        return self.stage("context", rounds.context_snapshot(self.created, self.chosen, self.rollups))
+        return self.stage("context", rounds.context_snapshot(self.created, self.chosen, self.served))
 
     @cached_property
     def pseudo(self) -> DataFrame:
@@ -223,15 +237,12 @@ class World:
         """Four models: persistence, seasonal, context mean, and the actual with noise."""
         lag = F.when(F.col("frequency_s") < 86400, 86400).otherwise(7 * 86400)
         levels = self.rounds.select(F.col("id").alias("round_id"), "frequency_s", "registration_start", resolution_of(F.col("frequency_s")).alias("resolution"))
-        base = fc.naive_forecast(self.rounds, self.context).join(levels, "round_id").withColumn("_before", shift(F.col("ts"), -lag))
-        values = self.rollups.select("resolution", "series_id", "ts", "value")
-        before = values.select("resolution", "series_id", F.col("ts").alias("_before"), F.col("value").alias("_seasonal"))
         means = self.pseudo.select("round_id", "series_id", "value_avg")
-        joined = (
-            base.join(before, ["resolution", "series_id", "_before"], "left")
-            .join(values, ["resolution", "series_id", "ts"], "left")
-            .join(means, ["round_id", "series_id"])
-        )
+        base = fc.naive_forecast(self.rounds, self.context).join(means, ["series_id", "round_id"])
+        base = base.join(levels, "round_id").withColumn("_before", shift(F.col("ts"), -lag))
+        values = self.served.select("resolution", "series_id", "ts", "value")
+        before = values.select("resolution", "series_id", F.col("ts").alias("_before"), F.col("value").alias("_seasonal"))
+        joined = base.join(before, ["series_id", "_before", "resolution"], "left").join(values, ["series_id", "ts", "resolution"], "left")
         noise = 1 + ((F.col("round_id") * 31 + F.col("series_id") * 7 + F.hour("ts")) % 11 - 5) / 50.0
         made = {
             1: F.col("predicted_value"),
@@ -250,7 +261,7 @@ class World:
         return self.stage("forecasts", forecasts)
 
     def _scores(self, name: str, as_of: datetime) -> DataFrame:
-        rows = scoring.evaluate(self.forecasts, self.rounds, self.pseudo, self.rollups, as_of)
+        rows = scoring.evaluate(self.forecasts, self.rounds, self.pseudo, self.served, as_of)
         return self.stage(name, rows.withColumn("calculated_at", instant(as_of)))
 
     @cached_property

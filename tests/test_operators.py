@@ -524,3 +524,49 @@ def test_signed_deltas_equal_a_rebuild(spark, folder):
         shown = lambda df: sorted((str(r) for r in df.select(*keys, "num_scores", *[F.round(c, 6) + 0.0 for c in ("sum_mase", "sum_mase_sq", "sum_rmse")]).collect()))
         if n in (0, 3):
             assert shown(ranking.merged_sums(log)) == shown(ranking.round_model_scores(state, w.rounds, w.definitions, w.assignments))
+
+
+def test_rollup_levels_are_not_shuffled(table):
+    df = rollup.rollup_all(table([(1, at(minutes=7 * i), float(i)) for i in range(50)], POINTS))
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    start = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    above, low = [], depth[start]
+    for i in range(start, -1, -1):
+        if depth[i] < low:
+            above, low = [*above, lines[i]], depth[i]
+    assert above and not [line for line in above if "Exchange" in line]
+
+
+def test_rollups_with_missing_instants_and_values(table):
+    data = [(1, at(minutes=3), 1.0), (1, at(minutes=3), 1.0), (1, at(minutes=4), None), (None, at(minutes=5), 2.0), (1, None, 3.0), (2, at(hours=30), None)]
+    whole = table(data, POINTS)
+    got = rollup.rollup_all(whole)
+    for name, width in (("15min", 900), ("1h", 3600), ("1d", 86400)):
+        mean = F.sum("value") / F.count(F.lit(1))
+        want = whole.groupBy("series_id", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / width) * width).alias("ts")).agg(
+            mean.alias("value"), F.count(F.lit(1)).alias("sample_count"), F.min("value").alias("min_value"), F.max("value").alias("max_value")
+        )
+        assert sorted(map(repr, got.where(F.col("resolution") == name).select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_asked_levels_name_each_series_once_per_resolution(table):
+    made = table([(10, 3600), (11, 3600), (20, 86400), (30, 1800)], "id int, frequency_s long")
+    chosen = table([(10, 1), (11, 1), (11, 2), (20, 1), (30, 2), (30, None)], "round_id int, series_id int")
+    found = rows(rounds.asked_levels(made, chosen).where("series_id is not null"), "resolution", "series_id")
+    assert found == [("1d", 1), ("1h", 1), ("1h", 2)]
+
+
+def test_stored_tables_look_up_only_rollups_that_rounds_asked_for(spark, folder):
+    w = world(spark, folder)
+    keys = ["resolution", "series_id"]
+    asked = rounds.asked_levels(w.created, w.chosen)
+    values = ["resolution", "series_id", "ts", "value"]
+    want = w.rollups.join(asked, keys, "left_semi").select(*values)
+    assert rows(w.served.select(*values), *values) == rows(want, *values)
+    assert w.served.count() < w.rollups.count()
+    for name, made in (("context", rounds.context_snapshot(w.created, w.chosen, w.rollups)), ("late_scores", scoring.evaluate(w.forecasts, w.rounds, w.pseudo, w.rollups, datetime(2024, 2, 2)))):
+        stored = getattr(w, name).select(*made.columns)
+        assert stored.count() == made.count()
+        shown = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in made.dtypes]
+        assert stored.select(*shown).exceptAll(made.select(*shown)).isEmpty()
