@@ -35,9 +35,10 @@ MAX_PIECES = 300_000
 
 #: Pieces up to so many bytes are encoded side by side, so many at a time; longer ones one by one.
 SIDE_BYTES = 64
-SIDE_PIECES = 1 << 15
+SIDE_PIECES = 1 << 13
 SLAB = 1 << 20  # characters of a text that are cut into pieces at once
 STEP_TOKENS = 4096  # tokens that are decoded at once
+BATCH_BYTES = 1 << 20  # bytes of texts whose tokens are held at once
 
 
 class Moves:
@@ -112,7 +113,7 @@ class Transducer:
         self.numbers: dict[tuple[int, ...], int] = {(0,): 0}
         self.states: list[tuple[int, ...]] = [(0,)]  # configurations: last token + 1, trie node and depth in one number
         self.ends = [-1]
-        self.moves: dict[int, int] = {}
+        self.moves: dict[int, int] = {}  # those that ``encode`` needed; ``table`` has those of ``encode_many``
         self.table = Moves()
         self.ends_of = np.full(1 << 16, -1, np.int32)  # ``ends`` as far as ``told``
         self.told = 1
@@ -175,7 +176,6 @@ class Transducer:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
             self.ends.append(ends)
-        self.moves[state << 8 | byte] = number
         return number
 
     def encode(self, data: bytes, ahead: int = 4096) -> list[int]:
@@ -188,8 +188,10 @@ class Transducer:
         state, known, ends, size_of = 0, self.moves.get, self.ends, self.size_of
         path: list[int] = []  # the token that ends at each byte not yet emitted
         for byte in data:
-            after = known(state << 8 | byte)
-            state = self.move(state, byte) if after is None else after
+            after = known(key := state << 8 | byte)
+            if after is None:
+                after = self.moves[key] = self.move(state, byte)
+            state = after
             path.append(ends[state])
             if len(path) > ahead:
                 places = {len(path) - (configuration & 0xFFF) for configuration in self.states[state]}
@@ -207,8 +209,7 @@ class Transducer:
         at = self.table.places(keys)
         missing = np.unique(keys[self.table.keys[at] != keys]).tolist()
         if missing:
-            known = self.moves.get
-            self.table.add(missing, [self.move(key >> 8, key & 255) if known(key) is None else known(key) for key in missing])
+            self.table.add(missing, [self.move(key >> 8, key & 255) for key in missing])
             at = self.table.places(keys)
             if len(self.states) > len(self.ends_of):
                 self.ends_of = np.concatenate([self.ends_of, np.full(len(self.states), -1, np.int32)])
@@ -333,16 +334,17 @@ class Codec:
     """Encoder and decoder of one vocabulary file; ``pattern`` cuts a text into pieces that are encoded separately.
 
     ``pattern`` must end a piece before a space that stands between two other characters than white space, as the
-    patterns of byte-level vocabularies do: long texts are cut there first. Pieces are remembered with their tokens.
+    patterns of byte-level vocabularies do: long texts are cut there first. Pieces are remembered with their tokens,
+    and with the same in decimal digits if ``decimal``; else digits are empty.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, decimal: bool = False):
         self.machine = Transducer(load_ranks(path))
         self.pattern = regex.compile(pattern)
         self.border = regex.compile(r"(?<=\S) (?=\S)")
         self.known: dict[str, bytes] = {}  # the ids of a piece, four bytes each
         self.digits: dict[str, str] = {}  # the same in decimal digits with commas
-        self.decimal = {rank: str(rank) for rank in self.machine.bytes_of}
+        self.decimal = {rank: str(rank) for rank in self.machine.bytes_of} if decimal else {}
 
     def slabs(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, of about ``SLAB`` characters at once."""
@@ -361,11 +363,13 @@ class Codec:
         new = list(pieces - self.known.keys())
         found = self.machine.encode_many([p.encode("utf-8") for p in new])
         self.known.update(zip(new, [array("i", ids).tobytes() for ids in found]))
-        decimal = self.decimal.__getitem__
-        self.digits.update(zip(new, [",".join(map(decimal, ids)) for ids in found]))
+        if self.decimal:
+            decimal = self.decimal.__getitem__
+            self.digits.update(zip(new, [",".join(map(decimal, ids)) for ids in found]))
 
     def joined(self, pieces: list[str]) -> tuple[array, str]:
-        return array("i", b"".join(map(self.known.__getitem__, pieces))), ",".join(map(self.digits.__getitem__, pieces))
+        digits = ",".join(map(self.digits.__getitem__, pieces)) if self.decimal else ""
+        return array("i", b"".join(map(self.known.__getitem__, pieces))), digits
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[array, str]]:
         """Token ids of each text, and the same in decimal digits with commas; texts up to ``SLAB`` characters learn together."""
@@ -382,7 +386,7 @@ class Codec:
                     some, text = self.joined(pieces)
                     ids.extend(some)
                     digits.append(text)
-                yield ids, ",".join(digits)
+                yield ids, ",".join(digits) if self.decimal else ""
             else:
                 cut = [self.pattern.findall(t) for t in texts[at:end]]
                 self.learn(set().union(*cut))
@@ -404,9 +408,9 @@ class Codec:
         yield utf8.finish()
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, decimal: bool = False) -> Codec:
     """One codec per worker, so that states are made once."""
-    return resident((path, pattern), lambda: Codec(path, pattern))
+    return resident((path, pattern, decimal), lambda: Codec(path, pattern, decimal))
 
 
 def encode_table(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -416,15 +420,14 @@ def encode_table(df: DataFrame, path: str, pattern: str, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in pieces(batches, text, 4 << 20):
+        for batch in pieces(batches, text, BATCH_BYTES):
             ids = [i for i, _ in own.encoded([t or "" for t in batch.column(text).to_pylist()])]
             back = ["".join(own.decode_stream(i, STEP_TOKENS)) for i in ids]
             offsets = [0]
-            for i in ids:
-                offsets.append(offsets[-1] + len(i))
             flat = array("i")
             for i in ids:
                 flat += i
+                offsets.append(len(flat))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), lists, pa.array(back, pa.string())], names=schema.names)
 
@@ -435,8 +438,8 @@ def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row's encoding and of its decoding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in pieces(batches, "text", 4 << 20):
+        own = codec(path, pattern, decimal=True)
+        for batch in pieces(batches, "text", BATCH_BYTES):
             counts, of_ids, of_bytes = [], [], []
             for ids, digits in own.encoded([t or "" for t in batch.column("text").to_pylist()]):
                 counts.append(len(ids))

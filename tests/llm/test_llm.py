@@ -78,6 +78,15 @@ def test_bpe_emits_after_bounded_lookahead_and_survives_resets(codec, reference_
     assert list(bpe.Codec(PATH, public_tokenizers.PATTERN).encode(text)) == reference_encoding.encode_ordinary(text)
 
 
+def test_bpe_holds_moves_and_digits_once(reference_encoding):
+    texts = [prose(seed, 400) for seed in range(6)]
+    plain, decimal = bpe.Codec(PATH, public_tokenizers.PATTERN), bpe.Codec(PATH, public_tokenizers.PATTERN, decimal=True)
+    expected = [reference_encoding.encode_ordinary(t) for t in texts]
+    assert [(list(ids), digits) for ids, digits in plain.encoded(texts)] == [(ids, "") for ids in expected]
+    assert [(list(ids), digits) for ids, digits in decimal.encoded(texts)] == [(ids, ",".join(map(str, ids))) for ids in expected]
+    assert not plain.digits and not plain.machine.moves and plain.machine.table.count > 1000
+
+
 def test_bpe_pairs_are_kept_apart_as_the_merges_do(codec):
     rng, machine = random.Random(5), codec.machine
     tokens = list(machine.halves)
