@@ -501,6 +501,33 @@ def test_all_pairs_of_a_large_bucket_are_looked_at(spark, monkeypatch):
     assert {frozenset(g) for g in got.values() if len(g) > 1} == {g for g in groups if len(g) > 1} and len(groups) < 60
 
 
+def test_lines_compared_by_pieces_pass_as_whole_lines_do(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for k in range(160):
+        words = prose(k, rng.choice([12, 30, 90, 300])).split()
+        other = [w for word in words for w in rng.choices([[word], [], [word, "neu"], ["xé" + word]], [10, k % 5, k % 4, k % 7])[0]] or ["a"]
+        rows.append((2 * k, " ".join(words), 2 * k + 1, " ".join(other)))
+    frame = spark.createDataFrame(rows, "a long, x string, b long, y string")
+    texts = frame.select(F.col("a").alias("line"), F.col("x").alias("norm")).unionByName(frame.select(F.col("b").alias("line"), F.col("y").alias("norm")))
+    sums = [lines.worded(F.col("x"), F.col("y")), *[lines.pieced(F.col("x"), F.col("y"), size) for size in (7, 64, 10**6)]]
+    for r in frame.select(F.levenshtein("x", "y").alias("whole"), *[c.alias(f"sum{i}") for i, c in enumerate(sums)]).collect():
+        assert (r.sum0 is None or r.sum0 >= r.whole) and r.sum1 >= r.whole and r.sum2 >= r.whole and r.sum3 == r.whole
+    pairs = frame.select("a", "b")
+    got = {tuple(r) for r in lines.similar(pairs, texts).collect()}
+    monkeypatch.setattr(lines, "PIECES", ())
+    monkeypatch.setattr(lines, "worded", lambda x, y: F.lit(None).cast("int"))
+    assert got == {tuple(r) for r in lines.similar(pairs, texts).collect()} and 20 < len(got) < 140
+
+
+def test_lines_of_a_text_are_normalised_as_lines_are(spark):
+    texts = ["A  b!\n ..\n\nÄ\tΣΑΣ\r\nx\x0b-\x0cY ", "", "\n", "!", "ΑΣ\nΑ\u2028b\x1c c", None]
+    docs = docs_of(spark, texts)
+    whole = docs.select("doc_id", F.posexplode(lines.norms_of(F.col("text"))))
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n"))).withColumn("col", lines.norm_of(F.col("col")))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, each.collect())) and whole.count() > 10
+
+
 def test_line_fingerprints_are_majorities(spark):
     rng = random.Random(7)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
