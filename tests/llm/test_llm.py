@@ -501,6 +501,33 @@ def test_all_pairs_of_a_large_bucket_are_looked_at(spark, monkeypatch):
     assert {frozenset(g) for g in got.values() if len(g) > 1} == {g for g in groups if len(g) > 1} and len(groups) < 60
 
 
+def test_lines_apart_by_their_letters_or_texts_are_no_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeinorstüж") for _ in range(rng.randrange(2, 9)))
+    rows = []
+    for k in range(300):
+        x = " ".join(word() for _ in range(rng.randrange(1, 9)))[:80].strip()
+        y = list(x)
+        for _ in range(rng.randrange(len(x) // 2 + 1)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", *"aeznr ж"])
+        rows += [(2 * k, x), (2 * k + 1, " ".join("".join(y).split()) or "x")]
+    docs = docs_of(spark, rows)
+    found = lines.occurrences(docs).withColumn("blocks", F.array(F.lit(7).cast("long"))).cache()
+    named = found.select("doc_id", "size", "fp", *lines.TALLIES).join(docs.select("doc_id", "text"), "doc_id")
+    both = named.where("doc_id % 2 = 0").alias("a").join(named.alias("b"), F.expr("b.doc_id - a.doc_id = 1 or b.doc_id - a.doc_id > 590"))
+    fit = lines.possible(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), 0.8)
+    whole = F.expr("levenshtein(a.text, b.text) <= 0.2 * greatest(a.size, b.size) + 1e-9").alias("whole")
+    got = Counter(tuple(r) for r in both.where("greatest(a.size, b.size) <= 80").select(whole, fit.alias("fit")).collect())
+    assert not got[True, False] and got[True, True] > 50 and got[False, False] > 50
+
+    seen = []
+    similar = lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs, *rest: seen.append(pairs.count()) or similar(pairs, *rest))
+    lines.line_groups(docs, found).count()
+    assert len(seen) == 3 and sum(seen) < 2500 and seen[2] < 200  # of 180,000
+
+
 def test_lines_compared_by_pieces_pass_as_whole_lines_do(spark, monkeypatch):
     rng = random.Random(8)
     rows = []
